@@ -1,7 +1,7 @@
-"""Operator 10, WARC: archives written with Spark's text writer and read back by a salvage reader.
+"""Operator 10, WARC: archives of gzip members, written with Spark's text writer and read back by a salvage reader.
 
-An archive is a concatenation of records, each ended by two CRLFs. Spark's text writer with that separator produces
-exactly this on any store Spark can write, under its commit protocol, so a lost executor never leaves half a file.
+Spark's text writer puts the members' bytes on any store that Spark can write, under its commit protocol, so a lost
+executor never leaves half a file.
 The reader works on bytes, plain or one gzip member a record, and survives damage: after a failed check it searches
 for the next member or version line from which a whole record can be read, and logs the bytes it passed over.
 
@@ -23,69 +23,75 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+CONTROL = {c: f"%{c:02X}" for c in [*range(33), 127]}
+PAGES = "page_id long, url string, n long, digest string, member binary"
 ROWS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, start long, end long, error string"
 
 
+def record(page_id: int | None, url: str | None, payload: bytes | None, n: int, digest: str, resp: int | None, date: str) -> bytes:
+    """A whole record; payload None makes a revisit of page `resp`."""
+    name = lambda i: f"<urn:page:{'' if i is None else i}>"
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode() + (payload or b"")
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if payload is not None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}"]
+    if url is not None:
+        lines.append(f"WARC-Target-URI: {url.translate(CONTROL)}")
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n}"]
+    if payload is None:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(resp)}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+
+def unended(rec: bytes) -> bytes:
+    """A gzip member of the record without its last byte, a zero: the writer's separator supplies it.
+
+    The last byte is the highest of the size's four, zero under 16 MB; a longer record is followed by a member of nothing.
+    """
+    packed = gzip.compress(rec, 6, mtime=0)
+    return packed[:-1] if packed[-1] == 0 else packed + gzip.compress(b"", 6, mtime=0)[:-1]
+
+
+def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 4096) -> None:
+    """Archives of one gzip member a record under path; a file holds at most records_per_file records, as a reader holds a file.
+
+    Payloads are compressed before the shuffle that finds each digest's largest page_id, so they travel and are stored
+    small. Spark's text writer, with a zero byte as separator, writes the members' bytes as they are.
+    """
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for i, url, html in zip(x["page_id"], x["url"], x["html"], strict=True):
+                payload, i = (html or "").encode("utf-8", "replace"), None if pd.isna(i) else int(i)
+                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                out.append((i, url, len(payload), digest, unended(record(i, url, payload, len(payload), digest, None, date))))
+            yield pd.DataFrame(out, columns=["page_id", "url", "n", "digest", "member"]).astype({"page_id": "Int64"})
+
+    def revisits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = [m if pd.isna(resp) else unended(record(None if pd.isna(i) else int(i), url, None, n, digest, int(resp), date)) for i, url, n, digest, m, resp in x.itertuples(index=False, name=None)]
+            yield pd.DataFrame({"value": out})
+
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(members, PAGES)
+    again = pages.groupBy(F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha1")).agg(F.max(F.col("page_id").cast("long")).alias("keeper"), F.count(F.lit(1)).alias("n"))
+    # only payloads that occur again take part in the join; one with many copies is split by the adaptive skew join
+    again = again.where("n > 1").select(base32_of_hex(F.col("sha1")).alias("digest"), "keeper")
+    resp = F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
+    joined = rows.join(again, "digest", "left").select("page_id", "url", "n", "digest", F.when(resp.isNull(), F.col("member")).alias("member"), resp.alias("resp"))
+    joined.mapInPandas(revisits, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+
+
 def base32_of_hex(digest: Column) -> Column:
     """Base 32 of a 40-digit hex string: each 5-bit group lies within two neighbouring hex digits."""
     def letter(i: int) -> Column:
         pair = F.conv(F.substring(digest, 5 * i // 4 + 1, 2), 16, 10).cast("int")
-        return F.substring(F.lit(ALPHABET), F.shiftright(pair, 3 - 5 * i % 4).bitwiseAND(31) + 1, F.lit(1))
+        return F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.shiftright(pair, 3 - 5 * i % 4).bitwiseAND(31) + 1, F.lit(1))
 
     return F.concat(*[letter(i) for i in range(32)])
 
 
-def with_types(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, resp: the page that keeps the payload where this one only revisits it."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    keeper = rows.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    # only payloads that occur again take part in the join; a payload with many copies is split by the adaptive skew join
-    again = keeper.where("n > 1").select("digest", "keeper")
-    joined = rows.join(again, "digest", "left")
-    resp = F.when(F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
-    return joined.select("page_id", "url", "payload", base32_of_hex(F.col("digest")).alias("digest"), resp.alias("resp"))
-
-
-def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """One string column `value`: a record without its two closing line ends."""
-    crlf, revisit = "\r\n", F.col("resp").isNotNull()
-    url = F.col("url")
-    for code in [*range(33), 127]:
-        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    http = F.concat(
-        F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "),
-        F.octet_length("payload").cast("string"), F.lit(crlf + crlf),
-    )
-    block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    head = F.concat(
-        F.lit(f"WARC/1.1{crlf}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit(f"{crlf}WARC-Record-ID: "), name(F.col("page_id")), F.lit(f"{crlf}WARC-Date: {date}"),
-        F.coalesce(F.concat(F.lit(f"{crlf}WARC-Target-URI: "), url), F.lit("")),
-        F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.lit(f"{crlf}X-Payload-Length: "), F.octet_length("payload").cast("string"),
-        F.when(revisit, F.concat(F.lit(f"{crlf}WARC-Profile: {PROFILE}{crlf}WARC-Refers-To: "), name(F.col("resp")))).otherwise(""),
-        F.lit(f"{crlf}Content-Type: application/http; msgtype=response{crlf}Content-Length: "), F.octet_length(block).cast("string"),
-        F.lit(crlf + crlf), block,
-    )
-    return with_types(pages).select(head.alias("value"))
-
-
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 4096) -> None:
-    """Plain archives under path; a file holds at most records_per_file records, so that a reader holds one whole."""
-    records(pages).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
-
-
-def gzip_members(recs: list[bytes]) -> bytes:
-    """A compressed archive, one member a record (each without its closing line ends)."""
-    return b"".join(gzip.compress(r + b"\r\n\r\n", 6, mtime=0) for r in recs)
-
-
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-NEXT = re.compile(rb"\x1f\x8b\x08|(?:\A|(?<=\n))WARC/1\.[01]\r\n")
+NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
 def parse(data: bytes | memoryview, at: int, end: int) -> tuple[dict, int]:
@@ -115,8 +121,8 @@ def parse(data: bytes | memoryview, at: int, end: int) -> tuple[dict, int]:
     return head | {"payload": payload}, last + 4
 
 
-def member(data: bytes, at: int) -> tuple[dict, int]:
-    """The record in the gzip member at `at`, and where the member ends."""
+def member(data: bytes, at: int) -> tuple[dict | None, int]:
+    """The record in the gzip member at `at` (None: it holds nothing), and where the member ends."""
     z, out, to = zlib.decompressobj(31), [], at
     try:
         while not z.eof and to < len(data):  # by blocks, so that what follows the member is not copied each time
@@ -127,10 +133,10 @@ def member(data: bytes, at: int) -> tuple[dict, int]:
     if not z.eof:
         raise ValueError("gzip member")
     out = b"".join(out)
-    record, end = parse(out, 0, len(out))
+    found, end = parse(out, 0, len(out)) if out else (None, 0)
     if end != len(out):
         raise ValueError("member end")
-    return record, to - len(z.unused_data)
+    return found, to - len(z.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[dict | None, int, int, str]]:
@@ -138,17 +144,18 @@ def salvage(data: bytes) -> Iterator[tuple[dict | None, int, int, str]]:
     at, gap, why = 0, None, ""
     while at < len(data):
         try:
-            record, end = member(data, at) if data[at : at + 2] == b"\x1f\x8b" else parse(data, at, len(data))
+            found, end = member(data, at) if data[at : at + 2] == b"\x1f\x8b" else parse(data, at, len(data))
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
-            found = NEXT.search(data, at + 1)
-            at = found.start() if found else len(data)
+            following = NEXT.search(data, at + 1)
+            at = following.start() if following else len(data)
             continue
         if gap is not None:
             yield None, gap, at, why
             gap = None
-        yield record, at, end, ""
+        if found:
+            yield found, at, end, ""
         at = end
     if gap is not None:
         yield None, gap, len(data), why
