@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import scratch, table
 from .tokens import public_path
@@ -18,12 +19,37 @@ def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end=1)
 
 
+def op3_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=4, within=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end=2, capacity=1024)
 
 
+def op7_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
@@ -48,7 +74,7 @@ FROM m
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_tokens, op5_bin_completion, op10_warc_salvage)}
+    return {f.__name__: f for f in (op1_repair_tokens, op3_simhash_popcount, op4_additive_quality, op5_bin_completion, op7_brown_score, op8_additive_quantisation, op10_warc_salvage)}
 
 
 def oracle_sql() -> dict[str, str]:
