@@ -65,9 +65,9 @@ def all_features(documents: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t) for t in batch.column(1).to_pylist()], np.float32).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, x.T)], names=["doc_id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, x.T)], names=["doc_id", "h", *FEATURES])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, " + ", ".join(f"{f} float" for f in FEATURES))
+    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(rows, "doc_id long, h long, " + ", ".join(f"{f} float" for f in FEATURES))
 
 
 def _step(g: np.ndarray, h: np.ndarray, ridge: float) -> tuple[float, int]:
@@ -171,7 +171,7 @@ class Additive:
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE, folds: int = 4, fold: int = 2) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of documents; held out: crc32 of the id leaves `fold` modulo `folds`."""
+    """doc_id, held_out, score, predicted, h (the text's hash) of each row of documents; held out: crc32 of the id leaves `fold` modulo `folds`."""
     table = stored(all_features(documents), "features")
     held = lambda c: F.coalesce(remainder(c, folds) == fold, F.lit(False))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held(F.col("doc_id")))
@@ -180,8 +180,8 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(i + 2).to_numpy() for i in range(len(FEATURES))], axis=1)
+            x = np.stack([batch.column(i + 3).to_numpy() for i in range(len(FEATURES))], axis=1)
             s = model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), batch.column(2)], names=["doc_id", "held_out", "score", "predicted", "h"])
 
-    return table.select("doc_id", held(F.col("doc_id")).alias("held_out"), *FEATURES).mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return table.select("doc_id", held(F.col("doc_id")).alias("held_out"), "h", *FEATURES).mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int, h long")

@@ -19,6 +19,15 @@ def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end=1)
 
 
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op2_url_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op3_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -38,6 +47,13 @@ def op5_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end=2, capacity=1024)
 
 
+def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .brown import score
 
@@ -50,6 +66,15 @@ def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, joined_spans, with_spans
+
+    found = with_spans(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("found", lambda s: (s["kind"] == k) & s["base"])).cast("long").alias(f"n_{k}")
+    base = joined_spans(F.filter("found", lambda s: s["base"]))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("found")).alias("spans"))
+
+
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
@@ -59,6 +84,20 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT l FROM win),
+grams AS (SELECT doc_id, p, l, array_to_string(w[p:p + l - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - l + 2)) t(p)),
+hit AS (SELECT doc_id, item_id, p, win.l FROM grams JOIN win USING (l, g)),
+pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM hit, unnest(range(p, p + l)) t(q) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+"""
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h FROM p),
@@ -73,9 +112,15 @@ FROM m
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_tokens, op3_simhash_popcount, op4_additive_quality, op5_bin_completion, op7_brown_score, op8_additive_quantisation, op10_warc_salvage)}
+    return {f.__name__: f for f in (op1_repair_tokens, op2_url_logistic, op3_simhash_popcount, op4_additive_quality, op5_bin_completion, op6_positional_decontamination, op7_brown_score, op8_additive_quantisation, op9_boosted_pii, op10_warc_salvage, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_salvage": OP10_SQL}
+    return {"op6_positional_decontamination": OP6_SQL, "op10_warc_salvage": OP10_SQL}

@@ -52,9 +52,9 @@ def fingerprints(documents: DataFrame, words: int = 4) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(rows, "doc_id long, h long, fp long")
 
 
 def image(fp: Column) -> Column:
@@ -95,11 +95,11 @@ def links(distinct: DataFrame, within: int = 4) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, words: int = 4, within: int = 4) -> DataFrame:
-    """doc_id, fp, component_id of each row."""
+    """doc_id, fp, component_id, root (the component's smallest fingerprint), h (the text's hash) of each row."""
     docs = stored(fingerprints(documents, words), "fingerprints")
     own = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     nodes = stored(components(links(own, within)), "components")
     least = nodes.join(own.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = nodes.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    every = own.join(linked, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return docs.join(every, "fp").select("doc_id", "fp", "component_id")
+    linked = nodes.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    every = own.join(linked, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return docs.join(every, "fp").select("doc_id", "fp", "component_id", "root", "h")
