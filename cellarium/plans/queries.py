@@ -1,5 +1,168 @@
-"""Registry of the queries: name -> (callable, SQL of the same result or none)."""
+"""Registry of the queries: name -> (operator ids, callable, SQL of the same result or none)."""
 
 from __future__ import annotations
 
-REGISTRY: dict = {}
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cellarium.plans.relational import SQL
+from cellarium.sources import fixtures
+
+
+@dataclass(frozen=True)
+class Query:
+    operators: str
+    run: Callable[[SparkSession, str], DataFrame]
+    sql: str | None
+
+
+def shared(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.run(spark, sf_dir, sql)
+
+
+REGISTRY: dict[str, Query] = {name: Query(ops, partial(shared, sql), fixtures.oracle(sql)) for name, (ops, sql) in SQL.items()}
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.run(spark, sf_dir, "SELECT cell_id AS id FROM cells")
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.run(spark, sf_dir, "SELECT u, v, d FROM edge_d")
+
+
+def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.graph import connected_components
+
+    return connected_components(_nodes(spark, sf_dir), _edges(spark, sf_dir).where("u % 3 <> 0 and v % 5 <> 0"))
+
+
+def thresholded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.graph import threshold_components
+
+    return threshold_components(_nodes(spark, sf_dir), _edges(spark, sf_dir), 0.8, 3)
+
+
+def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.graph import split_connected
+
+    return split_connected(fixtures.run(spark, sf_dir, "SELECT cell_id AS id, label FROM cell_labels"), _edges(spark, sf_dir), 2)
+
+
+def enclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.graph import enclose
+
+    return enclose(fixtures.run(spark, sf_dir, "SELECT cell_id AS id FROM cell_labels WHERE label = 2"), fixtures.run(spark, sf_dir, "SELECT cell_id AS id, x, y, z FROM cells"), _edges(spark, sf_dir))
+
+
+def dbscan_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.cluster import dbscan
+
+    return dbscan(fixtures.run(spark, sf_dir, "SELECT c.cell_id AS id, x, y, z, label FROM cells c JOIN cell_labels l ON l.cell_id = c.cell_id WHERE label >= 0"), 0.15, 3, "label")
+
+
+def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.cluster import hdbscan
+
+    return hdbscan(fixtures.run(spark, sf_dir, "SELECT cell_id AS id, feat FROM cells"), 8, 4)
+
+
+def multicut_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.partition import multicut
+
+    return multicut(_nodes(spark, sf_dir), fixtures.run(spark, sf_dir, "SELECT u, v, 0.9 - d AS w FROM edge_d"), safe=0.45)
+
+
+def multicut_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.partition import multicut
+
+    return multicut(_nodes(spark, sf_dir), fixtures.run(spark, sf_dir, "SELECT e.u, e.v, 0.9 - d + 0.9 * coalesce((agree - disagree) / greatest(agree + disagree, 1), 0) AS w FROM edge_d e LEFT JOIN votes o ON o.u = e.u AND o.v = e.v"))
+
+
+def felzenszwalb_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.partition import felzenszwalb
+
+    return felzenszwalb(_nodes(spark, sf_dir), _edges(spark, sf_dir), k=0.5)
+
+
+def vote_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.partition import bernoulli_mixture
+
+    found = bernoulli_mixture(fixtures.run(spark, sf_dir, "SELECT agree, disagree, count(*) AS n FROM votes GROUP BY agree, disagree"))
+    return spark.createDataFrame([tuple(round(v, 6) for v in found.values())], "pi double, alpha double, beta double")
+
+
+def distance_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.partition import gaussian_mixture
+
+    found = gaussian_mixture(_edges(spark, sf_dir), rounds=12)
+    return spark.createDataFrame([tuple(round(x, 6) for x in p) for p in found], "weight double, mean double, sd double")
+
+
+def nms_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.masks import select_masks
+
+    return select_masks(fixtures.run(spark, sf_dir, "SELECT frame_idx, obj_id, n, n / 400.0 AS score FROM mask_sizes"), fixtures.run(spark, sf_dir, "SELECT * FROM ious"))
+
+
+def view_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.masks import tour
+
+    return tour(fixtures.run(spark, sf_dir, "SELECT probe_id % 4 AS scene, probe_id AS id, x, y, z FROM probes"))
+
+
+def best_union_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.masks import best_union
+
+    return best_union(fixtures.run(spark, sf_dir, "SELECT p.gt_id AS target, p.pred_id AS pred, both_n, a.n, b.n AS target_n FROM (SELECT pred_id, gt_id, count(*) AS both_n FROM vertices WHERE gt_id IS NOT NULL GROUP BY pred_id, gt_id) p JOIN (SELECT pred_id, count(*) AS n FROM vertices GROUP BY pred_id) a ON a.pred_id = p.pred_id JOIN (SELECT gt_id, count(*) AS n FROM vertices GROUP BY gt_id) b ON b.gt_id = p.gt_id"))
+
+
+def instance_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.masks import average_precision
+
+    return average_precision(fixtures.fixture(spark, sf_dir, "vertices"), min_size=20)
+
+
+def fisher_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.masks import fisher_threshold
+
+    rows = fixtures.run(spark, sf_dir, "SELECT c.cell_id AS id, label = 3 AS inside, EL(feat, 1) - EL(feat, 2) AS p FROM cells c JOIN cell_labels l ON l.cell_id = c.cell_id")
+    return fisher_threshold(rows)
+
+
+REACH = "WITH RECURSIVE base AS ({base}), both_ways AS (SELECT u, v FROM base UNION SELECT v, u FROM base), reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT a, v FROM reach JOIN both_ways ON b = u), comps AS (SELECT a AS id, min(b) AS comp FROM reach GROUP BY a) {tail}"
+_NODES = "nodes AS (SELECT cell_id AS id FROM cells)"
+_DENSE = "SELECT c.id, CAST(coalesce(k.label, -1) AS INT) AS label FROM comps c LEFT JOIN (SELECT comp, dense_rank() OVER (ORDER BY comp) - 1 AS label FROM comps GROUP BY comp HAVING count(*) >= {least}) k ON k.comp = c.comp"
+
+
+def reach(base: str, tail: str, nodes: str = _NODES) -> str:
+    return fixtures.oracle(REACH.replace("base AS (", f"{nodes}, base AS (", 1).format(base=base, tail=tail))
+
+
+_SPLIT = reach(
+    "SELECT u, v FROM edges JOIN cell_labels p ON p.cell_id = u JOIN cell_labels q ON q.cell_id = v WHERE p.label = q.label AND p.label >= 0",
+    "SELECT l.cell_id AS id, CAST(coalesce(d.label, -1) AS INT) AS label FROM cell_labels l LEFT JOIN (" + _DENSE.format(least=2) + ") d ON d.id = l.cell_id",
+    "nodes AS (SELECT cell_id AS id FROM cell_labels WHERE label >= 0)",
+)
+
+REGISTRY |= {
+    "connected_components": Query("G1 G2", connected, reach("SELECT u, v FROM edges WHERE u % 3 <> 0 AND v % 5 <> 0", "SELECT * FROM comps")),
+    "threshold_components": Query("G3 A5", thresholded, reach("SELECT u, v FROM edge_d WHERE d < 0.8", _DENSE.format(least=3))),
+    "split_connected": Query("G11", split, _SPLIT),
+    "enclosed_cells": Query("G15 U3", enclosed, None),
+    "dbscan_per_label": Query("J12 G12", dbscan_per_label, None),
+    "hdbscan_labels": Query("G13 J20", hdbscan_labels, None),
+    "multicut_tau": Query("G5 G6 G10", multicut_tau, None),
+    "multicut_votes": Query("G7 G8 G9", multicut_votes, None),
+    "felzenszwalb": Query("G4", felzenszwalb_labels, None),
+    "vote_mixture": Query("A18", vote_mixture, None),
+    "distance_mixture": Query("A17", distance_mixture, None),
+    "nms_topk": Query("O5 O15 O16", nms_topk, None),
+    "view_tour": Query("O10", view_tour, None),
+    "best_union_oracle": Query("O13 E4", best_union_oracle, None),
+    "instance_average_precision": Query("E1 E2 A8 W5", instance_average_precision, None),
+    "fisher_readout": Query("C13", fisher_readout, None),
+}
