@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +51,28 @@ def mutual_reachability(cells: DataFrame, k: int = 16) -> DataFrame:
     return wide.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.greatest("d", "core", "core_v").alias("w")).groupBy("u", "v").agg(F.min("w").alias("w"))
 
 
-def spanning_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest (u, v, w) by rounds of least outgoing edges; ties by endpoint, so that no cycle can close."""
-    tree = None
-    comps = nodes.select("id", F.col("id").alias("comp"))
-    while True:
-        a, b = comps.select(F.col("id").alias("u"), F.col("comp").alias("cu")), comps.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
-        out = edges.join(a, "u").join(b, "v").where("cu <> cv")
-        pick = F.min(F.struct("w", "u", "v")).alias("e")
-        best = out.groupBy(F.col("cu").alias("c")).agg(pick).union(out.groupBy(F.col("cv").alias("c")).agg(pick)).groupBy("c").agg(F.min("e").alias("e"))
-        new = best.select(F.col("e.u").alias("u"), F.col("e.v").alias("v"), F.col("e.w").alias("w")).distinct().checkpoint()
-        if not new.limit(1).count():
-            return tree if tree is not None else new
-        tree = new if tree is None else tree.union(new).distinct().checkpoint()
-        comps = connected_components(nodes, tree)
+def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Minimum spanning forest of a task's edges; ties by endpoints."""
+    rows, root = pd.concat([*batches, pd.DataFrame({"u": [], "v": [], "w": []})]).sort_values(["w", "u", "v"]), {}
+
+    def find(n: int) -> int:
+        while root.setdefault(n, n) != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    kept = []
+    for u, v, w in rows[["u", "v", "w"]].itertuples(index=False, name=None):
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append((int(u), int(v), w))
+    yield pd.DataFrame(kept, columns=["u", "v", "w"])
+
+
+def spanning_tree(edges: DataFrame) -> DataFrame:
+    """Minimum spanning forest (u, v, w). An edge that closes a cycle among a part of the edges is in no minimum tree, so each task first reduces its own part to a forest; what is left, a few edges a node, meets in one task."""
+    return edges.mapInPandas(forest, "u long, v long, w double").coalesce(1).mapInPandas(forest, "u long, v long, w double")
 
 
 def condensed_labels(ids: np.ndarray, tree: np.ndarray, min_size: int) -> dict[int, int]:
@@ -138,8 +149,7 @@ def condensed_labels(ids: np.ndarray, tree: np.ndarray, min_size: int) -> dict[i
 def hdbscan(cells: DataFrame, min_cluster_size: int = 32, min_samples: int = 16) -> DataFrame:
     """(id, label) by hierarchical density clustering of cells (id, feat): graph and tree in Spark, the condensed tree on the driver."""
     spark = cells.sparkSession
-    edges = mutual_reachability(cells, min_samples).checkpoint()
-    tree = spanning_tree(cells.select("id"), edges).toPandas()
+    tree = spanning_tree(mutual_reachability(cells, min_samples).repartition("u")).toPandas()
     ids = np.array(sorted(r.id for r in cells.select("id").collect()))
     labels = condensed_labels(ids, tree[["u", "v", "w"]].to_numpy(float).reshape(-1, 3), min_cluster_size)
     return spark.createDataFrame(list(labels.items()), "id long, label int")
