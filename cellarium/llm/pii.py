@@ -178,7 +178,7 @@ def find(documents: DataFrame) -> DataFrame:
     touching = offered.select("d", "h", "kind", "start", "end").distinct().join(b, ["d", "h"]).where("b_start < end and start < b_end")
     touching = touching.groupBy("d", "h", "kind", "start", "end").agg(F.max((F.col("b_kind") == F.col("kind")).cast("int")).alias("own"))
     offered = stored(offered.join(touching, ["d", "h", "kind", "start", "end"], "left").select("d", "h", "kind", "start", "end", "own", *FEATURES), "offered")
-    counts = offered.groupBy("kind", *FEATURES).agg(F.sum(F.coalesce("own", F.lit(0))).alias("p"), F.count(F.lit(1)).alias("n")).orderBy("kind", *FEATURES).collect()
+    counts = sorted(offered.groupBy("kind", *FEATURES).agg(F.sum(F.coalesce("own", F.lit(0))).alias("p"), F.count(F.lit(1)).alias("n")).collect())
     score = F.lit(None).cast("double")
     for kind in KINDS:
         rows = [(tuple(r[f] for f in FEATURES), float(r["p"]), float(r["n"] - r["p"])) for r in counts if r["kind"] == kind]
