@@ -15,9 +15,10 @@ kept; an empty table gives no row; further columns are not read.
 
 from __future__ import annotations
 
+import json
 from math import exp, log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -40,7 +41,7 @@ GENERATORS = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "mail": r"@|[\[(]at[\])]", "number": r"[0-9]", "phone_form": r"\+[0-9]", "card_form": r"[0-9]{4}"}
 CONTEXT = {"email": "mail|contact|write", "ip": r"\bip\b|addr|host|server", "card": "card|visa|pay|credit", "phone": "tel|phone|call|mobile|fax"}
 FEATURES = ("digits", "dots", "plus", "paren", "seps", "luhn", "octets", "at", "context", "glued", "generator")
-ROUNDS, DEPTH, RATE, PRECISION = 24, 3, 0.3, 0.9
+ROUNDS, DEPTH, RATE, PRECISION, BIN = 24, 3, 0.3, 0.9, 64
 
 
 def digits_of(value: Column) -> Column:
@@ -161,10 +162,16 @@ def boost(counts: list[tuple[tuple, float, float]]) -> tuple[float, list, float]
     return bias, trees, cut
 
 
-def as_column(tree: list | float) -> Column:
-    if not isinstance(tree, list):
-        return F.lit(float(tree))
-    return F.when(F.col(FEATURES[tree[0]]) <= tree[1], as_column(tree[2])).otherwise(as_column(tree[3]))
+def accepted(spark: SparkSession, scores: list[tuple[str, tuple, float]]) -> DataFrame:
+    """kind, features and score as a table, from one literal: as many rows as the features' grid has cells at most."""
+    text = json.dumps([{"kind": k, **dict(zip(FEATURES, x, strict=True)), "score": s} for k, x, s in scores])
+    form = "array<struct<kind: string, " + ", ".join(f"{f}: int" for f in FEATURES) + ", score: double>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), form)))
+
+
+def in_bins(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each stretch of BIN characters that a span touches: spans that overlap share one."""
+    return spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor((F.col(end) - 1) / BIN))))
 
 
 def find(documents: DataFrame) -> DataFrame:
@@ -175,25 +182,26 @@ def find(documents: DataFrame) -> DataFrame:
     offered = proposals(found)
     # how far each candidate overlaps base spans: of its own kind, and of any
     b = base.select("d", "h", F.col("kind").alias("b_kind"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    touching = offered.select("d", "h", "kind", "start", "end").distinct().join(b, ["d", "h"]).where("b_start < end and start < b_end")
+    own = offered.select("d", "h", "kind", "start", "end").distinct()
+    touching = in_bins(own, "start", "end").join(in_bins(b, "b_start", "b_end"), ["d", "h", "bin"]).where("b_start < end and start < b_end")
     touching = touching.groupBy("d", "h", "kind", "start", "end").agg(F.max((F.col("b_kind") == F.col("kind")).cast("int")).alias("own"))
     offered = stored(offered.join(touching, ["d", "h", "kind", "start", "end"], "left").select("d", "h", "kind", "start", "end", "own", *FEATURES), "offered")
     counts = sorted(offered.groupBy("kind", *FEATURES).agg(F.sum(F.coalesce("own", F.lit(0))).alias("p"), F.count(F.lit(1)).alias("n")).collect())
-    score = F.lit(None).cast("double")
+    scores = []
     for kind in KINDS:
-        rows = [(tuple(r[f] for f in FEATURES), float(r["p"]), float(r["n"] - r["p"])) for r in counts if r["kind"] == kind]
-        bias, trees, cut = boost(rows)
-        if cut < float("inf"):
-            total = F.lit(bias)
-            for t in trees:
-                total = total + RATE * as_column(t)
-            score = F.when(F.col("kind") == kind, F.when(total >= cut, total - cut)).otherwise(score)
-    chosen = offered.where(F.col("own").isNull()).withColumn("score", score).where("score is not null")
+        cells = [(tuple(r[f] for f in FEATURES), float(r["p"]), float(r["n"] - r["p"])) for r in counts if r["kind"] == kind]
+        bias, trees, cut = boost(cells)
+        for x, _, _ in cells:
+            total = bias + RATE * sum(value_at(t, x) for t in trees)
+            if total >= cut:
+                scores.append((kind, x, total - cut))
+    # candidates with equal features score alike, so the trees are applied to each cell of the grid once
+    chosen = offered.where(F.col("own").isNull()).join(F.broadcast(accepted(documents.sparkSession, scores)), ["kind", *FEATURES])
     # of accepted candidates that overlap, the one with the highest score stays, then the longest, then the first
     rank = F.struct(F.col("score"), (F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("first"), F.col("kind").alias("k"))
-    chosen = chosen.groupBy("d", "h", "kind", "start", "end").agg(F.max(rank).alias("rank"))
+    chosen = stored(chosen.groupBy("d", "h", "kind", "start", "end").agg(F.max(rank).alias("rank")), "chosen")
     o = chosen.select("d", "h", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("rank").alias("o_rank"))
-    beaten = chosen.join(o, ["d", "h"]).where("o_start < end and start < o_end and o_rank > rank").select("d", "h", "kind", "start", "end").distinct()
+    beaten = in_bins(chosen, "start", "end").join(in_bins(o, "o_start", "o_end"), ["d", "h", "bin"]).where("o_start < end and start < o_end and o_rank > rank").select("d", "h", "kind", "start", "end").distinct()
     added = chosen.join(beaten, ["d", "h", "kind", "start", "end"], "left_anti").select("d", "h", "kind", "start", "end")
     return stored(base.withColumn("base", F.lit(True)).union(added.withColumn("base", F.lit(False))), "spans")
 
