@@ -175,8 +175,8 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, sa
     table = stored(all_features(documents), "features")
     held = lambda c: F.coalesce(remainder(c, folds) == fold, F.lit(False))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held(F.col("doc_id")))
-    rows = table.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", *FEATURES).limit(sample).select("y", *FEATURES).toPandas()
-    model = Additive(rows[list(FEATURES)].to_numpy(np.float32), rows["y"].to_numpy(float))
+    rows = table.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", *FEATURES).limit(sample).select("y", *FEATURES).toArrow()
+    model = Additive(np.stack([rows[f].to_numpy() for f in FEATURES], axis=1), rows["y"].to_numpy().astype(float))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
