@@ -4,7 +4,7 @@ The index holds a posting (document, term, position) for each occurrence of a be
 document was read, with no shuffle. Each benchmark window is looked up by its two rarest terms: their lists, less the
 terms' offsets in the window, are intersected by (document, window start); what is left is compared word by word with
 the document. Windows of the benchmark, their terms and the counts of these have a size that the corpus doesn't change;
-they are broadcast after a count, and joined by shuffle beyond BROADCAST_ROWS.
+they are broadcast after a count, and joined by shuffle beyond BROADCAST_ROWS or BROADCAST_BYTES.
 
 Edge cases: a null or empty text has no words; an item without words has no window; one of fewer words than a window
 is a window; a null item_id counts as an item and adds nothing to the digest; equal item_ids are one item; equal rows
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def split_words(text: Column) -> Column:
@@ -32,9 +32,10 @@ def number_of_words(w: Column) -> Column:
     return F.size(w) - (w[0] == "").cast("int") - ((F.size(w) > 1) & (last == "")).cast("int")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where df has at most `limit` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint where df has at most `rows` rows and these, written as JSON, at most `size` bytes."""
+    n, written = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and written <= size else df
 
 
 def keyed(documents: DataFrame) -> DataFrame:
