@@ -100,7 +100,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10) ->
     owned = wins.groupBy("window", "win").agg(F.collect_set(F.coalesce("item_id", F.lit("\0"))).alias("owners"))
     lists = found.join(small(owned), "window").groupBy("d", "h").agg(F.collect_list(F.struct("start", "win", "owners")).alias("found"))
     lists = stored(lists, "found")
-    rows = keyed(documents).join(small(lists), ["d", "h"], "left").withColumn("w", split_words(F.col("text")))
+    # the lists grow with the corpus: at every size they meet the texts by a shuffle, never by a broadcast
+    rows = keyed(documents).join(lists.hint("merge"), ["d", "h"], "left").withColumn("w", split_words(F.col("text")))
     real = F.filter(F.coalesce("found", F.expr("array()").cast(lists.schema["found"].dataType)), lambda c: F.slice(F.col("w"), F.greatest(c["start"], F.lit(0)) + 1, F.size(c["win"])) == c["win"])
     rows = rows.select("doc_id", "text", number_of_words(F.col("w")).cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), real).alias("found"))
     hits = F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + F.size(c["win"]) - 1))))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .decontaminate import keyed, small
+from .decontaminate import keyed
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -221,7 +221,7 @@ def span_lists(documents: DataFrame) -> DataFrame:
 def with_spans(documents: DataFrame) -> DataFrame:
     """doc_id, text, found for each row."""
     lists = span_lists(documents)
-    rows = keyed(documents).join(small(lists), ["d", "h"], "left")
+    rows = keyed(documents).join(lists.hint("merge"), ["d", "h"], "left")  # lists grow with the corpus: no broadcast
     return rows.select("doc_id", "text", F.coalesce("found", F.expr("array()").cast(lists.schema["found"].dataType)).alias("found"))
 
 
