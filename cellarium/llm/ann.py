@@ -4,7 +4,8 @@ A vector is coded as the sum of one word from each of several codebooks of full
 bounded sample, one after the other on what the former leave over, then all together by least squares; a beam search
 chooses the words. The index holds every row: codes, the norm of the coded vector, and the vector itself. A query looks
 up its products with all words, sums them by code, divides by the stored norm, and reranks the best of each block of
-rows exactly. Queries come in blocks; blocks and rows spread over tasks, and each task keeps five rows a query.
+rows exactly. Queries come in blocks, one after the other, so that the driver holds one block's tables and
+no more than k rows a query are stored; a block's rows spread over tasks, and each task keeps k rows a query.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part; a repeated vec_id is a candidate for each of its rows but never for its own id; ties go to the smaller vec_id;
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 SAMPLE, BOOKS, WORDS, BEAM = 8192, 8, 128, 4
 QUERY_BLOCK, ROW_BLOCK, SHORTLIST = 4096, 4096, 192
@@ -147,13 +148,12 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, sample: int = SA
     index = build(rows, books)
     asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "vector").distinct()
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):  # a block holds some QUERY_BLOCK queries, whatever the table's size
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    path, asked_any = scratch(spark, "nearest"), False
+    for b in range(blocks):  # a block holds some QUERY_BLOCK queries, whatever the table's size, and is done before the next
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas().sort_values("vec_id")
         if len(own):
             one = search(index, own["vec_id"].to_numpy(), np.frombuffer(b"".join(own["vector"]), np.float64).reshape(len(own), -1), books, k, shortlist)
-            out = one if out is None else out.union(one)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.select("query_id", place.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+            one.select("query_id", place.alias("rank"), "vec_id", "score").where(F.col("rank") <= k).write.mode("append").parquet(path)
+            asked_any = True
+    return spark.read.schema(schema).parquet(path) if asked_any else spark.createDataFrame([], schema)

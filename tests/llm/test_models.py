@@ -159,3 +159,11 @@ def test_nearest_recall_and_edges(spark):
     assert hit / total >= 0.95
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 50][:2] == [100, 101]
     assert ann.nearest(table.limit(0)).count() == 0 and ann.nearest(table.where("vec_id in (0, 50)")).count() == 2
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, list(map(float, rng.normal(size=8)))) for i in range(150)], "vec_id long, embedding array<double>")
+    one = sorted(map(tuple, ann.nearest(rows, every=3, k=4).collect()))
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, ann.nearest(rows, every=3, k=4).collect())) == one and len(one) == 200
