@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from cellarium.llm import ann, brown, quality, simhash
+from cellarium.llm import ann, brown, quality, shingles, simhash
 from cellarium.llm.components import components
 from cellarium.llm.simhash import fingerprint
 
@@ -84,6 +84,30 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_shingle_groups_are_those_of_brute_force(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(vocab, k=40)
+    base = [rng.choices(vocab, k=rng.randint(30, 300)) for _ in range(25)]
+    change = lambda t, share: [rng.choice(vocab) if rng.random() < share else x for x in t]
+    texts = [" ".join(t) for b in base for t in (b, b, change(b, 0.005), change(b, 0.01), change(b, 0.02), change(b, 0.03), change(b, 0.05))]
+    texts += [" ".join(rng.choices(vocab, k=60) + passage) for _ in range(30)] + [" ".join(change(base[0], 0.01)) for _ in range(60)] + [None, "", "a b", "A  B", "a b c d e", "a b c d e f"]
+    table = docs(spark, texts)
+    got = {r.doc_id: r.root for r in shingles.similar(table).collect()}
+    assert len(got) == len(texts)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    of = roots(range(len(texts)), pairs)
+    groups = lambda m: Counter(frozenset(i for i in m if m[i] == r) for r in set(m.values()))
+    assert groups(got) == groups(of)
+    fps = [fingerprint(t) for t in texts]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 4 for i, j in pairs) > 50  # what a radius of 4 bits misses
+    assert shingles.similar(table.limit(0)).count() == 0
+
+
 def test_quality_learns_and_handles_edges(spark):
     rng = random.Random(4)
     good = [" ".join(rng.choices(["the", "of", "house", "reading", "over", "tree."], k=rng.randint(20, 60))) for _ in range(300)]
