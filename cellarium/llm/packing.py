@@ -2,9 +2,9 @@
 
 Pieces of one length are alike, so the plan needs only how many there are of each length: at most `capacity` numbers,
 however many documents. Bin completion fills a sequence around the longest piece left with an undominated set of
-others and repeats that filling as often as pieces last; branch-and-bound goes back over the choices, prunes by the
-bound on waste, and starts from the best-fit solution as its incumbent. It ends at the proven bound or after `nodes`
-choices. Pieces then find their place by their rank among those of their length: ranks come from counts per task and
+others and repeats that filling as often as pieces last; branch-and-bound goes back over the choices (all undominated
+fillings, then each repeated less often), prunes by the bound on waste, and starts from the best-fit solution as its
+incumbent. It ends at the proven bound, when no choice is left, or after `nodes` fillings looked at, its only limit. Pieces then find their place by their rank among those of their length: ranks come from counts per task and
 length, so that no task holds all pieces of a frequent length.
 
 Edge cases: a null or empty text is a piece of the end id alone; equal doc_ids are packed each; an empty table gives
@@ -57,45 +57,45 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(tuple(c), n) for classes in open_.values() for c, n in classes]
 
 
-def fillings(counts: list[int], mask: int, room: int, most: int = 6, tries: int = 1500) -> list[tuple[int, ...]]:
-    """Undominated sets of up to three available lengths for `room`, least waste first.
+def fillings(left: dict[int, int], room: int) -> Iterator[tuple[int, ...] | None]:
+    """The undominated sets of available pieces for `room`, least waste first, then longest pieces first; lazily.
 
-    In each the last length is the longest that fits beside the others, and nothing more fits; a set that another one
-    with longer pieces in its place replaces is left out.
+    Sums that can be reached are known beforehand, so each step finds a set; None stands for one that is passed over
+    because a piece more fits, or because a longer piece left could take the place of one or several of its own.
     """
-    if not room or not mask & ((2 << room) - 1):
-        return [()]
-    longest = lambda x: (mask & ((2 << x) - 1)).bit_length() - 1 if x > 0 else 0
-    found: dict[tuple[int, ...], int] = {}
-
-    def add(items: tuple[int, ...], rest: int) -> bool:
-        while rest and (x := longest(rest)) > 0:  # nothing more may fit
-            if items.count(x) >= counts[x] or len(items) > 8:
-                break
-            items, rest = (*items, x), rest - x
-        if all(items.count(x) <= counts[x] for x in set(items)):
-            found.setdefault(tuple(sorted(items, reverse=True)), rest)
-        return sum(r == 0 for r in found.values()) >= most
-
-    a = longest(room)
-    if add((a,), room - a):
-        return sorted(found, key=found.get)[:most]
-    first, spent = a, 0
-    while first > 0 and spent < tries:
-        second = longest(min(first, room - first))
-        if second > 0:
-            spent += 1
-            if add((first, second), room - first - second):
-                break
-            if room - first - second and second > 1:  # not full: a shorter second piece with a third one
-                b, inner = longest(second - 1), 0
-                while b > 0 and inner < 24:
-                    c = longest(min(b, room - first - b))
-                    if c > 0 and first + b + c == room and add((first, b, c), 0):
-                        break
-                    b, inner, spent = longest(b - 1), inner + 1, spent + 1
-        first = longest(first - 1)
-    return sorted(found, key=found.get)[:most]
+    lengths = sorted((x for x, n in left.items() if n and x <= room), reverse=True)
+    reach, full = [1], (2 << room) - 1  # bit s of reach[j]: lengths[j:] can sum to s
+    for x in reversed(lengths):
+        r, n, k = reach[-1], min(left[x], room // x), 1
+        while n:
+            r |= r << min(k, n) * x & full
+            n, k = n - min(k, n), 2 * k
+        reach.append(r)
+    reach.reverse()
+
+    def sums(j: int, rest: int) -> Iterator[tuple[int, ...]]:
+        if not rest:
+            yield ()
+        while rest and reach[j] >> rest & 1:
+            x = lengths[j]
+            for n in range(min(left[x], rest // x), 0, -1):
+                if reach[j + 1] >> rest - n * x & 1:
+                    for others in sums(j + 1, rest - n * x):
+                        yield (x,) * n + others
+            j += 1
+
+    for waste in range(room + 1):
+        if reach[0] >> room - waste & 1:
+            for items in sums(0, room - waste):
+                used = Counter(items)
+                more = sum(1 << x for x in lengths if left[x] > used[x])  # lengths that are left beside the set
+                one, several = 0, 0  # sums of one piece, and of two or more
+                for x in items:
+                    several, one = several | several << x | one << x, one | 1 << x
+                longer = several
+                for _ in range(waste):
+                    longer = longer << 1 | several | one << 1
+                yield None if more & (longer | (2 << waste) - 2) else items
 
 
 def waste_bound(counts: dict[int, int], capacity: int) -> int:
@@ -120,46 +120,53 @@ def bin_completion(counts: dict[int, int], capacity: int = 1024, nodes: int = 20
     used = sum(n for _, n in best)
     if used == bound:
         return best
-    left = [0] * (capacity + 1)
-    for k, v in counts.items():
-        left[k] = v
-    mask = sum(1 << k for k in counts)
-    path: list[list] = []  # [untried fillings, the one taken, how often, sequences before]
+    left = dict(counts)
+    path: list[list] = []  # [untried choices, the filling taken, how often, sequences before, weight before]
     bins, weight, spent = 0, total, 0
 
     def take(items: tuple[int, ...], times: int) -> None:
-        nonlocal mask
         for x in items:
             left[x] -= times
-        for x in set(items):
-            mask = mask & ~(1 << x) if left[x] == 0 else mask | 1 << x
+
+    def choices() -> Iterator[tuple[tuple[int, ...], int] | None]:
+        """Each filling around the longest piece as often as pieces last; then each of them less often."""
+        own = {x: n for x, n in left.items() if n}
+        top = max(own)
+        rest, most = own | {top: own[top] - 1}, 0
+        for f in fillings(rest, capacity - top):
+            times = f is not None and min(own[x] // n for x, n in Counter((top, *f)).items())
+            most = max(most, times)
+            yield ((top, *f), times) if times else None
+        for less in range(most - 1, 0, -1):
+            for f in fillings(rest, capacity - top):
+                yield ((top, *f), less) if f is not None and less < min(own[x] // n for x, n in Counter((top, *f)).items()) else None
 
     while spent < nodes:
-        spent += 1
-        if mask and bins + -(-weight // capacity) < used:  # waste so far leaves room for a better solution
-            top = mask.bit_length() - 1
-            left[top] -= 1
-            own = mask if left[top] else mask & ~(1 << top)
-            options = [(top, *f) for f in fillings(left, own, capacity - top)]
-            left[top] += 1
-            path.append([options[::-1], None, 0, bins, weight])
-        elif not mask and bins < used:
+        if weight and bins + -(-weight // capacity) < used:  # waste so far leaves room for a better solution
+            path.append([choices(), None, 0, bins, weight])
+        elif not weight and bins < used:
             best, used = [(tuple(sorted(p[1], reverse=True)), p[2]) for p in path], bins
             if used == bound:
                 break
-        while path and not path[-1][0]:  # back to the last choice that is left
-            take(path[-1][1], -path[-1][2])
-            path.pop()
-        if not path:
+        choice = None
+        while path and choice is None and spent < nodes:  # the next choice, or back to the last one that is left
+            spent += 1
+            node = path[-1]
+            if node[1]:
+                take(node[1], -node[2])
+                node[1] = None
+            if node[3] + -(-node[4] // capacity) >= used:  # a better solution has been found since
+                path.pop()
+                continue
+            try:
+                choice = next(node[0])
+            except StopIteration:
+                path.pop()
+        if choice is None:
             break
-        node = path[-1]
-        if node[1]:
-            take(node[1], -node[2])
-        items = node[0].pop()
-        times = min(left[x] // n for x, n in Counter(items).items())
-        node[1], node[2] = items, times
-        take(items, times)
-        bins, weight = node[3] + times, node[4] - times * sum(items)
+        node[1], node[2] = choice
+        take(*choice)
+        bins, weight = node[3] + node[2], node[4] - node[2] * sum(node[1])
     return best
 
 

@@ -109,6 +109,15 @@ def test_bin_completion_is_best_on_small_inputs():
     assert exact >= 58
 
 
+def test_bin_completion_mixes_many_short_pieces():
+    for counts in ({94: 6000, 92: 5000}, {94: 6000, 92: 5000, 31: 33 * 7}, {512: 3, 94: 1200, 92: 1000}):
+        assert check_plan(packing.bin_completion(counts, 1024), counts, 1024) == packing.waste_bound(counts, 1024) < check_plan(packing.best_fit(counts, 1024), counts, 1024)
+    rng = random.Random(11)
+    for _ in range(40):  # no choice is left out: with nodes to spare the plan is the best one
+        counts = Counter(rng.randint(2, 13) for _ in range(rng.randint(1, 10)))
+        assert check_plan(packing.bin_completion(counts, 20), counts, 20) == fewest(sorted(counts.elements(), reverse=True), 20)
+
+
 def test_pack(spark):
     rng = random.Random(2)
     rows = [(i, t, "s", 1) for i, t in enumerate(ODD)] + [(100 + i, " ".join(rng.choices(["alpha", "beta", "x1", "ok."], k=rng.randint(0, 900))), "s", 2) for i in range(120)] + [(3, "a  b", "s", 7), (None, "null id", "s", 7)]
