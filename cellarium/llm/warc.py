@@ -92,15 +92,17 @@ def base32_of_hex(digest: Column) -> Column:
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+STOP = re.compile(rb"\r\n(?:\r\n|WARC/1\.[01]\r\n)")
 
 
 def parse(data: bytes | memoryview, at: int, end: int) -> tuple[dict, int]:
     """The record at `at` and where it ends; ValueError names the check that it fails."""
     if not VERSION.match(data, at, end):
         raise ValueError("version line")
-    stop = bytes(data[at : min(end, at + 65536)]).find(b"\r\n\r\n")
-    if stop < 0:
+    found = STOP.search(data, at, end)  # however long the header is; the next version line ends a damaged one
+    if not found or found.end() - found.start() > 4:
         raise ValueError("header end")
+    stop = found.start() - at
     head = {}
     for line in bytes(data[at : at + stop]).split(b"\r\n")[1:]:
         k, sep, v = line.partition(b":")

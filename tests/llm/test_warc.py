@@ -52,3 +52,15 @@ def test_salvage():
 def test_a_long_record_ends_with_a_member_of_nothing():
     rec = warc.record(1, "u", b"x" * (1 << 24), 1 << 24, base64.b32encode(hashlib.sha1(b"x" * (1 << 24)).digest()).decode(), None, "d")
     assert [len(r["payload"]) for r, *_ in warc.salvage(b"\0".join([warc.unended(rec), warc.unended(rec), b""]))] == [1 << 24] * 2
+
+
+def test_a_long_url_is_kept(spark, tmp_path):
+    urls = ["u" * 200_000, "http://a/" + " \x01" * 100_000, "http://a/WARC/1.1"]
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame([(i, u, f"<p>{i}</p>", "f") for i, u in enumerate(urls)], PAGES), path)
+    got = {r.page_id: (r.url, r.record_type) for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: (u.translate(warc.CONTROL), "response") for i, u in enumerate(urls)}
+    parts = [warc.record(i, u, b"x", 1, base64.b32encode(hashlib.sha1(b"x").digest()).decode(), None, "d") for i, u in enumerate(urls)]
+    assert [warc.page_of(r["warc-record-id"]) for r, *_ in warc.salvage(b"".join(parts))] == [0, 1, 2]
+    found = list(warc.salvage(parts[0][:150_000] + b"\r\n" + parts[1] + parts[2]))  # the first one's header has no end
+    assert [r and warc.page_of(r["warc-record-id"]) for r, *_ in found] == [None, 1, 2] and found[0][3] == "header end"
