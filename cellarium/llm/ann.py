@@ -4,7 +4,7 @@ A vector is coded as the sum of one word from each of several codebooks of full
 bounded sample, one after the other on what the former leave over, then all together by least squares; a beam search
 chooses the words. The index holds every row: codes, the norm of the coded vector, and the vector itself. A query looks
 up its products with all words, sums them by code, divides by the stored norm, and reranks the best of each block of
-rows exactly. Queries come in blocks, one after the other, so that the driver holds one block's tables and
+rows exactly, with every row that ties with the last of these, as copies and near copies of one code do. Queries come in blocks, one after the other, so that the driver holds one block's tables and
 no more than k rows a query are stored; a block's rows spread over tasks, and each task keeps k rows a query.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
@@ -118,7 +118,10 @@ def search(index: DataFrame, ids: np.ndarray, queries: np.ndarray, books: np.nda
                     for j in range(1, len(books)):
                         score += table[q, j].take(cols[j])
                     score *= inverse
-                    top = np.argpartition(-score, shortlist)[:shortlist] if len(score) > shortlist else np.arange(len(score))
+                    if len(score) > shortlist:  # with all that tie with the last one: rows of one code have one score
+                        top = np.flatnonzero(score >= np.partition(score, len(score) - shortlist)[len(score) - shortlist])
+                    else:
+                        top = np.arange(len(score))
                     top = top[vec[top] != ids[q]]
                     s, v = exact(queries[q], vectors[top]), vec[top]
                     if q in best:
@@ -135,7 +138,7 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5, sample: int = SA
     """The k nearest of each row whose vec_id is divisible by `every`, by cosine.
 
     sample: most vectors that the codebooks are learnt from, those with the smallest hash of their id. shortlist: how
-    many of a block of 4096 rows are compared exactly.
+    many of a block of 4096 rows are compared exactly, besides those that tie with the last.
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings)

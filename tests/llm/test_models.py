@@ -185,6 +185,28 @@ def test_nearest_recall_and_edges(spark):
     assert ann.nearest(table.limit(0)).count() == 0 and ann.nearest(table.where("vec_id in (0, 50)")).count() == 2
 
 
+def test_a_third_of_rows_in_one_group(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 16))
+    group = rng.permutation(6000)[:2000]
+    x[group[:1000]] = x[group[0]]
+    x[group[1000:]] = x[group[0]] + rng.normal(size=(1000, 16)) * 1e-4
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in ann.nearest(table, every=50, k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    hit = total = 0
+    for q in sorted(set(group.tolist()) & set(range(0, 6000, 50))):
+        s = ann.exact(x[q], x)
+        want = [i for i in np.lexsort((np.arange(6000), -s)).tolist() if i != q][:5]
+        mine = [i for _, i in sorted(got[q])]
+        if (x[q] == x[group[0]]).all():
+            assert mine == want  # copies: the smallest ids
+        hit, total = hit + len(set(mine) & set(want)), total + 5
+    print("recall in the group", hit / total)
+    assert hit / total >= 0.95
+
+
 def test_blocks_of_queries_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = spark.createDataFrame([(i, list(map(float, rng.normal(size=8)))) for i in range(150)], "vec_id long, embedding array<double>")
