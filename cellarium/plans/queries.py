@@ -98,7 +98,7 @@ def vote_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distance_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellarium.operators.partition import gaussian_mixture
 
-    found = gaussian_mixture(_edges(spark, sf_dir), rounds=12)
+    found = gaussian_mixture(_edges(spark, sf_dir))
     return spark.createDataFrame([tuple(round(x, 6) for x in p) for p in found], "weight double, mean double, sd double")
 
 
