@@ -207,6 +207,51 @@ def test_a_third_of_rows_in_one_group(spark):
     assert hit / total >= 0.95
 
 
+def recall(x, got, k=5):
+    hit = total = 0
+    for q, mine in got.items():
+        s = ann.exact(x[q], x)
+        want = [i for i in np.lexsort((np.arange(len(x)), -s)).tolist() if i != q][:k]
+        hit, total = hit + len(set(mine) & set(want)), total + k
+    return hit / total
+
+
+def test_recall_holds_as_the_table_grows_with_one_shortlist(spark):
+    """Gaussian vectors, which have no neighbourhoods to speak of: the worst case for codes."""
+    rng = np.random.default_rng(21)
+    for n in (4000, 20000):
+        x = rng.normal(size=(n, 64))
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        got = {}
+        for r in ann.nearest(table, every=200, k=5, shortlist=128, sample=4096).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        found = recall(x, got)
+        print("recall", n, found)
+        assert len(got) == n // 200 and found >= 0.9
+
+
+def test_magnitudes_and_lengths(spark):
+    """Cosines of huge and tiny vectors, by exact fractions; vectors of another length are compared with each other."""
+    x = {0: (1e200, 0.0), 1: (1e200, 1e199), 2: (0.0, 1.0), 3: (1e-200, 0.0), 4: (5e-324, 5e-324), 50: (1.0, 2.0, 3.0), 100: (3.0, 2.0, 1.0), 7: (), 8: (0.0, 0.0), 9: (float("inf"), 1.0)}
+    table = spark.createDataFrame([(i, list(v)) for i, v in x.items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, every=50, k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    first = sorted(got[0])
+    assert [v for _, v, _ in first] == [3, 1, 4, 2]
+    assert [s for *_, s in first] == pytest.approx([1, 1 / math.sqrt(1.01), math.sqrt(0.5), 0], abs=1e-12)
+    assert got[50] == [(1, 100, pytest.approx(10 / 14))] and got[100] == [(1, 50, pytest.approx(10 / 14))] and set(got) == {0, 50, 100}
+
+
+def test_copies_beyond_k_change_nothing(spark):
+    """One vector on many rows, some of which repeat an id."""
+    rows = [(i, [1.0, 2.0]) for i in range(0, 400)] + [(50, [1.0, 2.0])] * 9 + [(3, [1.0, 2.0])] * 2 + [(900, [2.0, 1.0])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), every=50, k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert [v for _, v in sorted(got[0])] == [1, 2, 3, 3, 3] and [v for _, v in sorted(got[50])] == [0, 1, 2, 3, 3] and [v for _, v in sorted(got[900])] == [0, 1, 2, 3, 3]
+
+
 def test_blocks_of_queries_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = spark.createDataFrame([(i, list(map(float, rng.normal(size=8)))) for i in range(150)], "vec_id long, embedding array<double>")
