@@ -18,7 +18,6 @@ def expected(name, text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_path(name))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -33,6 +32,11 @@ def test_chunked_encoding_equals_the_library(name):
         assert np.frombuffer(enc.encode(t or ""), "<u4").tolist() == expected(name, t, 0)[:-1], t
 
 
+def test_special_strings_give_the_ids_of_the_plain_library():
+    assert np.frombuffer(Encoder(public_path("word_bpe_49k.json")).encode("hello <|endoftext|> world"), "<u4").tolist() == [3306, 49407, 1002]
+    assert np.frombuffer(Encoder(public_path("byte_bpe_50k.json")).encode("a<|endoftext|>"), "<u4").tolist()[-1] == 50256
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     ids = rng.choice([1, 5, 6, 7, 8, 9], 40_000).astype(np.uint32)
