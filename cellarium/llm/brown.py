@@ -1,22 +1,30 @@
-"""Operator 7, language-model scores from a class-based bigram model.
+"""Operator 7, language-model scores from a class-based bigram model over the whole vocabulary.
 
 Words of the training texts are counted over all tasks. The `clustered` most frequent words are put into classes by
-exchange: each word in turn moves to the class that raises the likelihood of the class bigrams most. All other words
-share one class, the end of a text has its own. A word's probability is that of its class after the class before,
-times that of the word in its class; both are smoothed.
+exchange: each word in turn moves to the class that raises the likelihood of the class bigrams most. Every other word
+of training, however rare, is then assigned in a distributed pass to the class whose bigrams with the classes of its
+neighbours, counted over all its occurrences, gain most by the same objective. Transitions are counted between the
+classes of all words, on both sides.
 
-Words that occur more than a threshold that at most `common` words pass are scored where the text is, from a table of
-bounded size; the rest, however many, meet their counts by a join, and no such word is frequent.
+The probability of a text is that of its words' classes, each after the class before, times that of each word in its
+class: c(w) over the class's count. Words not seen are a class of their own, which has the transitions of the words seen
+once, counted a second time; such a word is one of as many as there are words seen once, and one more. Transitions are
+backed off to the classes' shares. So the probabilities of all words, of the end and of the unseen words sum to one
+after any history.
 
-Edge cases: a null text is empty and is its end alone; words never seen in training get a smoothed share; without
-training texts all words are unknown; repeated rows are scored each; a null doc_id is no held-out one; an empty table
-gives no row; further columns are not read.
+Words above a count that at most `common` words pass, and of at most LONGEST bytes, are looked up where the text is,
+from a table of bounded size; the rest, however many, meet their classes and counts by a join. The class bigrams of the
+clustered words and the transitions are all that comes to the driver beside them.
+
+Edge cases: a null text is empty and is its end alone; without training texts all words are unseen; repeated rows are
+scored each; a null doc_id is no held-out one; an empty table gives no row; further columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import log10
 
 import numpy as np
@@ -27,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import remainder, stored
 
-CLUSTERED, CLASSES, COMMON, FLUSH = 1024, 32, 120_000, 400_000
+CLUSTERED, CLASSES, COMMON, FLUSH, LONGEST = 1024, 64, 120_000, 400_000, 64
+ONCE = 1 << 12  # added to the class of a word seen once, in a sequence of classes
 
 
 def words(text: str | None) -> list[bytes]:
@@ -89,7 +98,7 @@ def exchange(counts: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
     k = len(counts) - 2
     classes = max(1, min(classes, k))
     own = np.concatenate([np.arange(k) % classes, [classes, classes + 1]])
-    m = classes + 2
+    m, each = classes + 2, np.arange(classes)
     f = lambda x: x * np.log(np.maximum(x, 1e-300))
     member = np.zeros((k + 2, m))
     member[np.arange(k + 2), own] = 1
@@ -97,22 +106,20 @@ def exchange(counts: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
     for _ in range(passes):
         moved = 0
         for w in range(k):
-            a = own[w]
-            loop = counts[w, w]
+            a, loop = own[w], counts[w, w]
             out, into = right[w].copy(), left[w].copy()  # of the word with each class, to its right and to its left
             out[a] -= loop
             into[a] -= loop
             pair[a] -= out
             pair[:, a] -= into
             pair[a, a] -= loop
-            gain = np.empty(classes)
             rows, cols = pair.sum(1), pair.sum(0)
-            w_out, w_in = out.sum() + loop, into.sum() + loop
-            for c in range(classes):  # only row and column c change
-                r, s = pair[c] + out, pair[:, c] + into
-                both = pair[c, c] + out[c] + into[c] + loop
-                gain[c] = f(r).sum() - f(r[c]) + f(s).sum() - f(s[c]) + f(both) - f(pair[c]).sum() - f(pair[:, c]).sum() + f(pair[c, c])
-                gain[c] -= f(rows[c] + w_out) - f(rows[c]) + f(cols[c] + w_in) - f(cols[c])
+            # in class c only row and column c change; their common entry counts once
+            fp, r, s = f(pair), f(pair[:classes] + out), f(pair[:, :classes].T + into)
+            both = f(pair[each, each] + out[each] + into[each] + loop)
+            gain = r.sum(1) - r[each, each] + s.sum(1) - s[each, each] + both
+            gain -= fp[:classes].sum(1) + fp[:, :classes].sum(0) - fp[each, each]
+            gain -= f(rows + out.sum() + loop)[:classes] - f(rows)[:classes] + f(cols + into.sum() + loop)[:classes] - f(cols)[:classes]
             b = int(np.argmax(gain))
             b = b if gain[b] > gain[a] + 1e-9 else a
             pair[b] += out
@@ -130,78 +137,199 @@ def exchange(counts: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
     return own
 
 
-def model(counts: np.ndarray, own: np.ndarray, unigrams: np.ndarray, mu: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 of class after class, log10 of each clustered word in its class).
+def context_gains(counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What each class gains, to first order in the exchange's objective, by an occurrence between a left and a right class.
 
-    A transition is the class pair's count, backed off to the class's own share with weight mu.
+    Row left * m + right; a column for each class of clustered words.
     """
     m = int(own.max()) + 1
     member = np.zeros((len(own), m))
     member[np.arange(len(own)), own] = 1
     pair = member.T @ counts @ member
-    share = (pair.sum(0) + 0.5) / (pair.sum() + 0.5 * m)
-    step = (pair + mu * share) / (pair.sum(1, keepdims=True) + mu)
-    k = len(own) - 2
-    total, size = np.bincount(own[:k], unigrams, m), np.bincount(own[:k], minlength=m)
-    return np.log10(step), np.log10((unigrams + 0.5) / (total + 0.5 * size)[own[:k]])
+    before = np.log(pair + 0.5) - np.log(pair.sum(0) + 0.5)  # [left, class]
+    after = (np.log(pair + 0.5) - np.log(pair.sum(1, keepdims=True) + 0.5)).T  # [right, class]
+    return (before[:, None, : m - 2] + after[None, :, : m - 2]).reshape(m * m, m - 2)
 
 
-def score(documents: DataFrame, folds: int = 5, fold: int = 1, clustered: int = CLUSTERED, classes: int = CLASSES, common: int = COMMON) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; held-out rows teach nothing."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), folds) == fold, F.lit(False)))
-    training = docs.where(~F.col("held_out"))
+def assigned(training: DataFrame, place: dict[bytes, int], gains: np.ndarray) -> DataFrame:
+    """word, c, kind of every training word that is not clustered, stored. A word's contexts are at most the pairs of classes."""
+    k = gains.shape[1]
+    m = k + 2
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.binary()), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["word", "context", "n"])
+        get = place.get
+        for batch in batches:
+            for t in batch.column(0):
+                w = words(t.as_py())
+                kinds = np.array([k + 1, *[get(x, k) for x in w], k + 1], np.int64)
+                at = np.flatnonzero(kinds[1:-1] == k).tolist()
+                pairs = (kinds[:-2] * m + kinds[2:])[at].tolist()
+                seen.update(zip([w[i] for i in at], pairs, strict=True))
+                if len(seen) > FLUSH:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                contexts = part.column(1).flatten()
+                pair, n = (contexts.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                ends = np.cumsum(part.column(1).value_lengths().to_numpy())
+                score, first = np.zeros((part.num_rows, k)), 0
+                for i in range(0, part.num_rows, 64):  # 64 words have at most 64 * m * m contexts
+                    stop = int(ends[min(i + 64, part.num_rows) - 1])
+                    starts = np.concatenate(([first], ends[i : i + 63][: min(64, part.num_rows - i) - 1])) - first
+                    score[i : i + 64] = np.add.reduceat(gains[pair[first:stop]] * n[first:stop, None], starts, axis=0)
+                    first = stop
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.round(score, 9).argmax(1).astype(np.int32))], names=["word", "c", "kind"])
+
+    rows = training.select("text").mapInArrow(partial, "word binary, context int, n long").repartition("word")
+    rows = rows.groupBy("word", "context").agg(F.sum("n").alias("n")).groupBy("word")  # one shuffle serves both
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("context", "n"))).alias("contexts"), F.sum("n").alias("c"))
+    return stored(rows.mapInArrow(best, "word binary, c long, kind int"), "classes")
+
+
+@dataclass
+class Vocabulary:
+    """clustered: word -> (count, class) of the clustered words; rest: word, c, kind of all other training words; k classes."""
+
+    clustered: dict[bytes, tuple[int, int]]
+    rest: DataFrame
+    k: int
+    ends: int
+    tokens: int
+    distinct: int
+    once: int
+
+
+def learn(training: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES) -> Vocabulary:
     counts = counted(training)
     ends = training.count()
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    tokens, vocabulary = total + ends, distinct + (ends > 0)
+    total, distinct, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
+    top = [(bytes(w), c) for w, c in counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(clustered).collect()]
+    table = bigrams(training, {w: i for i, (w, _) in enumerate(top)}, len(top))
+    if top:
+        own = exchange(table, classes)
+        gains = context_gains(table, own)
+    else:
+        own, gains = np.array([1, 2]), np.zeros((9, 1))  # words that are longer than LONGEST alone, or none: one class
+    kept = {w: (c, int(own[i])) for i, (w, c) in enumerate(top)}
+    return Vocabulary(kept, assigned(training, {w: x for w, (_, x) in kept.items()}, gains), gains.shape[1], ends, total + ends, distinct + (ends > 0), once)
+
+
+def sequences(docs: DataFrame, vocabulary: Vocabulary, common: int = COMMON) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base (the sum of log10(c + 0.5)), emit (that of log10(c) of known words) and kinds, the classes in order, stored."""
+    v, k = vocabulary, vocabulary.k
+    rest = v.rest.where(F.octet_length("word") <= LONGEST)
     # the least count that at most `common` words have: from the number of words of each count, a short list
-    steps, cut, passed = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(common).collect(), 0, 0
-    for r in steps:
+    cut, passed = 0, 0
+    for r in rest.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(common + 1).collect():
         if passed + r["n"] > common:
             cut = r["c"]
             break
         passed += r["n"]
-    known = sorted(((bytes(w), c) for w, c in counts.where(F.col("c") > cut).collect()), key=lambda x: (-x[1], x[0]))
-    top = known[:clustered]
-    k = len(top)
-    place = {w: i for i, (w, _) in enumerate(top)}
-    table = bigrams(training, place, k)
-    own = exchange(table, classes)
-    step, emit = model(table, own, np.array([c for _, c in top], float))
-    base = log10(tokens + 0.5 * (vocabulary + 1))
-    # the class of all other words, with one share for words not seen
-    rest = log10(total - sum(c for _, c in top) + 0.5 * (distinct - k + 1))
-    frequent = {w: (i if i < k else k, log10(c + 0.5)) for i, (w, c) in enumerate(known)}
-    end_base, end_class, m = log10(ends + 0.5) - base, int(own[k + 1]), len(step)
-    flat = step.ravel()
+    known = [(w, *x) for w, x in v.clustered.items()] + [(bytes(w), c, x) for w, c, x in rest.where(F.col("c") > cut).collect()]
+    place = {w: i for i, (w, _, _) in enumerate(known)}
+    c = np.array([0, *[x[1] for x in known]], float)[1:]
+    near, emit = np.log10(c + 0.5), np.log10(np.maximum(c, 1))
+    kind = np.array([0, *[x[2] + ONCE * (x[1] == 1) for x in known]], np.int16)[1:]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, get = TaskContext.get().partitionId(), 0, frequent.get
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"]
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+        part, seen, get = TaskContext.get().partitionId(), 0, place.get
+        names = ["row", "doc_id", "held_out", "n_known", "base", "emit", "kinds", "rare", "which"]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 256):
                 out = []
-                for doc_id, text, held in zip(*(batch.column(i)[at : at + 512].to_pylist() for i in range(3)), strict=True):
+                for doc_id, text, held in zip(*(batch.column(i)[at : at + 256].to_pylist() for i in range(3)), strict=True):
                     w = words(text)
-                    found = [get(x) for x in w]
-                    rare = Counter(x for x, y in zip(w, found, strict=True) if y is None)
-                    ids = np.array([y[0] if y else k for y in found], np.int64)
-                    logs = sum(y[1] for y in found if y)
-                    n_rare = sum(rare.values())
-                    kinds = own[np.concatenate(([k + 1], ids, [k + 1]))]
-                    low = ids < k
-                    value = flat[kinds[:-1] * m + kinds[1:]].sum() + emit[ids[low]].sum() + sum(y[1] for y in found if y and y[0] == k) - rest * (len(w) - int(low.sum()))
-                    out.append(((part << 33) + seen, doc_id, held, len(w) + 1, len(w) - n_rare + (ends > 0), logs - base * len(w) + end_base, float(value), list(rare), list(rare.values())))
+                    ids = np.array([get(x, -1) for x in w], np.int64)
+                    low = ids >= 0
+                    kinds = np.full(len(w), -1, np.int16)
+                    kinds[low] = kind[ids[low]]
+                    rare: dict[bytes, int] = {}
+                    which = np.array([rare.setdefault(w[i], len(rare)) for i in np.flatnonzero(~low).tolist()], np.int32)
+                    out.append(((part << 33) + seen, doc_id, held, int(low.sum()), near[ids[low]].sum(), emit[ids[low]].sum(), kinds.tobytes(), list(rare), which.tobytes()))
                     seen += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    rows = stored(docs.select("doc_id", "text", "held_out").mapInArrow(partial, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<int>"), "scored")
-    uses = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
-    few = counts.where(F.col("c") <= cut)
-    met = uses.join(few, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("met"))
-    logs, met_n = F.coalesce("logs", F.lit(0.0)), F.coalesce("met", F.lit(0))
-    return rows.drop("rare", "times").join(met, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + met_n).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + logs).alias("base_score"), (F.col("score") + logs).alias("score"),
-    )
+    fields = "doc_id long, held_out boolean, n_known long, base double, emit double, kinds binary"
+    rows = stored(docs.select("doc_id", "text", "held_out").mapInArrow(partial, f"row long, {fields}, rare array<binary>, which binary"), "words")
+    uses = rows.select("row", F.posexplode("rare").alias("i", "word")).join(v.rest, "word")
+    found = uses.groupBy("row").agg(F.collect_list(F.struct("i", "c", "kind")).alias("found"))  # a text's own words only
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, held, n_known, base, emitted, raw, n, which, own in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                kinds, which = np.frombuffer(raw, np.int16).copy(), np.frombuffer(which, np.int32)
+                c, x = np.zeros(n), np.full(n, k + 1, np.int16)
+                for r in own or ():
+                    c[r["i"]], x[r["i"]] = r["c"], r["kind"] + ONCE * (r["c"] == 1)
+                c = c[which]
+                kinds[kinds == -1] = x[which]
+                out.append((doc_id, held, n_known + int((c > 0).sum()), base + float(np.log10(c + 0.5).sum()), emitted + float(np.log10(np.maximum(c, 1)).sum()), kinds.tobytes()))
+            types = [pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "held_out", "n_known", "base", "emit", "kinds"])
+
+    whole = rows.select("row", "doc_id", "held_out", "n_known", "base", "emit", "kinds", F.size("rare").alias("size"), "which")
+    whole = whole.join(found.hint("merge"), "row", "left").select("doc_id", "held_out", "n_known", "base", "emit", "kinds", "size", "which", "found")
+    return stored(whole.mapInArrow(complete, fields), "sequences")
+
+
+def transitions(rows: DataFrame, k: int) -> np.ndarray:
+    """How often each class follows each: k classes, the end (k), unseen words (k + 1), for which words seen once count again."""
+    m = k + 2
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(m * m, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                kinds = np.concatenate(([k], np.frombuffer(raw.as_buffer(), np.int16).astype(np.int64), [k]))
+                once, kinds = kinds >= ONCE, kinds % ONCE
+                a, b, u, x = kinds[:-1], kinds[1:], once[:-1], once[1:]
+                total += np.bincount(np.concatenate([a * m + b, a[x] * m + k + 1, (k + 1) * m + b[u], np.full(int((u & x).sum()), m * m - 1)]), minlength=m * m)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    found = rows.select("kinds").mapInArrow(partial, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(m * m)
+    out[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+    return out.reshape(m, m)
+
+
+def probabilities(counts: np.ndarray, once: int, mu: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 of class after class, log10 of what a word's count is divided by in each class; one for the end)."""
+    m = len(counts)
+    share = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * m)
+    step = (counts + mu * share) / (counts.sum(1, keepdims=True) + mu)
+    size = counts[: m - 1].sum(0)  # without the history of unseen words, whose tokens are counted elsewhere
+    return np.log10(step), np.log10(np.concatenate([np.maximum(size[: m - 2], 1), [1.0, once + 1.0]]))
+
+
+def score(documents: DataFrame, folds: int = 5, fold: int = 1, clustered: int = CLUSTERED, classes: int = CLASSES, common: int = COMMON) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row; held-out rows teach nothing."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), folds) == fold, F.lit(False)))
+    v = learn(docs.where(~F.col("held_out")), clustered, classes)
+    rows, k = sequences(docs, v, common), v.k
+    step, size = probabilities(transitions(rows.where(~F.col("held_out")), k), v.once)
+    flat, m, base, end = step.ravel(), k + 2, log10(v.tokens + 0.5 * (v.distinct + 1)), log10(v.ends + 0.5)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, total = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows)
+            for i, raw in enumerate(batch.column(5)):
+                kinds = np.frombuffer(raw.as_buffer(), np.int16).astype(np.int64) % ONCE
+                path = np.concatenate(([k], kinds, [k]))
+                n[i], total[i] = len(kinds) + 1, flat[path[:-1] * m + path[1:]].sum() - size[kinds].sum()
+            total += batch.column(4).to_numpy()
+            near = batch.column(3).to_numpy() + end - n * base
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(batch.column(2).to_numpy() + (v_ends > 0)), pa.array(near), pa.array(total), pa.array(10 ** (-total / n))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "perplexity"])
+
+    v_ends = v.ends
+    out = rows.select("doc_id", "held_out", "n_known", "base", "emit", "kinds").mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

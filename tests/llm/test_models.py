@@ -144,19 +144,65 @@ def test_brown_scores(spark):
     toks = [[x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()] for t in texts]
     c = Counter(w for t, h in zip(toks, want_held, strict=True) if not h for w in [*t, None])
     total, v = sum(c.values()), len(c)
+    table = docs(spark, texts)
     for common in (10_000, 20, 0):  # the split between the table and the join changes nothing
-        got = {r.doc_id: r for r in brown.score(docs(spark, texts), clustered=12, classes=3, common=common).collect()}
+        got = {r.doc_id: r for r in brown.score(table, clustered=12, classes=3, common=common).collect()}
         for i, t in enumerate(toks):
             r = got[i]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (want_held[i], len(t) + 1, sum(c[w] > 0 for w in [*t, None]), total)
             assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (total + 0.5 * (v + 1))) for w in [*t, None]), abs=1e-9)
+            assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
         if common == 10_000:
             first = {i: r.score for i, r in got.items()}
-        elif common == 20:
+        else:
             assert {i: r.score for i, r in got.items()} == pytest.approx(first, abs=1e-9)
     assert sum(first.values()) > sum(r.base_score for r in got.values())
+    # the same model in plain code, from the classes of the words
+    held = [i for i, h in enumerate(want_held) if h]
+    learnt = brown.learn(table.where(~table.doc_id.isin(held)), clustered=12, classes=3)
+    kind = {w.decode(): x for w, (_, x) in learnt.clustered.items()} | {bytes(r.word).decode(): r.kind for r in learnt.rest.collect()}
+    assert set(kind) == {w for w in c if w is not None} and set(kind.values()) == {0, 1, 2}  # every training word has a class
+    once = {w for w, n in c.items() if n == 1 and w is not None}
+    pairs = Counter()
+    for t, h in zip(toks, want_held, strict=True):
+        path = ["end", *t, "end"]
+        for a, b in zip(path, path[1:]) if not h else ():
+            for x in {kind.get(a, "end"), "unseen"} if a in once else {kind.get(a, "end")}:
+                for y in {kind.get(b, "end"), "unseen"} if b in once else {kind.get(b, "end")}:
+                    pairs[x, y] += 1
+    kinds = [0, 1, 2, "end", "unseen"]
+    n = sum(pairs.values())
+    share = {y: (sum(pairs[x, y] for x in kinds) + 0.5) / (n + 2.5) for y in kinds}
+    step = {(x, y): (pairs[x, y] + 20 * share[y]) / (sum(pairs[x, z] for z in kinds) + 20) for x in kinds for y in kinds}
+    size = {x: sum(n for w, n in c.items() if w is not None and kind[w] == x) for x in (0, 1, 2)}
+    def p(prev, w):
+        x = "end" if prev is None else kind.get(prev, "unseen")
+        if w is None:
+            return step[x, "end"]
+        return step[x, kind[w]] * c[w] / size[kind[w]] if w in kind else step[x, "unseen"] / (len(once) + 1)
+    for i, t in enumerate(toks):
+        assert first[i] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([None, *t], [*t, None])), abs=1e-9)
+    for prev in (None, "chat", "never seen"):
+        assert sum(p(prev, w) for w in c) + p(prev, "never seen") * (len(once) + 1) == pytest.approx(1)
     assert brown.score(docs(spark, [])).count() == 0
     assert brown.score(docs(spark, ["a b"], [None])).collect()[0].n_known == 3
+    only = brown.score(docs(spark, ["a b"], [next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)])).collect()[0]
+    assert (only.held_out, only.n_known, only.train_tokens) == (True, 0, 0) and only.score < 0
+    assert brown.score(docs(spark, ["x" * 500 + " " + "y" * 90])).count() == 1
+
+
+def test_other_words_join_the_class_of_words_in_like_places(spark):
+    """Two planted classes that alternate: rare words, unseen by the exchange, take the class of their places."""
+    rng = random.Random(3)
+    texts = []
+    for i in range(400):
+        w = [rng.choice([f"a{rng.randint(0, 5)}", f"a{i}x"]) if j % 2 else rng.choice([f"b{rng.randint(0, 5)}", f"b{i}x"]) for j in range(10)]
+        texts.append(" ".join(w))
+    learnt = brown.learn(docs(spark, texts), clustered=12, classes=2)
+    top = {w[:1]: x for w, (_, x) in learnt.clustered.items()}
+    rest = learnt.rest.collect()
+    assert len(rest) > 700 and top[b"a"] != top[b"b"]
+    assert sum(r.kind == top[bytes(r.word)[:1]] for r in rest) / len(rest) > 0.95
 
 
 def test_nearest_recall_and_edges(spark):
