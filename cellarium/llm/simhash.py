@@ -1,10 +1,12 @@
 """Operator 3, SimHash near-duplicates by segment popcounts.
 
-A fingerprint's 64 bits are 32 segments of two bits; its image holds each segment's number of ones, 0 to 2. The
-Manhattan distance of two images is at most the Hamming distance of the fingerprints. The grid join: the segments form
-seven groups, each image lies in one cell of the grid for every three of them, and images at distance 4 or less differ
-in four groups at most, so they share one of these 35 cells. Within a cell the Manhattan distance rules pairs out, then
-differing bits are counted. Equal fingerprints are one row throughout, so copies are never paired.
+A fingerprint's 64 bits are 32 segments of two bits; its image is the point of the segments' numbers of ones, 0 to 2. The
+Manhattan distance of two images is at most the Hamming distance of the fingerprints. The grid range join: the segments
+form few groups, and in one of them at least the points of a linked pair lie within distance one (of 4 over 3 groups), so
+one of the pair lies in the other's grid cell of that group or in one of the cells next to it along a segment's axis.
+Then the Manhattan distance over all segments rules pairs out, and differing bits are counted. Equal fingerprints are one row
+throughout, so copies are never paired. Each cell is first compared with a few of its own rows; what these leave in
+different components is then compared pair by pair, so that a large group of near copies gives few links.
 
 Edge cases: a null text has no words; no words: fingerprint zero, linked like any other; fewer words than a shingle
 has: the whole sequence; a null doc_id takes part but is no component's id unless all of it are null (then null);
@@ -14,18 +16,17 @@ repeated rows are returned each; an empty table gives no row; further columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import skewed, stored
 from .components import components
 
 LOW = 0x5555555555555555
-GROUPS, BLOCK = 7, 1 << 16
+CENTRES, BLOCK = 4, 1 << 16
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -71,35 +72,73 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
 
 
-def cells(within: int) -> list[int]:
-    """Masks on images: pairs within that distance agree under one of them."""
-    segments = np.array_split(np.arange(32), GROUPS)
-    masks = [sum(3 << 2 * int(s) for s in group) for group in segments]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [signed(sum(c)) for c in combinations(masks, GROUPS - within)]
+def long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, within: int = 4) -> DataFrame:
-    """Pairs a < b of different fingerprints (column fp) that differ in `within` bits or fewer, each once."""
-    masks = cells(within)
-    keyed = distinct.select("fp", image(F.col("fp")).alias("e")).select("fp", "e", F.posexplode(F.array(*[F.col("e").bitwiseAND(F.lit(m)) for m in masks])).alias("c", "cell")).select("fp", "c", "cell")
-    a, b = keyed.alias("a"), keyed.alias("b")
+def groups(within: int) -> tuple[list[list[int]], int]:
+    """Groups of segments, and the distance (0 or 1) that pairs within `within` keep in one group at least."""
+    n = within // 2 + 1
+    return [list(map(int, g)) for g in np.array_split(np.arange(32), n)], within // n
+
+
+def mask(group: list[int]) -> int:
+    return long(sum(3 << 2 * s for s in group))
+
+
+def cells_within(e: Column, group: list[int], reach: int) -> Column:
+    """The cell of an image in a group's grid and, for a reach of one, the cells with one segment's count more or less."""
+    cell = e.bitwiseAND(F.lit(mask(group)))
+    if not reach:
+        return F.array(cell)
+    bits = lambda n, s: F.lit(long(n << 2 * s))
+    low = [F.when(cell.bitwiseAND(bits(2, s)) == 0, cell.bitwiseXOR(bits(1, s))) for s in group]  # 0 to 1, 1 to 0
+    high = [F.when(cell.bitwiseAND(bits(3, s)) != 0, cell.bitwiseXOR(bits(3, s))) for s in group]  # 1 to 2, 2 to 1
+    return F.array_compact(F.array(cell, *low, *high))
+
+
+def grid(points: DataFrame, within: int, reach: bool) -> DataFrame:
+    """A row (all columns, c, cell) for each group and cell that a point lies in, or reaches."""
+    parts, t = groups(within)
+    named = lambda c: lambda x: F.struct(F.lit(c).alias("c"), x.alias("cell"))
+    each = F.flatten(F.array(*[F.transform(cells_within(image(F.col("fp")), g, t if reach else 0), named(c)) for c, g in enumerate(parts)]))
+    return points.select("*", F.explode(each).alias("_g")).select(*points.columns, "_g.c", "_g.cell")
+
+
+def range_join(a: DataFrame, b: DataFrame, within: int, more: Column | None = None) -> DataFrame:
+    """Pairs a, b (a < b) of fingerprints within `within` bits; a: rows with the cells they reach, b: with their own."""
+    a, b = a.alias("a"), b.alias("b")
     ea, eb = image(F.col("a.fp")), image(F.col("b.fp"))
-    first = F.lit(None)
-    for k, m in reversed(list(enumerate(masks))):
-        first = F.when(ea.bitwiseXOR(eb).bitwiseAND(F.lit(m)) == 0, F.lit(k)).otherwise(first)
-    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.c") == F.col("b.c")) & (F.col("a.fp") < F.col("b.fp"))
-    on &= (manhattan(ea, eb) <= within) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= within)
-    on &= first == F.col("a.c")  # a pair that shares several cells is made in the first one
-    return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.c") == F.col("b.c")) & (F.col("a.fp") != F.col("b.fp"))
+    if more is not None:
+        on &= more
+    on &= manhattan(ea, eb) <= within
+    on &= F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= within
+    return a.join(b, on).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
+
+
+def links(distinct: DataFrame, within: int = 4) -> DataFrame:
+    """Pairs a < b of different fingerprints (column fp) that differ in `within` bits or fewer: as many as hold each component together."""
+    points = distinct.select("fp")
+    own = grid(points, within, False)
+    place = F.row_number().over(Window.partitionBy("c", "cell").orderBy(F.xxhash64("fp"), "fp"))  # cut down before the shuffle
+    centres = own.withColumn("place", place).where(F.col("place") <= CENTRES).drop("place")
+    stars = stored(range_join(grid(points, within, True), centres, within), "stars")
+    roots = stored(components(stars), "roots")
+    placed = stored(points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "placed")
+    own, near = grid(placed, within, False), grid(placed, within, True)
+    # cells where all rows, and all that reach them, are in one component have nothing to add
+    mixed = near.groupBy("c", "cell").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top").select("c", "cell")
+    rest = range_join(near.join(mixed, ["c", "cell"], "left_semi"), own, within, F.col("a.root") < F.col("b.root"))
+    return roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(stored(rest, "rest"))
 
 
 def near_duplicates(documents: DataFrame, words: int = 4, within: int = 4) -> DataFrame:
     """doc_id, fp, component_id, root (the component's smallest fingerprint), h (the text's hash) of each row."""
     docs = stored(fingerprints(documents, words), "fingerprints")
-    own = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    nodes = stored(components(links(own, within)), "components")
-    least = nodes.join(own.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = nodes.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
-    every = own.join(linked, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return docs.join(every, "fp").select("doc_id", "fp", "component_id", "root", "h")
+    own = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    nodes = stored(components(links(own, within)).join(own.withColumnRenamed("fp", "node"), "node"), "components")
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    linked = skewed(nodes.select("node", "root"), least, "root", "members", nodes.count()).select(F.col("node").alias("fp"), "root", "component_id")
+    every = own.join(linked, "fp", "left").select("fp", "n", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return skewed(docs, stored(every, "members"), "fp", "n", docs.count()).select("doc_id", "fp", "component_id", "root", "h")

@@ -52,9 +52,24 @@ def test_links_are_those_of_brute_force(spark):
                 g ^= 1 << rng.randrange(64)
             fps.add(g)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = [tuple(r) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()]
-    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    near = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    table = spark.createDataFrame([(f,) for f in signed], "fp long")
+    got = [tuple(r) for r in simhash.links(table).collect()]
+    assert all(a < b for a, b in got) and roots(signed, got) == roots(signed, near) and len(near) > 100
+    # the join alone finds every pair, whatever the distance
+    for within in (0, 2, 4, 7):
+        want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= within}
+        rows = simhash.range_join(simhash.grid(table, within, True), simhash.grid(table, within, False), within).collect()
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+
+
+def test_a_large_group_of_near_copies_gives_few_links(spark):
+    rng = random.Random(4)
+    one = rng.getrandbits(62)
+    fps = list({one ^ 1 << a ^ 1 << b for a in range(62) for b in range(a)})[:900] + [rng.getrandbits(62) for _ in range(100)]
+    got = [tuple(r) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
+    of = roots(fps, got)
+    assert len({of[f] for f in fps[:900]}) == 1 and len(got) < 3000  # of 404,550 pairs
 
 
 def test_components(spark):
@@ -66,6 +81,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hubs_meet_by_broadcast_and_the_rest_by_shuffle(spark):
+    """A star of a third of all links beside chains: some keys are heavy, most are not."""
+    pairs = [(7, i) for i in range(10_000, 13_000)] + [(20_000 + i, 20_001 + i) for i in range(0, 6_000) if i % 5]
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == roots({n for p in pairs for n in p}, pairs)
+
+
 def test_near_duplicates(spark):
     rng = random.Random(3)
     base = [" ".join(rng.choices("abcdefghij", k=60)) for _ in range(12)]
