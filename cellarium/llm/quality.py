@@ -6,7 +6,8 @@ lookup table, then does the same for the pairs of features that promise most. A
 at a text's bins, through the logistic function.
 
 Training takes labelled rows outside the held-out fold, at most `sample` of them, those with the smallest hash of their
-id; labels, lang, source and ids are no inputs.
+id; labels, lang, source and ids are no inputs. Their ids alone are broadcast, at most `sample`; texts are never shuffled,
+and one pass makes the features and scores of all rows.
 
 Edge cases: a null text is empty and gets a score; a null label is no label; with one kind of label only the score is
 near that label's share; repeated rows are scored each; a null doc_id counts as held out only if its remainder says so
@@ -21,10 +22,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, stored
+from .common import remainder
 
 FEATURES = ("words", "word_length", "long_words", "upper", "symbols", "digits", "distinct", "top_word", "adjacent", "distinct_lines", "line_length", "short_words", "stops", "marked_words", "odd_bytes", "symbol_runs")
 BINS, PAIR_BINS, SAMPLE = 32, 8, 12_000
@@ -61,13 +62,8 @@ def features(text: str | None) -> list[float]:
 _WORDLIKE = np.array([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 32, 10], np.uint8)
 
 
-def all_features(documents: DataFrame) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch.column(1).to_pylist()], np.float32).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, x.T)], names=["doc_id", "h", *FEATURES])
-
-    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(rows, "doc_id long, h long, " + ", ".join(f"{f} float" for f in FEATURES))
+def matrix(texts: list[str | None]) -> np.ndarray:
+    return np.array([features(t) for t in texts], np.float32).reshape(-1, len(FEATURES))
 
 
 def _step(g: np.ndarray, h: np.ndarray, ridge: float) -> tuple[float, int]:
@@ -170,18 +166,49 @@ class Additive:
         return 1 / (1 + np.exp(-total))
 
 
+def held_out(doc_id: Column, folds: int, fold: int) -> Column:
+    return F.coalesce(remainder(doc_id, folds) == fold, F.lit(False))
+
+
+def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 4, fold: int = 2) -> Additive:
+    """The model of at most `sample` labelled rows outside the fold."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold)).distinct()
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    first = marks.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, matrix(part.column(2).to_pylist()).T)], names=["doc_id", "y", *FEATURES])
+
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(first), "doc_id").select("doc_id", "y", "text")
+    found = found.mapInArrow(rows, "doc_id long, y int, " + ", ".join(f"{f} float" for f in FEATURES))
+    table = found.orderBy(F.xxhash64("doc_id"), "doc_id", "y", *FEATURES).limit(sample).toArrow()
+    return Additive(np.stack([table[f].to_numpy() for f in FEATURES], axis=1), table["y"].to_numpy().astype(float))
+
+
+def kept(documents: DataFrame, model: Additive, threshold: float = 0.7) -> DataFrame:
+    """The rows of documents, with all their columns, whose score reaches the threshold."""
+    text = documents.columns.index("text")
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(matrix(batch.column(text).to_pylist())) >= threshold, pa.bool_()))
+
+    return documents.mapInArrow(passed, documents.schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE, folds: int = 4, fold: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted, h (the text's hash) of each row of documents; held out: crc32 of the id leaves `fold` modulo `folds`."""
-    table = stored(all_features(documents), "features")
-    held = lambda c: F.coalesce(remainder(c, folds) == fold, F.lit(False))
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held(F.col("doc_id")))
-    rows = table.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", *FEATURES).limit(sample).select("y", *FEATURES).toArrow()
-    model = Additive(np.stack([rows[f].to_numpy() for f in FEATURES], axis=1), rows["y"].to_numpy().astype(float))
+    model = learn(documents, labels, sample, folds, fold)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(i + 3).to_numpy() for i in range(len(FEATURES))], axis=1)
-            s = model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), batch.column(2)], names=["doc_id", "held_out", "score", "predicted", "h"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                s = model.score(matrix(part.column(3).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), part.column(2)], names=["doc_id", "held_out", "score", "predicted", "h"])
 
-    return table.select("doc_id", held(F.col("doc_id")).alias("held_out"), "h", *FEATURES).mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int, h long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long"), folds, fold).alias("held_out"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int, h long")

@@ -51,7 +51,7 @@ def op6_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     from .decontaminate import decontaminate
 
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op7_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +92,17 @@ sizes AS (SELECT DISTINCT l FROM win),
 grams AS (SELECT doc_id, p, l, array_to_string(w[p:p + l - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - l + 2)) t(p)),
 hit AS (SELECT doc_id, item_id, p, win.l FROM grams JOIN win USING (l, g)),
 pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM hit, unnest(range(p, p + l)) t(q) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id),
+words AS (SELECT doc_id, w[p] AS word, p FROM d, unnest(range(1, len(w) + 1)) t(p)),
+freq AS (SELECT word, count(*) AS df FROM words GROUP BY word),
+own AS (SELECT item_id, word, coalesce(df, 0) AS df FROM (SELECT DISTINCT item_id, unnest(w) AS word FROM b) x LEFT JOIN freq USING (word)),
+rare AS (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY df, word) AS k, min(df) OVER (PARTITION BY item_id) AS least, count(*) OVER (PARTITION BY item_id) AS n FROM own),
+anchor AS (SELECT item_id, least(n, 4) AS n, doc_id, p FROM rare JOIN words USING (word) WHERE k = 1 AND least > 0),
+close AS (SELECT a.item_id, a.doc_id, a.p, any_value(a.n) AS n, count(DISTINCT r.word) AS met FROM anchor a JOIN rare r ON r.item_id = a.item_id AND r.k <= a.n JOIN words x ON x.doc_id = a.doc_id AND x.word = r.word AND abs(x.p - a.p) <= 20 GROUP BY a.item_id, a.doc_id, a.p),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close WHERE met = n GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN it ON d.doc_id = it.doc_id LEFT JOIN near ON d.doc_id = near.doc_id
 """
 
 OP10_SQL = """

@@ -9,7 +9,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from cellarium.llm import decontaminate, pii, queries, urls
+from cellarium.llm import common, decontaminate, pii, queries, urls
 from cellarium.llm.quality import classify
 from cellarium.llm.simhash import fingerprint
 from cellarium.llm.tokens import Encoder, public_path
@@ -69,7 +69,7 @@ def expected_hits(texts, items, size=10):
     return out
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(1)
     vocab = ["the", "of", "Ñu", "a1", "xyzzy", "plugh", "b", "c", "d", "e", "f", "g"]
     say = lambda n: " ".join(rng.choices(vocab, k=n))
@@ -78,21 +78,34 @@ def test_decontamination(spark):
     texts.append(texts[30])
     rows = docs(spark, texts, [*range(len(texts) - 2), 30, None])
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, win string")
-    got = decontaminate.decontaminate(rows, bench).select("text", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256), "contaminated").collect()
-    assert Counter(map(tuple, got)) == Counter((t, *e) for t, e in zip(texts, expected_hits(texts, items), strict=True))
+    ids = [*range(len(texts) - 2), 30, None]
+    want = Counter((i, *e) for i, e in zip(ids, expected_hits(texts, items), strict=True))
+    for limit in (common.BROADCAST_ROWS, 0):  # with benchmark tables broadcast, and with salted shuffles instead
+        monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+        got = decontaminate.decontaminate(rows, bench).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256), "contaminated").collect()
+        assert Counter(map(tuple, got)) == want
     none = decontaminate.decontaminate(rows, bench.limit(0)).collect()
     assert len(none) == len(texts) and not any(r.contaminated for r in none)
     assert decontaminate.decontaminate(rows.limit(0), bench).count() == 0
 
 
+def test_a_passage_that_many_items_share(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    bench = spark.createDataFrame([(i, f"{passage} own{i}") for i in range(400)], "item_id long, text string")
+    texts = [f"{passage} {passage}", f"x {passage} own7 y", "p0 p1 p2"]
+    got = sorted(map(tuple, decontaminate.decontaminate(docs(spark, texts), bench).select("doc_id", "n_hit", "n_items").collect()))
+    assert got == [(0, 24, 400), (1, 13, 400), (2, 0, 0)]
+
+
 def test_proximity(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choices("abcdefgh", k=30)) for _ in range(20)]
     terms = spark.createDataFrame([(c, ord(c)) for c in "abcdefgh"], "word string, term long")
     postings = decontaminate.positional_index(docs(spark, texts), terms)
     wanted = {1: "abc", 2: "hg", 3: "d"}
-    got = {(r.query, r.d, r.pos) for r in decontaminate.proximity_matches(postings, spark.createDataFrame([(q, ord(c)) for q, x in wanted.items() for c in x], "query long, term long"), 3).collect()}
     df = Counter("".join(texts).replace(" ", ""))
+    asked = spark.createDataFrame([(q, ord(c), c, df[c]) for q, x in wanted.items() for c in x], "query long, term long, word string, df long")
+    got = {(r.query, r.d, r.pos) for r in decontaminate.proximity_matches(postings, asked, 3).collect()}
     want = set()
     for q, x in wanted.items():
         rare = min(x, key=lambda c: (df[c], c))
