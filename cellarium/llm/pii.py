@@ -1,10 +1,14 @@
 """Operator 9, personal data, in DataFrame functions only: base patterns, and candidates chosen by boosted trees.
 
-Generators with high recall propose spans, which may overlap, for each kind. Format and context become a few small
-integers. Boosted trees are trained on the candidates of all texts: labels are overlaps with valid base spans, and
-candidates with equal features are one row with counts, so that what the driver trains on is bounded by the features'
-grid. The least score at which those labels reach the wished precision is the kind's threshold; candidates at or above
-it, clear of base spans, are added. Where a base pattern swallows two numbers at once and fails, they are so recovered.
+Generators with high recall propose spans, which may overlap, for each kind. Features are taken from a normal form, in
+which masked mail signs are undone and separators don't count, and from the words before. Boosted trees are trained on
+candidates that are decided without them: positive where a valid base span of the kind is met; negative where one of
+another kind is, or where the normal form is no value of the kind. What the base patterns miss although its normal form
+is one is left out of training, and is what the trees then judge. A fifth of the texts teaches nothing: on it the least
+score is found at which the wished precision holds, which is the kind's threshold. Candidates with equal features are one
+row with counts, so that what the driver trains on is bounded by the features' grid. Those at or above the threshold,
+clear of base spans, are added: masked mails, numbers with odd separators, and what a base pattern swallows
+together with another number.
 
 A match's place comes from the pieces between matches: their lengths are summed in a window over the text's matches.
 Pattern parts are possessive and start only where a run starts, which finds the same matches without backtracking.
@@ -33,15 +37,15 @@ BASE = {
 }
 #: generator: (pattern, kinds it proposes)
 GENERATORS = {
-    "mail": (r"(?:\G|(?<![^\s@<>(),;]))[^\s@<>(),;]++(?:@|\x20?[\[(]at[\])]\x20?)[^\s@<>(),;]+[A-Za-z0-9]", ("email",)),
-    "number": (r"(?<![0-9])[+(]?[0-9](?:[\x20().-]{0,2}[0-9])++", ("ip", "card", "phone")),
+    "mail": (r"(?:\G|(?<![^\s@<>(),;\[\]]))[^\s@<>(),;\[\]]++(?:@|\x20?[\[(](?i:at)[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?i:dot)[\])]\x20?)[A-Za-z0-9-]++)*+", ("email",)),
+    "number": (r"(?<![0-9])[+(]?[0-9](?:[\x20()./_-]{0,3}[0-9])++", ("ip", "card", "phone")),
     "phone_form": (r"(?<![0-9+])\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])", ("phone",)),
     "card_form": (r"(?<![0-9])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])", ("card",)),
 }
-NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "mail": r"@|[\[(]at[\])]", "number": r"[0-9]", "phone_form": r"\+[0-9]", "card_form": r"[0-9]{4}"}
+NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "mail": r"@|[\[(](?i:at)[\])]", "number": r"[0-9]", "phone_form": r"\+[0-9]", "card_form": r"[0-9]{4}"}
 CONTEXT = {"email": "mail|contact|write", "ip": r"\bip\b|addr|host|server", "card": "card|visa|pay|credit", "phone": "tel|phone|call|mobile|fax"}
-FEATURES = ("digits", "dots", "plus", "paren", "seps", "luhn", "octets", "at", "context", "glued", "generator")
-ROUNDS, DEPTH, RATE, PRECISION, BIN = 24, 3, 0.3, 0.9, 64
+FEATURES = ("digits", "groups", "fours", "paren", "luhn", "octets", "at", "context", "glued")
+ROUNDS, DEPTH, RATE, PRECISION, BIN, FOLDS = 24, 3, 0.3, 0.9, 64, 5
 
 
 def digits_of(value: Column) -> Column:
@@ -67,7 +71,7 @@ def matches(documents: DataFrame) -> DataFrame:
     """d, h, source (a base kind or a generator), value, start, end, before, after of every match."""
     patterns = BASE | {g: p for g, (p, _) in GENERATORS.items()}
     text = F.col("text")
-    rows = keyed(documents).where(text.rlike("[0-9@]|[\\[(]at[\\])]")).select("d", "h", "text")
+    rows = keyed(documents).where(text.rlike(r"[0-9@]|[\[(](?i:at)[\])]")).select("d", "h", "text")
     # a null array, where the text can't hold a match, is not exploded
     found = [F.when(text.rlike(NEEDS[s]), F.struct(F.lit(s).alias("source"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("m"), F.split(text, p, -1).alias("s"))) for s, p in patterns.items()]
     rows = rows.select("d", "h", F.explode(F.array(*found)).alias("x")).where("x is not null and size(x.m) > 0")
@@ -84,26 +88,41 @@ def valid(source: Column, value: Column) -> Column:
     return (source == "email") | ((source == "ip") & octets(value)) | ((source == "card") & n.between(13, 19) & luhn(digits_of(value))) | ((source == "phone") & n.between(9, 15))
 
 
+def normal(value: Column) -> Column:
+    """The value with masked mail signs undone."""
+    return F.regexp_replace(F.regexp_replace(value, r"\x20?[\[(](?i:at)[\])]\x20?", "@"), r"\x20?[\[(](?i:dot)[\])]\x20?", ".")
+
+
+def fits(kind: Column, value: Column) -> Column:
+    """Whether the normal form is a value of the kind."""
+    n, digits = F.length(digits_of(value)), digits_of(value)
+    mail = normal(value).rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
+    ip = value.rlike(r"^[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}$") & octets(value)
+    card = n.between(13, 19) & luhn(digits) & ~value.rlike(r"^[+(]") & ~ip
+    phone = n.between(9, 15) & ~ip & ~card
+    return F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", card).otherwise(phone)
+
+
 def proposals(found: DataFrame) -> DataFrame:
-    """A row for each candidate and kind that its generator proposes, with the features."""
+    """A row for each candidate and kind that its generator proposes, with the features, and `open`: it is for the trees to judge unless it meets a base span."""
     kinds = F.create_map(*[x for g, (_, ks) in GENERATORS.items() for x in (F.lit(g), F.array(*map(F.lit, ks)))])
     rows = found.where(F.col("source").isin(*GENERATORS)).withColumn("kind", F.explode(kinds[F.col("source")]))
     v, n = F.col("value"), F.length(digits_of(F.col("value")))
     step = lambda c, *cuts: sum((c >= x).cast("int") for x in cuts)
-    many = lambda p: F.regexp_count(v, F.lit(p))
     words = F.lower("before")
     own = F.lit(False)
     other = F.lit(False)
     for k, p in CONTEXT.items():
         own = F.when(F.col("kind") == k, words.rlike(p)).otherwise(own)
         other |= words.rlike(p)
-    number = {g: i for i, g in enumerate(GENERATORS)}
-    return rows.withColumns({
-        "digits": step(n, 1, 4, 7, 9, 13, 16, 20), "dots": step(many(r"\."), 1, 3, 4), "plus": v.startswith("+").cast("int"), "paren": v.contains("(").cast("int"),
-        "seps": step(many(r"[\x20-]"), 1, 3), "luhn": luhn(digits_of(v)).cast("int"), "octets": octets(v).cast("int"), "at": step(F.length(F.regexp_extract(v, r"@[^@]*\.[A-Za-z]{2,}$", 0)), 1) + v.contains("@").cast("int"),
+    mail = normal(v)
+    rows = rows.withColumns({
+        "digits": step(n, 1, 4, 7, 9, 13, 16, 20), "groups": step(F.regexp_count(v, F.lit("[0-9]+")), 1, 2, 3, 5), "fours": v.rlike(r"^(?:[0-9]{4}[^0-9]{0,3}){3}[0-9]{1,7}$").cast("int"), "paren": v.contains("(").cast("int"),
+        "luhn": luhn(digits_of(v)).cast("int"), "octets": octets(v).cast("int"), "at": F.when(mail.rlike(r"@.*\.[A-Za-z]{2,}$"), 2).otherwise(mail.contains("@").cast("int")),
         "context": F.when(own, 2).when(other, 1).otherwise(0), "glued": (F.col("before").rlike("[A-Za-z0-9]$") | F.col("after").rlike("^[A-Za-z0-9]")).cast("int"),
-        "generator": sum(F.when(F.col("source") == g, i).otherwise(0) for g, i in number.items()),
     })
+    # a number of a telephone's length is anything, unless it is written or announced as one
+    return rows.withColumn("open", fits(F.col("kind"), v) & ((F.col("kind") != "phone") | v.startswith("+") | (F.col("context") == 2)))
 
 
 def grow(rows: list[tuple], depth: int) -> list | float:
@@ -135,14 +154,12 @@ def value_at(tree: list | float, x: tuple) -> float:
     return tree
 
 
-def boost(counts: list[tuple[tuple, float, float]]) -> tuple[float, list, float]:
-    """(bias, trees, threshold on the log odds) from (features, positive, negative) counts; infinite where no score is precise enough."""
+def boost(counts: list[tuple[tuple, float, float]]) -> tuple[float, list]:
+    """(bias, trees) on the log odds from (features, positive, negative) counts."""
     pos, neg = sum(c[1] for c in counts), sum(c[2] for c in counts)
-    if not pos:
-        return 0.0, [], float("inf")
     bias = log((pos + 0.5) / (neg + 0.5))
     score, trees = [bias] * len(counts), []
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS if pos else 0):
         rows = []
         for (x, a, b), s in zip(counts, score, strict=True):
             p = 1 / (1 + exp(-max(-30.0, min(30.0, s))))
@@ -150,16 +167,24 @@ def boost(counts: list[tuple[tuple, float, float]]) -> tuple[float, list, float]
         tree = grow(rows, DEPTH)
         trees.append(tree)
         score = [s + RATE * value_at(tree, c[0]) for s, c in zip(score, counts, strict=True)]
+    return bias, trees
+
+
+def threshold(scored: list[tuple[float, float, float]]) -> float:
+    """The least score at which (score, positive, negative) counts, which taught nothing, keep the wished precision; infinite where none does."""
     cut, right, wrong = float("inf"), 0.0, 0.0
-    order = sorted(zip(score, counts, strict=True), key=lambda r: -r[0])
-    for i, (s, (_, a, b)) in enumerate(order):
+    levels: dict[float, list[float]] = {}
+    for s, a, b in scored:
+        level = levels.setdefault(round(s, 9), [0.0, 0.0])
+        level[0], level[1] = level[0] + a, level[1] + b
+    for s in sorted(levels, reverse=True):
+        a, b = levels[s]
         right, wrong = right + a, wrong + b
         # each score level has to be mostly right by itself too, so that a precise majority carries no bad level in
         if right < PRECISION * (right + wrong) or a < 0.5 * (a + b):
             break
-        if i + 1 == len(order) or order[i + 1][0] < s:
-            cut = s - 1e-9
-    return bias, trees, cut
+        cut = s
+    return cut - 1e-9
 
 
 def accepted(spark: SparkSession, scores: list[tuple[str, tuple, float]]) -> DataFrame:
@@ -185,18 +210,20 @@ def find(documents: DataFrame) -> DataFrame:
     own = offered.select("d", "h", "kind", "start", "end").distinct()
     touching = in_bins(own, "start", "end").join(in_bins(b, "b_start", "b_end"), ["d", "h", "bin"]).where("b_start < end and start < b_end")
     touching = touching.groupBy("d", "h", "kind", "start", "end").agg(F.max((F.col("b_kind") == F.col("kind")).cast("int")).alias("own"))
-    offered = stored(offered.join(touching, ["d", "h", "kind", "start", "end"], "left").select("d", "h", "kind", "start", "end", "own", *FEATURES), "offered")
-    counts = sorted(offered.groupBy("kind", *FEATURES).agg(F.sum(F.coalesce("own", F.lit(0))).alias("p"), F.count(F.lit(1)).alias("n")).collect())
+    offered = stored(offered.join(touching, ["d", "h", "kind", "start", "end"], "left").select("d", "h", "kind", "start", "end", "own", "open", *FEATURES), "offered")
+    held = F.pmod(F.xxhash64("d", "h"), F.lit(FOLDS)) == 0
+    mine, loose = F.coalesce(F.col("own") == 1, F.lit(False)), F.col("own").isNull() & F.col("open")
+    sums = [F.count_if(c).alias(n) for n, c in (("p", ~held & mine), ("n", ~held & ~mine & ~loose), ("held_p", held & mine), ("held_n", held & ~mine & ~loose))]
+    counts = sorted(offered.groupBy("kind", *FEATURES).agg(*sums).collect())
     scores = []
     for kind in KINDS:
-        cells = [(tuple(r[f] for f in FEATURES), float(r["p"]), float(r["n"] - r["p"])) for r in counts if r["kind"] == kind]
-        bias, trees, cut = boost(cells)
-        for x, _, _ in cells:
-            total = bias + RATE * sum(value_at(t, x) for t in trees)
-            if total >= cut:
-                scores.append((kind, x, total - cut))
+        cells = [(tuple(r[f] for f in FEATURES), float(r["p"]), float(r["n"]), float(r["held_p"]), float(r["held_n"])) for r in counts if r["kind"] == kind]
+        bias, trees = boost([c[:3] for c in cells if c[1] + c[2]])
+        total = [bias + RATE * sum(value_at(t, c[0]) for t in trees) for c in cells]
+        cut = threshold([(s, a, b) for s, (_, _, _, a, b) in zip(total, cells, strict=True) if a + b])
+        scores += [(kind, c[0], s - cut) for s, c in zip(total, cells, strict=True) if s >= cut]
     # candidates with equal features score alike, so the trees are applied to each cell of the grid once
-    chosen = offered.where(F.col("own").isNull()).join(F.broadcast(accepted(documents.sparkSession, scores)), ["kind", *FEATURES])
+    chosen = offered.where(F.col("own").isNull() & F.col("open")).join(F.broadcast(accepted(documents.sparkSession, scores)), ["kind", *FEATURES])
     # of accepted candidates that overlap, the one with the highest score stays, then the longest, then the first
     rank = F.struct(F.col("score"), (F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("first"), F.col("kind").alias("k"))
     chosen = stored(chosen.groupBy("d", "h", "kind", "start", "end").agg(F.max(rank).alias("rank")), "chosen")
