@@ -111,8 +111,22 @@ def waste_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def bin_completion(counts: dict[int, int], capacity: int = 1024, nodes: int = 20_000) -> Plan:
-    """The fewest sequences found for counts[length] pieces of each length, and their contents."""
+def hopeless(left: dict[int, int], capacity: int, slack: int) -> bool:
+    """Whether some piece left can be in no sequence that wastes `slack` or less, whatever the others do."""
+    own, reach, full = [x for x, n in left.items() if n], 1, (2 << capacity) - 1  # bit s: pieces left can sum to s
+    for x in own:
+        n, k = min(left[x], capacity // x), 1
+        while n:
+            reach |= reach << min(k, n) * x & full
+            n, k = n - min(k, n), 2 * k
+    return any(not reach >> max(0, capacity - x - slack) & (2 << min(slack, capacity - x)) - 1 for x in own)
+
+
+def bin_completion(counts: dict[int, int], capacity: int = 1024, nodes: int | None = 20_000) -> Plan:
+    """The fewest sequences found for counts[length] pieces of each length, and their contents.
+
+    nodes: how many fillings are looked at; None: until the plan is proven to be one of the fewest.
+    """
     counts = {k: v for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
     bound = waste_bound(counts, capacity)
@@ -122,7 +136,7 @@ def bin_completion(counts: dict[int, int], capacity: int = 1024, nodes: int = 20
         return best
     left = dict(counts)
     path: list[list] = []  # [untried choices, the filling taken, how often, sequences before, weight before]
-    bins, weight, spent = 0, total, 0
+    bins, weight, spent, nodes = 0, total, 0, float("inf") if nodes is None else nodes
 
     def take(items: tuple[int, ...], times: int) -> None:
         for x in items:
@@ -142,7 +156,8 @@ def bin_completion(counts: dict[int, int], capacity: int = 1024, nodes: int = 20
                 yield ((top, *f), less) if f is not None and less < min(own[x] // n for x, n in Counter((top, *f)).items()) else None
 
     while spent < nodes:
-        if weight and bins + -(-weight // capacity) < used:  # waste so far leaves room for a better solution
+        slack = (used - 1 - bins) * capacity - weight  # what a better solution may waste from here on
+        if weight and slack >= 0 and not (slack < capacity // 8 and hopeless(left, capacity, slack)):
             path.append([choices(), None, 0, bins, weight])
         elif not weight and bins < used:
             best, used = [(tuple(sorted(p[1], reverse=True)), p[2]) for p in path], bins
@@ -207,7 +222,7 @@ def cut(documents: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFr
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES)
 
 
-def pack(documents: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, nodes: int = 20_000) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, nodes: int | None = 20_000) -> DataFrame:
     pieces = stored(cut(documents, tokenizer, end, capacity), "pieces")
     here = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r[0]: r[1] for r in here.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows

@@ -1,12 +1,13 @@
 """Operator 1, token ids in Re-Pair shards.
 
 Documents are range-partitioned by id, tokenised, and cut into shards of about `shard_tokens` ids. In each shard
-frequent pairs of ids are replaced by new symbols, round after round, until none is frequent. A shard is one row of a
-Parquet table, written by Spark on any store: rules, their expansion lengths, the compressed ids, and for each document
-its first symbol, so that a document, or a span of it, is decoded without the rest.
+frequent pairs of ids are replaced by new symbols, round after round, until none is frequent for the shard's size or
+`symbols` numbers are in use. A shard is one row of a Parquet table, written by Spark on any store: rules, their
+expansion lengths, the compressed ids, and for each document its first symbol, so that a document, or a span of it, is
+decoded without the rest.
 
-Edge cases: a null or empty text has the end id alone; equal doc_ids are ordered by their text; null ids come first;
-an empty table gives no shard; further columns are not read.
+Edge cases: a null or empty text has the end id alone; equal doc_ids are ordered by their text's hash, then their text;
+null ids come first; an empty table gives no shard; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ SHARD = "part long, shard long, n_tokens long, doc_ids array<long>, doc_tokens b
 ROWS = "doc_id long, part long, shard long, local long, n_tokens long, ids_crc32 long"
 
 
-def compress(ids: np.ndarray, end: int, base: int, min_count: int = 96, limit: int = 65536) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, end: int, base: int, min_count: int | None = None, limit: int = 65536) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, left, right): symbol base + k stands for left[k], right[k]. No pair with `end` is replaced, so none crosses documents.
 
     Each round replaces the most frequent pairs, down to an eighth of the highest count; it ends when no pair occurs
-    min_count times or the symbols are used up. Of overlapping occurrences the first goes.
+    min_count times (None: 4, or one in 20,000 of the shard's ids) or the symbols below `limit` are used up. Of
+    overlapping occurrences the first goes.
     """
+    min_count = max(4, len(ids) // 20_000) if min_count is None else min_count
     wide = np.uint32 if limit <= 65536 else np.uint64
     shift = wide(16 if limit <= 65536 else 32)
     seq, lefts, rights, n = ids.astype(np.uint32), [], [], base
@@ -103,8 +106,8 @@ def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]
     return values[np.arange(int(size.sum())) + np.repeat(starts[symbols] - at, size)]
 
 
-def to_row(part: int, shard: int, doc_ids: list, ids: np.ndarray, sizes: np.ndarray, end: int, base: int) -> dict:
-    symbols, left, right = compress(ids, end, base)
+def to_row(part: int, shard: int, doc_ids: list, ids: np.ndarray, sizes: np.ndarray, end: int, base: int, min_count: int | None = None, limit: int = 65536) -> dict:
+    symbols, left, right = compress(ids, end, base, min_count, limit)
     lengths = flattened(left, right, base)[2]
     ends = np.cumsum(lengths[symbols])
     firsts = np.concatenate(([0], np.searchsorted(ends, np.cumsum(sizes)) + 1)).astype("<u4")
@@ -138,7 +141,8 @@ class Shard:
         return expand(own[a:b], self.table)[skip : skip + stop - start]
 
 
-def write(documents: DataFrame, path: str, tokenizer: str, end: int = 1, shard_tokens: int = 2_000_000) -> None:
+def write(documents: DataFrame, path: str, tokenizer: str, end: int = 1, shard_tokens: int = 2_000_000, min_count: int | None = None, symbols: int = 65536) -> None:
+    """Shards of about shard_tokens ids; min_count, symbols: what pairs are replaced, see `compress`. Beyond 65,536 symbols take four bytes each."""
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         base, count = max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end + 1), 0
@@ -146,7 +150,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end: int = 1, shard_t
 
         def flush() -> pa.RecordBatch:
             nonlocal held, count
-            row = to_row(part, count, [d for ids, _, _ in held for d in ids], np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held]), end, base)
+            row = to_row(part, count, [d for ids, _, _ in held for d in ids], np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held]), end, base, min_count, symbols)
             held, count = [], count + 1
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -160,7 +164,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end: int = 1, shard_t
             yield flush()
 
     schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.binary()), ("doc_symbols", pa.binary()), ("base", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("width", pa.int32())])
-    rows = documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows.mapInArrow(shards, SHARD).write.parquet(path)
 
 
@@ -188,8 +192,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return out.select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "part", "shard")
 
 
-def token_shards(documents: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:
+def token_shards(documents: DataFrame, tokenizer: str, end: int = 1, **options: int) -> DataFrame:
     spark = documents.sparkSession
     path = scratch(spark, "repair")
-    write(documents, path, tokenizer, end)
+    write(documents, path, tokenizer, end, **options)
     return read(spark, path)

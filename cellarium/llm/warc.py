@@ -23,8 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import HEAVY
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CONTROL = {c: f"%{c:02X}" for c in [*range(33), 127]}
+FILE_BYTES = 64 << 20
 PAGES = "page_id long, url string, n long, digest string, member binary"
 ROWS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, start long, end long, error string"
 
@@ -52,11 +55,12 @@ def unended(rec: bytes) -> bytes:
     return packed[:-1] if packed[-1] == 0 else packed + gzip.compress(b"", 6, mtime=0)[:-1]
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 4096) -> None:
-    """Archives of one gzip member a record under path; a file holds at most records_per_file records, as a reader holds a file.
+def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+    """Archives of one gzip member a record under path; a file is full at file_bytes, as a reader holds a file and the longest record.
 
     Payloads are compressed before the shuffle that finds each digest's largest page_id, so they travel and are stored
-    small. Spark's text writer, with a zero byte as separator, writes the members' bytes as they are.
+    small. Digests of more than one in HEAVY of all pages meet theirs by a broadcast. Spark's text writer, with a zero
+    byte as separator, writes the members' bytes as they are.
     """
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -68,17 +72,27 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
             yield pd.DataFrame(out, columns=["page_id", "url", "n", "digest", "member"]).astype({"page_id": "Int64"})
 
     def revisits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        written = 0
         for x in batches:
-            out = [m if pd.isna(resp) else unended(record(None if pd.isna(i) else int(i), url, None, n, digest, int(resp), date)) for i, url, n, digest, m, resp in x.itertuples(index=False, name=None)]
-            yield pd.DataFrame({"value": out})
+            out = []
+            for i, url, n, digest, m, resp in x.itertuples(index=False, name=None):
+                m = m if pd.isna(resp) else unended(record(None if pd.isna(i) else int(i), url, None, n, digest, int(resp), date))
+                out.append((m, written // file_bytes))
+                written += len(m)
+            yield pd.DataFrame(out, columns=["value", "file"])
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(members, PAGES)
     again = pages.groupBy(F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha1")).agg(F.max(F.col("page_id").cast("long")).alias("keeper"), F.count(F.lit(1)).alias("n"))
-    # only payloads that occur again take part in the join; one with many copies is split by the adaptive skew join
-    again = again.where("n > 1").select(base32_of_hex(F.col("sha1")).alias("digest"), "keeper")
+    # only payloads that occur again take part in the joins
+    again = again.where("n > 1").select(base32_of_hex(F.col("sha1")).alias("digest"), "keeper", F.col("n").alias("copies"))
+    total = pages.count()
+    heavy = again.where(F.col("copies") * HEAVY > total).select("digest", F.col("keeper").alias("heavy_keeper"), F.lit(True).alias("heavy"))
+    rows = rows.join(F.broadcast(heavy), "digest", "left").withColumn("place", F.when(F.col("heavy"), 1 + F.pmod(F.xxhash64("page_id", "url"), F.lit(HEAVY))).otherwise(0))
+    light = again.where(F.col("copies") * HEAVY <= total).select("digest", "keeper", F.lit(0).cast("long").alias("place"))
+    joined = rows.join(light, ["digest", "place"], "left").withColumn("keeper", F.coalesce("heavy_keeper", "keeper"))
     resp = F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
-    joined = rows.join(again, "digest", "left").select("page_id", "url", "n", "digest", F.when(resp.isNull(), F.col("member")).alias("member"), resp.alias("resp"))
-    joined.mapInPandas(revisits, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    joined = joined.select("page_id", "url", "n", "digest", F.when(resp.isNull(), F.col("member")).alias("member"), resp.alias("resp"))
+    joined.mapInPandas(revisits, "value binary, file long").select(F.col("value").cast("string"), "file").write.partitionBy("file").option("lineSep", "\0").text(path)
 
 
 def base32_of_hex(digest: Column) -> Column:

@@ -64,3 +64,35 @@ def test_a_long_url_is_kept(spark, tmp_path):
     assert [warc.page_of(r["warc-record-id"]) for r, *_ in warc.salvage(b"".join(parts))] == [0, 1, 2]
     found = list(warc.salvage(parts[0][:150_000] + b"\r\n" + parts[1] + parts[2]))  # the first one's header has no end
     assert [r and warc.page_of(r["warc-record-id"]) for r, *_ in found] == [None, 1, 2] and found[0][3] == "header end"
+
+
+def test_files_are_bounded_by_bytes_and_a_hot_payload_is_whole(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "u", "same" if i % 3 == 0 else "".join(rng.choices("abcdefgh", k=3000)), "f") for i in range(600)]
+    path = tmp_path / "w"
+    warc.write_archives(spark.createDataFrame(rows, PAGES), f"file://{path}", file_bytes=20_000)
+    files = [f for f in path.rglob("part-*") if not f.name.endswith(".crc")]
+    assert len(files) > 10 and max(f.stat().st_size for f in files) < 25_000
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(spark, f"file://{path}").collect()}
+    assert got == {i: ("revisit", 597) if i % 3 == 0 and i != 597 else ("response", None) for i in range(600)}
+
+
+def test_damaged_archives_are_read_from_a_store(spark, tmp_path):
+    """Archives that Spark wrote, damaged on disk: all other records, and a row for each gap. The largest page_ids of a payload are repeated."""
+    rows = [(i, f"http://a/{i}", f"<p>{i % 50}</p>" * 20, "f") for i in range(200)] + [(199, "again", "<p>49</p>" * 20, "f")]
+    path = tmp_path / "w"
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), f"file://{path}")
+    (file,) = [f for f in path.rglob("part-*") if not f.name.endswith(".crc")]
+    whole = {(r.page_id, r.url): (r.payload_digest, r.record_type, r.refers_to, r.start, r.end) for r in warc.read_archives(spark, f"file://{path}").collect()}
+    assert len(whole) == 201 and sum(x[1] == "response" for x in whole.values()) == 51
+    data = bytearray(file.read_bytes())
+    hurt = sorted(whole.items(), key=lambda x: x[1][3])[10:200:40]
+    for _, (*_, start, end) in hurt:
+        data[(start + end) // 2] ^= 0xFF
+    file.write_bytes(data)
+    (path / file.relative_to(path).parent / f".{file.name}.crc").unlink(missing_ok=True)
+    got = warc.read_archives(spark, f"file://{path}").collect()
+    found = {(r.page_id, r.url): (r.payload_digest, r.record_type, r.refers_to, r.start, r.end) for r in got if r.record_type != "quarantine"}
+    assert found == {k: x for k, x in whole.items() if k not in {k for k, _ in hurt}}
+    gaps = [(r.start, r.end, r.error) for r in got if r.record_type == "quarantine"]
+    assert len(gaps) >= len(hurt) and all(any(a <= start and end <= b for a, b, _ in gaps) for _, (*_, start, end) in hurt) and all(e for *_, e in gaps)
