@@ -1,5 +1,6 @@
 """Operators 1 and 5 against the tokenizers library and item-by-item packing."""
 
+import functools
 import random
 import zlib
 from collections import Counter
@@ -14,11 +15,15 @@ ODD = ["", None, "  ", "a  b", "a   b ", " x\n y", "I'll  we've\t\n  go ", "<|en
 DOCS = "doc_id long, text string, source string, part long"
 
 
-def expected(name, text, end):
+@functools.cache
+def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_path(name))
-    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+    return Tokenizer.from_file(public_path(name))
+
+
+def expected(name, text, end):
+    return [*library(name).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
