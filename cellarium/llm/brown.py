@@ -22,13 +22,14 @@ scored each; a null doc_id is no held-out one; an empty table gives no row; furt
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,39 +158,67 @@ def assigned(training: DataFrame, place: dict[bytes, int], gains: np.ndarray) ->
     m = k + 2
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.binary()), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["word", "context", "n"])
-        get = place.get
+        seen: defaultdict[bytes, list[int]] = defaultdict(list)
+        held, get = 0, place.get
+
+        def out() -> pa.RecordBatch:
+            pairs, times, sizes = [], [], []
+            for own in seen.values():
+                if len(own) > 64:
+                    own, n = (x.tolist() for x in np.unique(own, return_counts=True))
+                    times += n
+                else:
+                    times += [1] * len(own)
+                pairs += own
+                sizes.append(len(own))
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((pairs, pa.int32()), (times, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array(seen, pa.binary()), *lists], names=["word", "contexts", "times"])
+
         for batch in batches:
             for t in batch.column(0):
                 w = words(t.as_py())
                 kinds = np.array([k + 1, *[get(x, k) for x in w], k + 1], np.int64)
                 at = np.flatnonzero(kinds[1:-1] == k).tolist()
-                pairs = (kinds[:-2] * m + kinds[2:])[at].tolist()
-                seen.update(zip([w[i] for i in at], pairs, strict=True))
-                if len(seen) > FLUSH:
+                for i, pair in zip(at, (kinds[:-2] * m + kinds[2:])[at].tolist(), strict=True):
+                    seen[w[i]].append(pair)
+                held += len(at)
+                if held > 4 * FLUSH:
                     yield out()
                     seen.clear()
-        yield out()
+                    held = 0
+        if seen:
+            yield out()
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of their words; a word's sum is carried on from part to part, so memory is bounded."""
+        word, total, n = None, np.zeros(k), 0
+        out = lambda w, c, t: pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(c, pa.int64()), pa.array(np.round(t, 9).argmax(1).astype(np.int32))], names=["word", "c", "kind"])
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                contexts = part.column(1).flatten()
-                pair, n = (contexts.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                ends = np.cumsum(part.column(1).value_lengths().to_numpy())
-                score, first = np.zeros((part.num_rows, k)), 0
-                for i in range(0, part.num_rows, 64):  # 64 words have at most 64 * m * m contexts
-                    stop = int(ends[min(i + 64, part.num_rows) - 1])
-                    starts = np.concatenate(([first], ends[i : i + 63][: min(64, part.num_rows - i) - 1])) - first
-                    score[i : i + 64] = np.add.reduceat(gains[pair[first:stop]] * n[first:stop, None], starts, axis=0)
-                    first = stop
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.round(score, 9).argmax(1).astype(np.int32))], names=["word", "c", "kind"])
-
-    rows = training.select("text").mapInArrow(partial, "word binary, context int, n long").repartition("word")
-    rows = rows.groupBy("word", "context").agg(F.sum("n").alias("n")).groupBy("word")  # one shuffle serves both
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct("context", "n"))).alias("contexts"), F.sum("n").alias("c"))
+            stops = np.cumsum(batch.column(1).value_lengths().to_numpy())
+            at = 0
+            while at < batch.num_rows:  # parts of some 32,768 contexts
+                to = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + 32768)))
+                part = batch.slice(at, to - at)
+                own, first = part.column(0), stops[at - 1] if at else 0
+                new = np.concatenate(([True], pc.not_equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False)))
+                starts = np.concatenate(([0], stops[at : to - 1] - first))[new]
+                pairs, times = (part.column(i).flatten().to_numpy() for i in (1, 2))
+                score, sums = np.add.reduceat(gains[pairs] * times[:, None], starts, axis=0), np.add.reduceat(times, starts)
+                heads = own.filter(pa.array(new)).to_pylist()
+                if word == heads[0]:
+                    score[0] += total
+                    sums[0] += n
+                elif word is not None:
+                    yield out([word], [n], total[None])
+                word, total, n = heads[-1], score[-1], sums[-1]
+                if len(heads) > 1:
+                    yield out(heads[:-1], sums[:-1], score[:-1])
+                at = to
+        if word is not None:
+            yield out([word], [n], total[None])
+
+    rows = training.select("text").mapInArrow(partial, "word binary, contexts array<int>, times array<long>").repartition("word").sortWithinPartitions("word")
     return stored(rows.mapInArrow(best, "word binary, c long, kind int"), "classes")
 
 
@@ -264,17 +293,22 @@ def sequences(docs: DataFrame, vocabulary: Vocabulary, common: int = COMMON) ->
 
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, held, n_known, base, emitted, raw, n, which, own in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
-                kinds, which = np.frombuffer(raw, np.int16).copy(), np.frombuffer(which, np.int32)
-                c, x = np.zeros(n), np.full(n, k + 1, np.int16)
-                for r in own or ():
-                    c[r["i"]], x[r["i"]] = r["c"], r["kind"] + ONCE * (r["c"] == 1)
+            size, stops = batch.column(6).to_numpy(), np.cumsum(np.nan_to_num(pc.list_value_length(batch.column(8)).to_numpy(zero_copy_only=False)).astype(np.int64))
+            own = batch.column(8).flatten()
+            index, count, cls = (own.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cls = cls + ONCE * (count == 1)
+            n_known, near, emitted, kinds = np.empty(len(size), np.int64), np.empty(len(size)), np.empty(len(size)), []
+            for i, (raw, which) in enumerate(zip(batch.column(5).to_pylist(), batch.column(7).to_pylist(), strict=True)):
+                here = slice(stops[i - 1] if i else 0, stops[i])
+                c, x = np.zeros(size[i]), np.full(size[i], k + 1, np.int16)
+                c[index[here]], x[index[here]] = count[here], cls[here]
+                which, seq = np.frombuffer(which, np.int32), np.frombuffer(raw, np.int16).copy()
                 c = c[which]
-                kinds[kinds == -1] = x[which]
-                out.append((doc_id, held, n_known + int((c > 0).sum()), base + float(np.log10(c + 0.5).sum()), emitted + float(np.log10(np.maximum(c, 1)).sum()), kinds.tobytes()))
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "held_out", "n_known", "base", "emit", "kinds"])
+                seq[seq == -1] = x[which]
+                n_known[i], near[i], emitted[i] = (c > 0).sum(), np.log10(c + 0.5).sum(), np.log10(np.maximum(c, 1)).sum()
+                kinds.append(seq.tobytes())
+            sums = [pa.array(batch.column(j).to_numpy() + y) for j, y in ((2, n_known), (3, near), (4, emitted))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sums, pa.array(kinds, pa.binary())], names=["doc_id", "held_out", "n_known", "base", "emit", "kinds"])
 
     whole = rows.select("row", "doc_id", "held_out", "n_known", "base", "emit", "kinds", F.size("rare").alias("size"), "which")
     whole = whole.join(found.hint("merge"), "row", "left").select("doc_id", "held_out", "n_known", "base", "emit", "kinds", "size", "which", "found")
