@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import pi, tan
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK = 0xFFFFFFFF
@@ -77,3 +78,81 @@ def orient(a: list[Column], b: list[Column], c: list[Column], d: list[Column]) -
     """Six times the signed volume of a tetrahedron."""
     u, v, w = ([p[i] - a[i] for i in range(3)] for p in (b, c, d))
     return u[0] * (v[1] * w[2] - v[2] * w[1]) - u[1] * (v[0] * w[2] - v[2] * w[0]) + u[2] * (v[0] * w[1] - v[1] * w[0])
+
+
+# Real spherical harmonics of degrees 0 to 3, as (factor, polynomial of the direction), in their usual order.
+SH = [
+    (0.28209479177387814, lambda x, y, z: 1.0),
+    (-0.4886025119029199, lambda x, y, z: y), (0.4886025119029199, lambda x, y, z: z), (-0.4886025119029199, lambda x, y, z: x),
+    (1.0925484305920792, lambda x, y, z: x * y), (-1.0925484305920792, lambda x, y, z: y * z), (0.31539156525252005, lambda x, y, z: 2 * z * z - x * x - y * y),
+    (-1.0925484305920792, lambda x, y, z: x * z), (0.5462742152960396, lambda x, y, z: x * x - y * y),
+    (-0.5900435899266435, lambda x, y, z: y * (3 * x * x - y * y)), (2.890611442640554, lambda x, y, z: x * y * z), (-0.4570457994644658, lambda x, y, z: y * (4 * z * z - x * x - y * y)),
+    (0.3731763325901154, lambda x, y, z: z * (2 * z * z - 3 * x * x - 3 * y * y)), (-0.4570457994644658, lambda x, y, z: x * (4 * z * z - x * x - y * y)),
+    (1.445305721320277, lambda x, y, z: z * (x * x - y * y)), (-0.5900435899266435, lambda x, y, z: x * (x * x - 3 * y * y)),
+]
+
+
+def sh_colour(coefficients: Column, x: Column, y: Column, z: Column, degree: int = 3) -> Column:
+    """max(0, 0.5 + the harmonics' sum) for a unit direction; coefficients: an array of (degree + 1) squared numbers."""
+    total = F.lit(0.5)
+    for i, (k, p) in enumerate(SH[: (degree + 1) ** 2]):
+        total = total + F.element_at(coefficients, i + 1) * k * p(x, y, z)
+    return F.greatest(total, F.lit(0.0))
+
+
+def log2_floor(x: Column) -> Column:
+    """Of a positive integer: one less than its number of binary digits."""
+    return F.length(F.bin(x)) - 1
+
+
+def next_power_of_two(x: Column) -> Column:
+    return F.when(x <= 1, 1).otherwise(F.pow(F.lit(2.0), log2_floor(x - 1) + 1)).cast("long")
+
+
+def cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def unit(a: list[Column]) -> list[Column]:
+    """Of length one; the zero vector stays."""
+    n = F.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2])
+    return [F.when(n > 0, x / n).otherwise(0.0) for x in a]
+
+
+def vector(name: str) -> list[Column]:
+    return [F.col(f"{name}{c}") for c in "xyz"]
+
+
+def with_vector(rows: DataFrame, name: str, a: list[Column]) -> DataFrame:
+    """rows with columns name + x, y, z. Vectors become columns step by step: written into each other, expressions would multiply."""
+    return rows.withColumns({f"{name}{c}": x for c, x in zip("xyz", a, strict=True)})
+
+
+def look_at(rows: DataFrame, position: list[Column], target: list[Column], above: list[Column]) -> DataFrame:
+    """rows with the unit vectors forward_, right_ and up_ of a camera at a position that looks at a target."""
+    rows = with_vector(rows, "forward_", [t - p for p, t in zip(position, target, strict=True)])
+    rows = with_vector(rows, "forward_", unit(vector("forward_")))
+    rows = with_vector(rows, "right_", cross(vector("forward_"), above))
+    rows = with_vector(rows, "right_", unit(vector("right_")))
+    rows = with_vector(rows, "up_", cross(vector("right_"), vector("forward_")))
+    return with_vector(rows, "up_", unit(vector("up_")))
+
+
+def cast_ray(rows: DataFrame, px: Column, py: Column, width: int, height: int, field: float, fisheye: bool = False) -> DataFrame:
+    """rows of `look_at` with ray_: a pixel's ray, a unit vector; a fisheye's is zero where its angle from the axis is half a turn or more."""
+    right, up, forward = vector("right_"), vector("up_"), vector("forward_")
+    rows = rows.withColumns({"u_": (2 * px / width - 1) * (width / height), "v_": 1 - 2 * py / height})
+    u, v = F.col("u_"), F.col("v_")
+    if not fisheye:
+        rows = with_vector(rows, "ray_", [forward[i] / tan(field / 2) + u * right[i] + v * up[i] for i in range(3)])
+        return with_vector(rows, "ray_", unit(vector("ray_"))).drop("u_", "v_")
+    rows = rows.withColumn("r_", F.sqrt(u * u + v * v)).withColumn("angle_", field * F.col("r_"))
+    rows = rows.withColumn("side_", F.when(F.col("r_") > 0, F.sin("angle_") / F.col("r_")).otherwise(0.0))
+    ray = [F.cos("angle_") * forward[i] + F.col("side_") * (u * right[i] + v * up[i]) for i in range(3)]
+    return with_vector(rows, "ray_", [F.when(F.col("angle_") < pi, x).otherwise(0.0) for x in ray]).drop("u_", "v_", "r_", "angle_", "side_")
+
+
+def log_linear(step: Column, first: float, last: float, steps: int) -> Column:
+    """A rate that falls evenly on a logarithmic scale; zero beyond its steps."""
+    share = F.least(F.greatest(step / steps, F.lit(0.0)), F.lit(1.0))
+    return F.when(step > steps, 0.0).otherwise(F.exp((1 - share) * F.log(F.lit(first)) + share * F.log(F.lit(last))))

@@ -3,37 +3,54 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that `spark.checkpoint.dir` names; a session that runs in one process may do without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the cluster's shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    """Cuts the lineage with a written table in the cluster's shared folder; the rows are computed once."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, comp): comp is the component's least id. nodes: id; edges: u, v.
 
-    Each round every node takes the least label among itself and its neighbours, then its label's label, so chains
-    shorten as by pointer doubling; two shuffles of small rows a round, and one number to the driver.
+    Alternating stars: each node's larger neighbours, then its smaller ones, are linked to the smallest of the
+    neighbourhood, until no link changes. Links shrink towards one a node; a round writes one table and brings two
+    numbers to the driver, and rounds grow with the logarithm of the longest path.
     """
-    both = durable(edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).where("u <> v").distinct())
-    labels = durable(nodes.select("id", F.col("id").alias("comp")))
+    links = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
     for _ in range(rounds):
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("comp").alias("low"))
-        step = labels.join(near, F.col("id") == F.col("u"), "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("low", "comp")).alias("comp"))
-        step = durable(step)
-        jump = step.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-        new = durable(step.join(jump, "comp").select("id", "old", F.least("comp", "next").alias("comp")))
-        if not new.where("old <> comp").limit(1).count():
-            return new.select("id", "comp")
-        labels = new.select("id", "comp")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        both = links.union(links.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = durable(small.union(least).where("u <> v").distinct())
+        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    roots = links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("comp"))
+    return nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
 def relabel(components: DataFrame, min_size: int) -> DataFrame:
@@ -57,6 +74,20 @@ def split_connected(labels: DataFrame, edges: DataFrame, min_size: int = 1) -> D
     return labels.select("id").join(out, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
+def grown(shell: DataFrame, edges: DataFrame) -> DataFrame:
+    """The shell and its one-ring."""
+    near = [edges.join(shell.select(F.col("id").alias(a)), a, "left_semi").select(F.col(b).alias("id")) for a, b in (("u", "v"), ("v", "u"))]
+    return shell.select("id").union(near[0]).union(near[1]).distinct()
+
+
+def volume(shell: DataFrame, cells: DataFrame, edges: DataFrame, pad: float = 0.12, margin: float = 0.02) -> DataFrame:
+    """(id, part, leaks): an object's cells, part `shell` or `interior`. leaks: the box has free cells and none is enclosed, so the shell has holes."""
+    inside = durable(enclose(shell, cells, edges, pad, margin))
+    closed = inside.limit(1).count() > 0
+    rows = shell.select("id", F.lit("shell").alias("part")).union(inside.select("id", F.lit("interior").alias("part")))
+    return rows.withColumn("leaks", F.lit(not closed))
+
+
 def enclose(shell: DataFrame, cells: DataFrame, edges: DataFrame, pad: float = 0.12, margin: float = 0.02) -> DataFrame:
     """Cells inside a shell: free cells of the padded box whose free component doesn't reach the box's margin. shell: id; cells: id, x, y, z."""
     core = cells.join(shell, "id", "left_semi")

@@ -59,40 +59,46 @@ def best_union(overlap: DataFrame) -> DataFrame:
 
 
 def average_precision(vertices: DataFrame, min_size: int = 100, thresholds: tuple[float, ...] = (0.25, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9), score: str = "size") -> DataFrame:
-    """One row: AP over the nine thresholds from 0.5, AP50 and AP25. vertices: vertex_id, gt_id (null: void), pred_id.
+    """A row for each scene: AP over the nine thresholds from 0.5, AP50 and AP25. vertices: vertex_id, gt_id (null: void), pred_id, scene (without it: one row).
 
     At each threshold predictions, best first, take the free instance with the highest IoU at or above it; those without
-    one are dropped if more than that share of theirs is void, else they are false. Ties go by id.
+    one are dropped if more than that share of theirs is void, else they are false. Ties go by id. A scene without an
+    instance of that size scores zero.
     """
-    preds = vertices.groupBy("pred_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("gt_id").isNull().cast("double")).alias("void")).where(F.col("n") >= min_size)
-    gts = vertices.where("gt_id is not null").groupBy("gt_id").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") >= min_size)
-    both = vertices.where("gt_id is not null").groupBy("pred_id", "gt_id").agg(F.count(F.lit(1)).alias("both_n")).join(gts, "gt_id")
-    rows = preds.join(both, "pred_id", "left").withColumn("iou", F.col("both_n") / (F.col("n") + F.col("g") - F.col("both_n")))
+    alone = "scene" not in vertices.columns
+    vertices = vertices.withColumn("scene", F.lit(0).cast("long")) if alone else vertices.withColumn("scene", F.col("scene").cast("long"))
+    known = vertices.where("gt_id is not null")
+    preds = vertices.groupBy("scene", "pred_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("gt_id").isNull().cast("double")).alias("void")).where(F.col("n") >= min_size)
+    gts = known.groupBy("scene", "gt_id").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") >= min_size)
+    both = known.groupBy("scene", "pred_id", "gt_id").agg(F.count(F.lit(1)).alias("both_n")).join(gts, ["scene", "gt_id"])
+    rows = preds.join(both, ["scene", "pred_id"], "left").withColumn("iou", F.col("both_n") / (F.col("n") + F.col("g") - F.col("both_n")))
     rows = rows.withColumn("score", F.col("n") if score == "size" else F.lit(1)).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    schema = "threshold double, pred_id long, score double, tp int"
+    schema = "scene long, threshold double, pred_id long, score double, tp int"
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, used, out = float(pdf["threshold"].iloc[0]), set(), []
+        scene, t, used, out = int(pdf["scene"].iloc[0]), float(pdf["threshold"].iloc[0]), set(), []
         order = pdf[["pred_id", "score", "void"]].drop_duplicates("pred_id").sort_values(["score", "pred_id"], ascending=[False, True])
         by = dict(list(pdf.groupby("pred_id")))
         for pred, s, void in order.itertuples(index=False, name=None):
             free = [(-i, g) for i, g in by[pred][["iou", "gt_id"]].itertuples(index=False, name=None) if i == i and i >= t and g not in used]
             if free:
                 used.add(min(free)[1])
-                out.append((t, pred, s, 1))
+                out.append((scene, t, pred, s, 1))
             elif void <= t:
-                out.append((t, pred, s, 0))
-        return pd.DataFrame(out, columns=["threshold", "pred_id", "score", "tp"])
+                out.append((scene, t, pred, s, 0))
+        return pd.DataFrame(out, columns=["scene", "threshold", "pred_id", "score", "tp"])
 
-    marks = rows.groupBy("threshold").applyInPandas(match, schema)
-    order = Window.partitionBy("threshold").orderBy(F.desc("score"), "pred_id")
-    total = F.broadcast(gts.agg(F.count(F.lit(1)).alias("total")))  # one row
-    curve = marks.join(total).withColumn("recall", F.sum("tp").over(order) / F.greatest(F.col("total"), F.lit(1))).withColumn("precision", F.sum("tp").over(order) / F.row_number().over(order))
+    marks = rows.groupBy("scene", "threshold").applyInPandas(match, schema)
+    order = Window.partitionBy("scene", "threshold").orderBy(F.desc("score"), "pred_id")
+    total = gts.groupBy("scene").agg(F.count(F.lit(1)).alias("total"))  # a row a scene
+    curve = marks.join(total, "scene").withColumn("recall", F.sum("tp").over(order) / F.greatest(F.col("total"), F.lit(1))).withColumn("precision", F.sum("tp").over(order) / F.row_number().over(order))
     curve = curve.withColumn("envelope", F.max("precision").over(order.rowsBetween(0, Window.unboundedFollowing))).withColumn("gain", F.col("recall") - F.lag("recall", 1, 0.0).over(order))
-    ap = curve.groupBy("threshold").agg(F.sum(F.col("gain") * F.col("envelope")).alias("ap"))
+    ap = curve.groupBy("scene", "threshold").agg(F.sum(F.col("gain") * F.col("envelope")).alias("ap"))
     at = lambda t: F.coalesce(F.max(F.when(F.col("threshold") == t, F.col("ap"))), F.lit(0.0))
     mean = F.coalesce(F.sum(F.when(F.col("threshold") >= 0.5, F.col("ap"))), F.lit(0.0)) / sum(t >= 0.5 for t in thresholds)
-    return ap.agg(F.round(mean, 6).alias("ap"), F.round(at(0.5), 6).alias("ap50"), F.round(at(0.25), 6).alias("ap25"))
+    ap = vertices.select("scene").distinct().join(ap, "scene", "left").groupBy("scene")
+    out = ap.agg(F.round(mean, 6).alias("ap"), F.round(at(0.5), 6).alias("ap50"), F.round(at(0.25), 6).alias("ap25"))
+    return out.drop("scene") if alone else out
 
 
 def fisher_threshold(rows: DataFrame, steps: int = 80) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import heapq
+from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellarium.operators.graph import connected_components, relabel
+from cellarium.operators.graph import connected_components, durable, relabel, threshold_components
 
 
 def contract(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -90,37 +91,111 @@ def felzenszwalb(nodes: DataFrame, edges: DataFrame, k: float = 0.02, min_size:
 
 
 def bernoulli_mixture(counts: DataFrame, rounds: int = 80) -> dict[str, float]:
-    """Two-component EM over vote pairs. counts: agree, disagree, n - a row for each pair of counts, which loses nothing."""
-    rows = counts.orderBy("agree", "disagree").toPandas()
+    """Two-component EM over vote pairs. counts: agree, disagree, n - a row for each pair of counts, which loses nothing; pairs without a vote say nothing."""
+    rows = counts.where("agree + disagree > 0").orderBy("agree", "disagree").toPandas()
     a, d, n = (rows[c].to_numpy(float) for c in ("agree", "disagree", "n"))
     pi, alpha, beta = 0.9, 0.95, 0.15
     for _ in range(rounds if len(rows) else 0):
         same = np.log(pi) + a * np.log(alpha) + d * np.log1p(-alpha)
         other = np.log1p(-pi) + a * np.log(beta) + d * np.log1p(-beta)
         r = 1 / (1 + np.exp(np.clip(other - same, -60, 60)))
-        clip = lambda x: float(np.clip(x, 1e-4, 1 - 1e-4))
-        pi = clip((n * r).sum() / n.sum())
-        alpha = clip((n * r * a).sum() / max((n * r * (a + d)).sum(), 1e-12))
-        beta = clip((n * (1 - r) * a).sum() / max((n * (1 - r) * (a + d)).sum(), 1e-12))
+        clip = lambda x, low: float(np.clip(x, low, 1 - low))
+        pi = clip((n * r).sum() / n.sum(), 1e-4)
+        alpha = clip((n * r * a).sum() / max((n * r * (a + d)).sum(), 1e-12), 1e-3)
+        beta = clip((n * (1 - r) * a).sum() / max((n * (1 - r) * (a + d)).sum(), 1e-12), 1e-3)
     return {"pi": pi, "alpha": alpha, "beta": beta}
 
 
 def gaussian_mixture(values: DataFrame, rounds: int = 60) -> list[tuple[float, float, float]]:
-    """Two Gaussians on the logarithm of column d, ordered by mean: (weight, mean, sd). One aggregation a round."""
-    x = values.where("d > 0").select(F.ln("d").alias("x"))
-    lo, hi = x.agg(F.percentile("x", F.lit(0.1)), F.percentile("x", F.lit(0.9))).first()
-    parts = [(0.5, lo, max((hi - lo) / 4, 1e-3)), (0.5, hi, max((hi - lo) / 4, 1e-3))]
+    """Two Gaussians on the logarithm of column d, ordered by mean: (weight, mean, sd). One aggregation a round, over all rows."""
+    x = durable(values.where("d + 1e-6 > 0").select(F.ln(F.col("d") + 1e-6).alias("x")))  # read once a round
+    lo, hi, sd = x.agg(F.percentile("x", F.lit(0.1)), F.percentile("x", F.lit(0.9)), F.stddev_pop("x")).first()
+    if lo is None:
+        return []
+    parts = [(0.5, m, sd / 2 + 1e-6) for m in (lo, hi)]
     for _ in range(rounds):
-        dens = [w / s * F.exp(-((F.col("x") - m) ** 2) / (2 * s * s)) for w, m, s in parts]
-        r = dens[0] / (dens[0] + dens[1] + 1e-300)
-        got = x.select("x", r.alias("r")).agg(F.count(F.lit(1)), *[F.sum(e) for c in (F.col("r"), 1 - F.col("r")) for e in (c, c * F.col("x"), c * F.col("x") ** 2)]).first()
+        r = 1 / (1 + F.exp(F.greatest(F.least(log_density(F.col("x"), parts[1]) - log_density(F.col("x"), parts[0]), F.lit(700.0)), F.lit(-700.0))))
+        # sums about the means of the round before, so that narrow parts far from zero keep their digits
+        each = [(c * w) for c, (_, m, _) in ((F.col("r"), parts[0]), (1 - F.col("r"), parts[1])) for w in (F.lit(1.0), F.col("x") - m, (F.col("x") - m) ** 2)]
+        got = x.select("x", r.alias("r")).agg(F.count(F.lit(1)), *map(F.sum, each)).first()
         new = []
-        for k in (0, 1):
-            n, s1, s2 = got[1 + 3 * k : 4 + 3 * k]
-            n = max(n, 1e-9)
-            new.append((n / got[0], s1 / n, max(s2 / n - (s1 / n) ** 2, 1e-8) ** 0.5))
-        done = max(abs(p[1] - q[1]) for p, q in zip(parts, new, strict=True)) < 1e-9
+        for j, (_, m, _) in enumerate(parts):
+            n, s1, s2 = got[1 + 3 * j : 4 + 3 * j]
+            n = n + 1e-12
+            new.append((n / got[0], m + s1 / n, max(s2 / n - (s1 / n) ** 2, 0.0) ** 0.5 + 1e-6))
+        done = max(abs(p[i] - q[i]) for p, q in zip(parts, new, strict=True) for i in range(3)) < 1e-12
         parts = new
         if done:
             break
     return sorted(parts, key=lambda p: p[1])
+
+
+def log_density(x: Column, part: tuple[float, float, float]) -> Column:
+    w, m, s = part
+    return log(w + 1e-300) - log(s) - 0.5 * ((x - m) / s) ** 2
+
+
+CLIP = {"votes": 24.0, "bins": 12.0, "sum": 48.0}
+
+
+def clipped(x: Column, by: float) -> Column:
+    return F.greatest(F.least(x, F.lit(by)), F.lit(-by))
+
+
+def distance_log_odds(edges: DataFrame) -> DataFrame:
+    """edges (u, v, d, ...) with w: log odds of one object against two, from a mixture of the distances alone."""
+    same, other = gaussian_mixture(edges)
+    x = F.ln(F.col("d") + 1e-6)
+    return edges.withColumn("w", clipped(log_density(x, same) - log_density(x, other), CLIP["votes"]))
+
+
+def vote_log_odds(votes: DataFrame) -> tuple[DataFrame, float]:
+    """votes (u, v, agree, disagree) with llr and the posterior p (null where nothing was observed), and the prior's log odds."""
+    part = bernoulli_mixture(votes.groupBy("agree", "disagree").agg(F.count(F.lit(1)).alias("n")))
+    prior, a, b = log(part["pi"] / (1 - part["pi"])), part["alpha"], part["beta"]
+    llr = clipped(F.col("agree") * log(a / b) + F.col("disagree") * log((1 - a) / (1 - b)), CLIP["votes"])
+    rows = votes.withColumn("llr", llr)
+    return rows.withColumn("p", F.when(F.col("agree") + F.col("disagree") > 0, 1 / (1 + F.exp(-(F.col("llr") + prior))))), prior
+
+
+def calibrated(rows: DataFrame, column: str, bins: int) -> DataFrame:
+    """rows (u, v, p, column) with `evidence`: the smoothed log ratio of the soft labels p in the quantile bin of the column.
+
+    Edges are quantiles of observed rows; a bin without any has no evidence. Rows beyond the edges fall in the outer bins.
+    """
+    cuts = rows.where("p is not null").agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0] or []
+    edges = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    rows = rows.withColumn("bin", F.size(F.filter(edges, lambda c: c <= F.col(column))))
+    tally = rows.where("p is not null").groupBy("bin").agg(clipped(F.ln((F.sum("p") + 1) / (F.sum(1 - F.col("p")) + 1)), CLIP["bins"]).alias("evidence"))
+    return rows.join(F.broadcast(tally), "bin", "left").fillna(0.0, ["evidence"])  # at most `bins` rows
+
+
+def evidence(edges: DataFrame, votes: DataFrame, solidity: bool = False, bins: int = 64, solid_bins: int = 32) -> DataFrame:
+    """edges (u, v, d, solid) with w: the votes' log likelihood ratio, what the distance (and the solidity) says, and the prior."""
+    seen, prior = vote_log_odds(votes)
+    rows = durable(edges.join(seen.select("u", "v", "llr", "p"), ["u", "v"], "left"))
+    rows = calibrated(rows, "d", bins).withColumnRenamed("evidence", "by_distance").drop("bin")
+    w = F.coalesce("llr", F.lit(0.0)) + F.col("by_distance") + prior
+    if solidity:
+        rows = calibrated(rows, "solid", solid_bins)
+        w = w + F.col("evidence")
+    return rows.select("u", "v", "d", clipped(w, CLIP["sum"]).alias("w"))
+
+
+def partition(method: str, nodes: DataFrame, edges: DataFrame, min_size: int = 1, votes: DataFrame | None = None, **options: float) -> DataFrame:
+    """Labels (id, label) by the method's name (G10). edges: u, v, d, solid."""
+    if method == "threshold":
+        return threshold_components(nodes, edges, options["tau"], min_size)
+    if method == "felzenszwalb":
+        return felzenszwalb(nodes, edges, options.get("k", 0.02), min_size)
+    if method == "multicut":
+        tau, w = options["tau"], options["tau"] - F.col("d")
+        if options.get("occupancy"):
+            top = edges.agg(F.max("solid")).first()[0] or 1.0
+            w = w * F.col("solid") / top
+        return multicut(nodes, edges.select("u", "v", w.alias("w")), min_size, tau / 2 if not options.get("occupancy") else None)
+    if method == "multicut_logodds":
+        return multicut(nodes, distance_log_odds(edges).select("u", "v", "w"), min_size, safe=6.0)
+    if method == "multicut_votes" and votes is not None:
+        return multicut(nodes, evidence(edges, votes, bool(options.get("solidity"))).select("u", "v", "w"), min_size, safe=6.0)
+    raise ValueError(f"unknown method {method!r}")

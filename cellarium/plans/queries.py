@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellarium.plans.relational import SQL
 from cellarium.sources import fixtures
@@ -37,7 +38,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellarium.operators.graph import connected_components
 
-    return connected_components(_nodes(spark, sf_dir), _edges(spark, sf_dir).where("u % 3 <> 0 and v % 5 <> 0"))
+    return connected_components(_nodes(spark, sf_dir), _edges(spark, sf_dir))
 
 
 def thresholded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +54,12 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cellarium.operators.graph import enclose
+    """Label 2's cells and their ring as a shell, and what it encloses."""
+    from cellarium.operators.graph import grown, volume
 
-    return enclose(fixtures.run(spark, sf_dir, "SELECT cell_id AS id FROM cell_labels WHERE label = 2"), fixtures.run(spark, sf_dir, "SELECT cell_id AS id, x, y, z FROM cells"), _edges(spark, sf_dir))
+    edges = _edges(spark, sf_dir)
+    shell = grown(fixtures.run(spark, sf_dir, "SELECT cell_id AS id FROM cell_labels WHERE label = 2"), edges)
+    return volume(shell, fixtures.run(spark, sf_dir, "SELECT cell_id AS id, x, y, z FROM cells"), edges)
 
 
 def dbscan_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +86,118 @@ def multicut_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multicut(_nodes(spark, sf_dir), fixtures.run(spark, sf_dir, "SELECT e.u, e.v, 0.9 - d + 0.9 * coalesce((agree - disagree) / greatest(agree + disagree, 1), 0) AS w FROM edge_d e LEFT JOIN votes o ON o.u = e.u AND o.v = e.v"))
 
 
+def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.run(spark, sf_dir, "SELECT u, v, d, solid FROM edge_d")
+
+
+def multicut_logodds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.partition import partition
+
+    return partition("multicut_logodds", _nodes(spark, sf_dir), _all_edges(spark, sf_dir), 3)
+
+
+def multicut_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.partition import partition
+
+    return partition("multicut_votes", _nodes(spark, sf_dir), _all_edges(spark, sf_dir), 3, fixtures.run(spark, sf_dir, "SELECT u, v, agree, disagree FROM votes"), solidity=1)
+
+
+def nearest_visible_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.nearest import nearest
+
+    got = nearest(fixtures.run(spark, sf_dir, "SELECT cell_id AS id, x, y, z FROM cells WHERE density > 1e-3"), fixtures.run(spark, sf_dir, "SELECT probe_id AS q, x, y, z FROM probes"))
+    return got.select(F.col("q").alias("probe_id"), F.col("id").alias("cell_id"))
+
+
+def start_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.nearest import nearest
+
+    origins = fixtures.run(spark, sf_dir, "SELECT DISTINCT round(x, 1) + 0.0 AS x, round(y, 1) + 0.0 AS y FROM probes").select(F.struct("x", "y").alias("q"), "x", "y", F.lit(0.0).alias("z"))
+    got = nearest(fixtures.run(spark, sf_dir, "SELECT cell_id AS id, x, y, z FROM cells"), origins)
+    return got.select(F.col("q.x").alias("ox"), F.col("q.y").alias("oy"), F.col("id").alias("cell_id"))
+
+
+def core_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.nearest import nearest
+
+    cells = fixtures.run(spark, sf_dir, "SELECT cell_id AS id, x, y, z FROM cells")
+    return nearest(cells, cells.withColumnRenamed("id", "q"), 16).where("rank = 16").select(F.col("q").alias("cell_id"), F.round("d", 6).alias("core"))
+
+
+STEPS = 48
+
+
+def cell_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ray from every probe, from the cell nearest to it."""
+    from cellarium.operators.nearest import nearest
+    from cellarium.operators.rays import walk
+
+    cells = fixtures.run(spark, sf_dir, "SELECT cell_id AS id, x, y, z FROM cells")
+    probes = fixtures.run(spark, sf_dir, "SELECT probe_id AS q, x, y, z FROM probes")
+    start = nearest(cells, probes).select("q", F.col("id").alias("start"))
+    rays = probes.join(start, "q").select(F.col("q").alias("ray"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.col("y").alias("dx"), F.col("z").alias("dy"), F.col("x").alias("dz"), "start")
+    adjacency = fixtures.run(spark, sf_dir, "SELECT u AS a, v AS b FROM edges UNION ALL SELECT v, u FROM edges")
+    got = walk(rays, cells, adjacency, STEPS)
+    return got.select("ray", "step", "cell", F.round("t0", 5).alias("t0"), F.round("t1", 5).alias("t1"))
+
+
+def spherical_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.functions.scalar import sh_colour
+
+    cells = fixtures.fixture(spark, sf_dir, "cells").withColumn("n", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2))
+    return cells.select("cell_id", F.round(sh_colour(F.col("feat"), *[F.col(c) / F.col("n") for c in "xyz"]), 6).alias("colour"))
+
+
+def integer_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.functions.scalar import log2_floor, morton, next_power_of_two, rgba8, unmorton
+
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k")).distinct()
+    code = morton(F.col("k") % 1024, F.col("k") % 777, F.col("k") % 1000)
+    return rows.select("k", log2_floor(F.col("k")).cast("long").alias("log2"), next_power_of_two(F.col("k")).alias("power"), *[unmorton(code, i).cast("long").alias(c) for i, c in enumerate("xyz")], rgba8(F.col("k") % 7 / 4.0, F.lit(0.5), F.lit(1.0), F.lit(0.0)).cast("long").alias("rgba"))
+
+
+def camera_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rays of a pinhole and a fisheye through every mask pixel; the camera at each frame's first probe looks at the origin."""
+    from cellarium.functions.scalar import cast_ray, look_at
+
+    rows = fixtures.run(spark, sf_dir, "SELECT px, py, f.x, f.y, f.z, frame_idx FROM (SELECT DISTINCT frame_idx, pixel % 20 AS px, CAST(floor(pixel / 20) AS BIGINT) AS py FROM mask_pixels) p JOIN probes f ON f.probe_id = 2 * frame_idx + 1")
+    rows = look_at(rows, [F.col(c) for c in "xyz"], [F.lit(0.0)] * 3, [F.lit(0.0), F.lit(0.0), F.lit(1.0)])
+    for name, field, fisheye in (("p", 1.2, False), ("f", 2.0, True)):
+        rows = cast_ray(rows, F.col("px"), F.col("py"), 20, 24, field, fisheye)
+        rows = rows.withColumns({f"{name}_{c}": F.round(F.col(f"ray_{c}"), 6) + 0.0 for c in "xyz"})
+    return rows.select("frame_idx", F.col("px").alias("i"), F.col("py").alias("j"), *[f"{k}_{c}" for k in "pf" for c in "xyz"])
+
+
+def log_linear_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.functions.scalar import log_linear
+
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("step")).distinct()
+    return rows.select("step", F.round(log_linear(F.col("step"), 0.01, 0.0001, 5000), 9).alias("lr"))
+
+
+def view_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = fixtures.fixture(spark, sf_dir, "mask_sizes")
+    total = fixtures.fixture(spark, sf_dir, "mask_pixels").groupBy("obj_id").agg(F.countDistinct("pixel").alias("total"))
+    from pyspark.sql import Window
+
+    rows = sizes.join(total, "obj_id").withColumn("score", F.round(F.col("n") / F.col("total") * (F.col("n") / F.max("n").over(Window.partitionBy("obj_id"))), 9))
+    place = F.row_number().over(Window.partitionBy("obj_id").orderBy(F.desc("score"), "frame_idx"))
+    return rows.select("obj_id", "frame_idx", "score", place.alias("place")).where("place <= 5")
+
+
+def pca_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.rays import projected_rgb
+
+    return projected_rgb(fixtures.run(spark, sf_dir, "SELECT cell_id, feat FROM cells"), F.col("feat"), 16).drop("feat")
+
+
+def up_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.rays import up_direction as up
+
+    cameras = fixtures.fixture(spark, sf_dir, "probes").select(F.array("x", "y", "z").alias("right"), F.array("y", "z", "x").alias("forward"), F.array("z", "x", "y").alias("down"))
+    return spark.createDataFrame([tuple(round(v, 6) for v in up(cameras))], "x double, y double, z double")
+
+
 def felzenszwalb_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellarium.operators.partition import felzenszwalb
 
@@ -123,7 +239,7 @@ def best_union_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def instance_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellarium.operators.masks import average_precision
 
-    return average_precision(fixtures.fixture(spark, sf_dir, "vertices"), min_size=20)
+    return average_precision(fixtures.run(spark, sf_dir, "SELECT *, CAST(floor(vertex_id / 4) AS BIGINT) % 3 AS scene FROM vertices"), min_size=5)
 
 
 def fisher_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,15 +264,63 @@ _SPLIT = reach(
     "nodes AS (SELECT cell_id AS id FROM cell_labels WHERE label >= 0)",
 )
 
+WALK = """, adj AS (SELECT u AS a, v AS b FROM edges UNION ALL SELECT v, u FROM edges),
+starts AS (SELECT probe_id, arg_min(cell_id, pow(p.x - c.x, 2) + pow(p.y - c.y, 2) + pow(p.z - c.z, 2)) AS cell FROM probes p JOIN cells c ON true GROUP BY probe_id),
+faces AS (SELECT probe_id AS ray, a, b, ((q.x - p.x) * r.y + (q.y - p.y) * r.z + (q.z - p.z) * r.x) AS dp,
+  (pow(q.x - r.x, 2) + pow(q.y - r.y, 2) + pow(q.z - r.z, 2) - pow(p.x - r.x, 2) - pow(p.y - r.y, 2) - pow(p.z - r.z, 2)) / 2 AS gap
+  FROM adj JOIN cells p ON p.cell_id = a JOIN cells q ON q.cell_id = b JOIN probes r ON true),
+outs AS (SELECT ray, a, arg_min(b, gap / dp) AS nxt, min(gap / dp) AS t FROM faces WHERE dp > 0 GROUP BY ray, a),
+path AS (SELECT probe_id AS ray, 0 AS step, s.cell, CAST(0 AS DOUBLE) AS t0, t AS t1, nxt FROM starts s JOIN outs o ON o.ray = probe_id AND o.a = s.cell
+  UNION ALL SELECT p.ray, p.step + 1, p.nxt, greatest(p.t0, p.t1), o.t, o.nxt FROM path p JOIN outs o ON o.ray = p.ray AND o.a = p.nxt WHERE p.step + 1 < {steps})
+SELECT ray, CAST(step AS INT) AS step, cell, round(t0, 5) AS t0, round(t1, 5) AS t1 FROM path WHERE t1 > t0"""
+WALK = fixtures.oracle("WITH RECURSIVE x AS (SELECT 1 FROM edges JOIN cells ON true JOIN probes ON true)" + WALK.format(steps=STEPS))
+HARMONICS = fixtures.oracle("""SELECT cell_id, round(greatest(0, 0.5 + sqrt(1 / pi()) / 2 * f[1] + sqrt(3 / pi()) / 2 * (-y * f[2] + z * f[3] - x * f[4])
+  + sqrt(15 / pi()) / 2 * (x * y * f[5] - y * z * f[6] - x * z * f[8]) + sqrt(5 / pi()) / 4 * (3 * z * z - 1) * f[7] + sqrt(15 / pi()) / 4 * (x * x - y * y) * f[9]
+  - sqrt(35 / (2 * pi())) / 4 * (y * (3 * x * x - y * y) * f[10] + x * (x * x - 3 * y * y) * f[16]) + sqrt(105 / pi()) / 2 * x * y * z * f[11]
+  - sqrt(21 / (2 * pi())) / 4 * (5 * z * z - 1) * (y * f[12] + x * f[14]) + sqrt(7 / pi()) / 4 * z * (5 * z * z - 3) * f[13] + sqrt(105 / pi()) / 4 * z * (x * x - y * y) * f[15]), 6) AS colour
+  FROM (SELECT cell_id, feat AS f, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM cells) s""")
+INTEGERS = """SELECT k, CAST(greatest(length(ltrim(bin(k), '0')) - 1, 0) AS BIGINT) AS log2, CAST(CASE WHEN k <= 1 THEN 1 ELSE pow(2, ceil(log2(k))) END AS BIGINT) AS power,
+  CAST(k % 1024 AS BIGINT) AS x, CAST(k % 777 AS BIGINT) AS y, CAST(k % 1000 AS BIGINT) AS z, CAST(floor(255 * least(1, (k % 7) / 4.0)) + 256 * 127 + 65536 * 255 AS BIGINT) AS rgba FROM (SELECT DISTINCT o_orderkey AS k FROM orders) s"""
+CAMERAS = fixtures.oracle("""WITH c AS (SELECT probe_id, -x / n AS fx, -y / n AS fy, -z / n AS fz, -y / m AS rx, x / m AS ry FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n, sqrt(x * x + y * y) AS m FROM probes) s),
+  axes AS (SELECT *, ry * fz AS ux, -rx * fz AS uy, rx * fy - ry * fx AS uz FROM c),
+  px AS (SELECT DISTINCT frame_idx, pixel % 20 AS i, CAST(floor(pixel / 20) AS BIGINT) AS j FROM mask_pixels),
+  uv AS (SELECT px.*, axes.*, (i / 10.0 - 1) * 20 / 24 AS u, 1 - j / 12.0 AS v FROM px JOIN axes ON probe_id = 2 * frame_idx + 1),
+  k AS (SELECT *, sqrt(u * u + v * v) AS r, 1 / tan(CAST(0.6 AS DOUBLE)) AS w FROM uv),
+  d AS (SELECT *, sqrt(u * u + v * v + w * w) AS len, CASE WHEN 2 * r < pi() THEN 1 ELSE 0 END AS seen, CASE WHEN r > 0 THEN sin(2 * r) / r ELSE 0 END AS side FROM k)
+  SELECT frame_idx, i, j, round((w * fx + u * rx + v * ux) / len, 6) + 0.0 AS p_x, round((w * fy + u * ry + v * uy) / len, 6) + 0.0 AS p_y, round((w * fz + v * uz) / len, 6) + 0.0 AS p_z,
+    round(seen * (cos(2 * r) * fx + side * (u * rx + v * ux)), 6) + 0.0 AS f_x, round(seen * (cos(2 * r) * fy + side * (u * ry + v * uy)), 6) + 0.0 AS f_y, round(seen * (cos(2 * r) * fz + side * v * uz), 6) + 0.0 AS f_z FROM d""")
+SCHEDULE = "SELECT DISTINCT o_orderkey AS step, round(CASE WHEN o_orderkey > 5000 THEN 0 ELSE 0.01 * pow(0.01, o_orderkey / 5000.0) END, 9) AS lr FROM orders"
+VIEWS = fixtures.oracle("""SELECT * FROM (SELECT obj_id, frame_idx, score, CAST(row_number() OVER (PARTITION BY obj_id ORDER BY score DESC, frame_idx) AS INT) AS place FROM (SELECT s.obj_id, s.frame_idx, round(n * n / CAST(total * top AS DOUBLE), 9) AS score
+  FROM mask_sizes s JOIN (SELECT obj_id, count(DISTINCT pixel) AS total FROM mask_pixels GROUP BY obj_id) t ON t.obj_id = s.obj_id JOIN (SELECT obj_id, max(n) AS top FROM mask_sizes GROUP BY obj_id) m ON m.obj_id = s.obj_id) a) b WHERE place <= 5""")
+
+
+def grid(name: str, run: Callable[[SparkSession, str], DataFrame]) -> Query:
+    """The grid search in Spark; the SQL compares all pairs."""
+    return Query(REGISTRY[name].operators, run, REGISTRY[name].sql)
+
+
 REGISTRY |= {
-    "connected_components": Query("G1 G2", connected, reach("SELECT u, v FROM edges WHERE u % 3 <> 0 AND v % 5 <> 0", "SELECT * FROM comps")),
+    "connected_components": Query("G1 G2", connected, reach("SELECT u, v FROM edges", "SELECT * FROM comps")),
     "threshold_components": Query("G3 A5", thresholded, reach("SELECT u, v FROM edge_d WHERE d < 0.8", _DENSE.format(least=3))),
     "split_connected": Query("G11", split, _SPLIT),
     "enclosed_cells": Query("G15 U3", enclosed, None),
     "dbscan_per_label": Query("J12 G12", dbscan_per_label, None),
     "hdbscan_labels": Query("G13 J20", hdbscan_labels, None),
-    "multicut_tau": Query("G5 G6 G10", multicut_tau, None),
-    "multicut_votes": Query("G7 G8 G9", multicut_votes, None),
+    "multicut_tau": Query("G5 G6", multicut_tau, None),
+    "multicut_votes": Query("G9", multicut_votes, None),
+    "multicut_logodds": Query("G7 A17", multicut_logodds, None),
+    "multicut_evidence": Query("G8 G10 A15 A16 A19", multicut_evidence, None),
+    "nearest_visible_cell": grid("nearest_visible_cell", nearest_visible_cell),
+    "start_cells": grid("start_cells", start_cells),
+    "core_distances": grid("core_distances", core_distances),
+    "cell_walk": Query("C1", cell_walk, WALK),
+    "spherical_harmonics": Query("C3", spherical_harmonics, HARMONICS),
+    "integer_functions": Query("F3 F5 F16", integer_functions, INTEGERS),
+    "camera_rays": Query("C7", camera_rays, CAMERAS),
+    "log_linear_schedule": Query("W12", log_linear_schedule, SCHEDULE),
+    "view_score": Query("O2", view_score, VIEWS),
+    "pca_rgb": Query("P8 A33 A20", pca_rgb, None),
+    "up_direction": Query("A32", up_direction, None),
     "felzenszwalb": Query("G4", felzenszwalb_labels, None),
     "vote_mixture": Query("A18", vote_mixture, None),
     "distance_mixture": Query("A17", distance_mixture, None),

@@ -8,14 +8,12 @@ SQL: dict[str, tuple[str, str]] = {
     "silhouette_labels": ("C10", "SELECT ray_id, label, round(sum(w), 6) AS w FROM hits GROUP BY ray_id, label HAVING sum(w) > 0.2"),
     "contribution_by_label": ("A13", "SELECT label, round(sum(w), 5) AS contribution, round(sum(w * abs(w - 0.5)), 5) AS error, count(*) AS n FROM hits GROUP BY label"),
     "max_contribution": ("A14", "SELECT label, round(max(w), 6) AS w FROM (SELECT label, ray_id % 10 AS view_id, sum(w) AS w FROM hits GROUP BY label, ray_id % 10) s GROUP BY label"),
-    "feature_variance_per_ray": ("A23 C2", "SELECT ray_id, round(avg(v - f * f), 6) AS var, round(avg(pow(v - f * f, 2)), 6) AS loss FROM (SELECT ray_id, i, sum(w * EL(feat, i)) AS f, sum(w * pow(EL(feat, i), 2)) AS v FROM hits JOIN cells ON cell_id = 2 * (ray_id * 7 + step) % 500 JOIN dims ON true GROUP BY ray_id, i) s GROUP BY ray_id"),
-    "composited_centroid_label": ("C11 J5", "SELECT ray_id, label FROM (SELECT r.ray_id, c.label, row_number() OVER (PARTITION BY r.ray_id ORDER BY round(sum(pow(f - c, 2)), 9), c.label) AS k FROM (SELECT ray_id, i, sum(w * EL(feat, i)) AS f FROM hits JOIN cells ON cell_id = 2 * (ray_id * 7 + step) % 500 JOIN dims ON true GROUP BY ray_id, i) r JOIN centroid_dims c ON r.i = c.i GROUP BY r.ray_id, c.label) s WHERE k = 1"),
+    "feature_variance_per_ray": ("A23 C2", "SELECT ray_id, round(avg(v - f * f), 6) AS var, round(avg(pow(v - f * f, 2)), 6) AS loss FROM (SELECT ray_id, i, sum(w * EL(feat, i)) AS f, sum(w * pow(EL(feat, i), 2)) AS v FROM hits JOIN (SELECT count(*) AS n_cells FROM cells) c ON true JOIN cells ON cell_id = 2 * ((ray_id * 7 + step) % n_cells) JOIN dims ON true GROUP BY ray_id, i) s GROUP BY ray_id"),
+    "composited_centroid_label": ("C11 J5", "SELECT ray_id, label FROM (SELECT r.ray_id, c.label, row_number() OVER (PARTITION BY r.ray_id ORDER BY round(sum(pow(f - c, 2)), 9), c.label) AS k FROM (SELECT ray_id, i, sum(w * EL(feat, i)) AS f FROM hits JOIN (SELECT count(*) AS n_cells FROM cells) c ON true JOIN cells ON cell_id = 2 * ((ray_id * 7 + step) % n_cells) JOIN dims ON true GROUP BY ray_id, i) r JOIN centroid_dims c ON r.i = c.i GROUP BY r.ray_id, c.label) s WHERE k = 1"),
     "packed_rgba": ("C5 F16 C4 P16", "SELECT ray_id, CAST(r AS BIGINT) + 256 * CAST(g AS BIGINT) + 65536 * CAST(b AS BIGINT) + 16777216 * CAST(a AS BIGINT) AS rgba FROM (SELECT ray_id, floor(255 * least(1, sum(w * 0.25))) AS r, floor(255 * least(1, sum(w * 0.5))) AS g, floor(255 * least(1, sum(w * 0.75))) AS b, floor(255 * round(1 - exp(-sum(od)), 9)) AS a FROM hits GROUP BY ray_id) s"),
     "intersection_counts": ("C4 W2", "SELECT ray_id, count(*) AS n FROM hits GROUP BY ray_id"),
     "psnr_per_view": ("A22", "SELECT view_id, round(avg(psnr), 6) AS psnr FROM (SELECT view_id, i, 20 * log10(1 / sqrt(avg(pow(f - 0.1, 2)))) AS psnr FROM pixel_dims WHERE i <= 3 GROUP BY view_id, i) s GROUP BY view_id"),
     "photometric_loss": ("A24", "SELECT round(avg(CASE WHEN abs(f) < 1 THEN 0.5 * f * f ELSE abs(f) - 0.5 END), 8) AS colour, round(avg(CASE WHEN f > 0 THEN pow(f, 2) ELSE 0 END), 8) AS masked FROM pixel_dims"),
-    "ray_cell_intervals": ("C1", "WITH sites AS (SELECT cell_id, x, y, z FROM (SELECT cell_id, x, y, z, row_number() OVER (ORDER BY cell_id) AS k FROM cells) s WHERE k <= 40), rays AS (SELECT i AS ray_id, -0.5 + i * 0.01 AS ox, 0.013 * i - 0.2 AS oy, CAST(-3 AS DOUBLE) AS oz, 0.02 * i - 0.2 AS dx, 0.1 - 0.011 * i AS dy, CAST(1 AS DOUBLE) AS dz FROM SEQ(1, 20)), planes AS (SELECT ray_id, a.cell_id, dx * (b.x - a.x) + dy * (b.y - a.y) + dz * (b.z - a.z) AS dn, (((a.x + b.x) / 2 - ox) * (b.x - a.x) + ((a.y + b.y) / 2 - oy) * (b.y - a.y) + ((a.z + b.z) / 2 - oz) * (b.z - a.z)) AS num FROM rays JOIN sites a ON true JOIN sites b ON a.cell_id <> b.cell_id) SELECT ray_id, cell_id, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM (SELECT ray_id, cell_id, greatest(0, coalesce(max(CASE WHEN dn < 0 THEN num / dn END), 0)) AS t0, min(CASE WHEN dn > 0 THEN num / dn END) AS t1 FROM planes GROUP BY ray_id, cell_id) s WHERE t0 < t1"),
-    "spherical_harmonics": ("C3", "SELECT cell_id, round(greatest(0, 0.5 + 0.28209479177387814 * EL(feat, 1) - 0.4886025119029199 * y / n * EL(feat, 2) + 0.4886025119029199 * z / n * EL(feat, 3) - 0.4886025119029199 * x / n * EL(feat, 4)), 6) AS colour FROM (SELECT cell_id, feat, x, y, z, sqrt(x * x + y * y + z * z) AS n FROM cells) s"),
     "pixel_rays": ("S2 S4 C7 O12", "SELECT px, py, round((px + 0.5 - 10) / 24, 6) AS dx, round((py + 0.5 - 8) / 24, 6) AS dy FROM (SELECT CAST(i AS INT) AS px FROM SEQ(0, 19)) a JOIN (SELECT CAST(i AS INT) AS py FROM SEQ(0, 15)) b ON true"),
     # cells: predicates and projections
     "density_activation": ("P2 F1", "SELECT cell_id, round(CASE WHEN 10 * raw > 20 THEN raw ELSE ln(1 + exp(10 * raw)) / 10 END, 6) AS sigma FROM (SELECT cell_id, density / 4 - 1 AS raw FROM cells) s"),
@@ -53,7 +51,7 @@ SQL: dict[str, tuple[str, str]] = {
     # masks
     "mask_iou": ("A6 U2", "SELECT frame_idx, a, b, round(iou, 6) AS iou FROM ious"),
     "instance_ioa": ("A7", "SELECT m.frame_idx, obj_id, round(avg(CASE WHEN m.pixel % 20 < 10 THEN 1.0 ELSE 0.0 END), 6) AS ioa FROM mask_pixels m GROUP BY m.frame_idx, obj_id"),
-    "proposal_anti_join": ("J11 T4", "SELECT s.frame_idx, s.obj_id FROM mask_sizes s LEFT JOIN (SELECT DISTINCT frame_idx, b FROM ious WHERE a < 6 AND iou >= 0.12) m ON m.frame_idx = s.frame_idx AND m.b = s.obj_id WHERE s.obj_id >= 6 AND m.b IS NULL"),
+    "proposal_anti_join": ("J11 T4", "SELECT s.frame_idx, s.obj_id FROM mask_sizes s LEFT JOIN (SELECT DISTINCT frame_idx, b FROM ious JOIN (SELECT QUANTILE(iou, 0.9) AS cut FROM ious) q ON iou >= cut) m ON m.frame_idx = s.frame_idx AND m.b = s.obj_id WHERE m.b IS NULL"),
     "void_share": ("A8 U4", "SELECT pred_id, round(avg(CASE WHEN gt_id IS NULL THEN 1.0 ELSE 0.0 END), 6) AS void_share, count(*) AS n FROM vertices GROUP BY pred_id"),
     "bounding_boxes": ("A29 F19", "SELECT frame_idx, obj_id, min(CAST(floor(pixel / 20) AS BIGINT)) AS r0, max(CAST(floor(pixel / 20) AS BIGINT)) + 1 AS r1, min(pixel % 20) AS c0, max(pixel % 20) + 1 AS c1 FROM mask_pixels GROUP BY frame_idx, obj_id"),
     "mask_union": ("U1", "SELECT frame_idx, count(DISTINCT pixel) AS n FROM mask_pixels WHERE obj_id IN (1, 2, 3) GROUP BY frame_idx"),
@@ -65,7 +63,7 @@ SQL: dict[str, tuple[str, str]] = {
     "interior_point": ("F18 F21", "SELECT frame_idx, obj_id, min(pixel) AS pixel FROM (SELECT m.frame_idx, m.obj_id, m.pixel, rank() OVER (PARTITION BY m.frame_idx, m.obj_id ORDER BY min(pow(floor(m.pixel / 20) - floor(g.i / 20), 2) + pow(m.pixel % 20 - g.i % 20, 2)) DESC) AS k FROM mask_pixels m JOIN SEQ(0, 399) g ON true LEFT JOIN mask_pixels o ON o.frame_idx = m.frame_idx AND o.obj_id = m.obj_id AND o.pixel = g.i WHERE o.pixel IS NULL GROUP BY m.frame_idx, m.obj_id, m.pixel) s WHERE k = 1 GROUP BY frame_idx, obj_id".replace("SEQ(0, 399) g", "(SELECT i FROM SEQ(0, 399)) g")),
     "polygon_raster": ("S15", "WITH corners AS (SELECT CAST(1 AS INT) AS k, 2.0 AS x, 3.0 AS y, 15.5 AS x2, 4.5 AS y2 UNION ALL SELECT 2, 15.5, 4.5, 12.0, 16.0 UNION ALL SELECT 3, 12.0, 16.0, 2.0, 3.0) SELECT px, py FROM (SELECT CAST(i AS INT) AS px FROM SEQ(0, 19)) a JOIN (SELECT CAST(i AS INT) AS py FROM SEQ(0, 19)) b ON true JOIN corners c ON (y > py + 0.5) <> (y2 > py + 0.5) AND px + 0.5 < (x2 - x) * (py + 0.5 - y) / (y2 - y) + x GROUP BY px, py HAVING count(*) % 2 = 1"),
     # evaluation
-    "pr_curve_interpolation": ("W5 O9 E2", "WITH preds AS (SELECT pred_id, count(*) AS n, max(CASE WHEN gt_id = pred_id THEN 1 ELSE 0 END) AS tp FROM vertices WHERE pred_id % 3 <> 1 GROUP BY pred_id), r AS (SELECT pred_id, tp, CAST(sum(tp) OVER (ORDER BY n DESC, pred_id) AS DOUBLE) AS cum, row_number() OVER (ORDER BY n DESC, pred_id) AS k FROM preds) SELECT pred_id, round(cum / 17, 6) AS recall, round(max(cum / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS envelope FROM r"),
+    "pr_curve_interpolation": ("W5 O9 E2", "WITH preds AS (SELECT pred_id, count(*) AS n, max(CASE WHEN gt_id = pred_id THEN 1 ELSE 0 END) AS tp FROM vertices GROUP BY pred_id), g AS (SELECT count(DISTINCT gt_id) AS total FROM vertices), r AS (SELECT pred_id, tp, CAST(sum(tp) OVER (ORDER BY n DESC, pred_id) AS DOUBLE) AS cum, row_number() OVER (ORDER BY n DESC, pred_id) AS k FROM preds) SELECT pred_id, round(cum / total, 6) AS recall, round(max(cum / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS envelope FROM r JOIN g ON true"),
     "instance_overlap": ("A6 E1", "SELECT p.pred_id, p.gt_id, round(both_n / CAST(a.n + b.n - both_n AS DOUBLE), 6) AS iou FROM (SELECT pred_id, gt_id, count(*) AS both_n FROM vertices WHERE gt_id IS NOT NULL GROUP BY pred_id, gt_id) p JOIN (SELECT pred_id, count(*) AS n FROM vertices GROUP BY pred_id) a ON a.pred_id = p.pred_id JOIN (SELECT gt_id, count(*) AS n FROM vertices GROUP BY gt_id) b ON b.gt_id = p.gt_id"),
     "best_single_instance": ("O14", "SELECT gt_id, max_by(pred_id, both_n * 1000 - pred_id) AS best FROM (SELECT pred_id, gt_id, count(*) AS both_n FROM vertices WHERE gt_id IS NOT NULL GROUP BY pred_id, gt_id) s GROUP BY gt_id"),
     "tie_order_ranks": ("O11 F4", "SELECT trial, pred_id, CAST(row_number() OVER (PARTITION BY trial ORDER BY CASE WHEN trial = 0 THEN pred_id ELSE (pred_id * 7919 + trial * 104729) % 1009 END, pred_id) AS INT) AS place FROM (SELECT DISTINCT pred_id FROM vertices) p JOIN (SELECT CAST(i AS INT) AS trial FROM SEQ(0, 20)) t ON true"),
@@ -73,7 +71,7 @@ SQL: dict[str, tuple[str, str]] = {
     "paired_config_delta": ("J19 E7", "SELECT a.config AS a, b.config AS b, round(avg(a.ap - b.ap), 4) AS delta, CAST(sum(CASE WHEN a.ap > b.ap THEN 1 ELSE 0 END) AS BIGINT) AS wins FROM results a JOIN results b ON a.scene = b.scene AND a.config < b.config GROUP BY a.config, b.config"),
     "complete_configs": ("A26", "SELECT config FROM results GROUP BY config HAVING count(DISTINCT scene) = (SELECT count(DISTINCT scene) FROM results)"),
     "two_level_mean": ("A27", "SELECT round(avg(m), 4) AS per_class, round(max(flat), 4) AS flat FROM (SELECT config, avg(ap) AS m FROM results GROUP BY config) s JOIN (SELECT avg(ap) AS flat FROM results) f ON true"),
-    "official_rows": ("K7 F15", "SELECT vertex_id, coalesce(gt_id * 1000 + pred_id, 0) AS code, concat('pred_', CAST(pred_id AS STRING), '.txt') AS path FROM vertices WHERE vertex_id % 50 = 0"),
+    "official_rows": ("K7 F15", "SELECT vertex_id, coalesce(gt_id * 1000 + pred_id, 0) AS code, concat('pred_', CAST(pred_id AS STRING), '.txt') AS path FROM vertices"),
     "config_names": ("F13 S19", "SELECT DISTINCT config, lower(MATCH(config, '([A-Za-z]+)')) AS stem FROM results"),
     # contrastive losses
     "prototype_means": ("A1", "SELECT view_id, mask_id, i, round(avg(f), 6) AS f FROM pixel_dims GROUP BY view_id, mask_id, i"),
@@ -88,10 +86,10 @@ SQL: dict[str, tuple[str, str]] = {
     "calibrate_distance": ("A15 A16 G8", "WITH o AS (SELECT d, 1 / (1 + exp(-greatest(-24, least(24, 0.2 * (agree - disagree))))) AS p, ntile(8) OVER (ORDER BY d, e.u, e.v) AS bin FROM edge_d e JOIN votes w ON w.u = e.u AND w.v = e.v) SELECT CAST(bin AS INT) AS bin, round(greatest(-12, least(12, ln((sum(p) + 1) / (sum(1 - p) + 1)))), 6) AS llr FROM o GROUP BY bin"),
     "vote_histogram": ("A18", "SELECT CAST(agree AS BIGINT) AS agree, CAST(disagree AS BIGINT) AS disagree, count(*) AS n FROM votes GROUP BY agree, disagree"),
     # retrieval
-    "topk_instances_per_query": ("J18 O4", "SELECT q, cell_id, rank, round(s, 6) AS s FROM (SELECT p.pixel_id AS q, c.cell_id, DOT(p.feat, c.feat) AS s, CAST(row_number() OVER (PARTITION BY p.pixel_id ORDER BY round(DOT(p.feat, c.feat), 9) DESC, c.cell_id) AS INT) AS rank FROM pixels p JOIN cells c ON true WHERE p.pixel_id % 25 = 0) r WHERE rank <= 5"),
-    "shifted_max_select": ("W9", "SELECT q, label FROM (SELECT q, label, s - min(s) OVER (PARTITION BY q) AS shifted, max(s) OVER (PARTITION BY q) - min(s) OVER (PARTITION BY q) AS top FROM (SELECT p.pixel_id AS q, l.label, round(avg(DOT(p.feat, c.feat)), 9) AS s FROM pixels p JOIN cells c ON true JOIN cell_labels l ON l.cell_id = c.cell_id AND l.label >= 0 WHERE p.pixel_id % 25 = 0 GROUP BY p.pixel_id, l.label) a) b WHERE shifted >= 0.85 * top"),
-    "best_caption_match": ("J17 E6", "SELECT p.pixel_id AS q, l.label, round(max(DOT(p.feat, c.feat)), 6) AS best FROM pixels p JOIN cells c ON true JOIN cell_labels l ON l.cell_id = c.cell_id AND l.label >= 0 WHERE p.pixel_id % 25 = 0 GROUP BY p.pixel_id, l.label"),
-    "view_ranking": ("O2 O3", "SELECT obj_id, frame_idx, rank FROM (SELECT obj_id, frame_idx, CAST(row_number() OVER (PARTITION BY obj_id ORDER BY n DESC, frame_idx) AS INT) AS rank FROM mask_sizes WHERE n >= 64) s WHERE rank <= 5"),
+    "topk_instances_per_query": ("J18 O4", "SELECT q, cell_id, rank, round(s, 6) AS s FROM (SELECT p.pixel_id AS q, c.cell_id, DOT(p.feat, c.feat) AS s, CAST(row_number() OVER (PARTITION BY p.pixel_id ORDER BY round(DOT(p.feat, c.feat), 9) DESC, c.cell_id) AS INT) AS rank FROM pixels p JOIN cells c ON true WHERE p.pixel_id % 20 = 0) r WHERE rank <= 5"),
+    "shifted_max_select": ("W9", "SELECT q, label FROM (SELECT q, label, s - min(s) OVER (PARTITION BY q) AS shifted, max(s) OVER (PARTITION BY q) - min(s) OVER (PARTITION BY q) AS top FROM (SELECT p.pixel_id AS q, l.label, round(avg(DOT(p.feat, c.feat)), 9) AS s FROM pixels p JOIN cells c ON true JOIN cell_labels l ON l.cell_id = c.cell_id AND l.label >= 0 WHERE p.pixel_id % 20 = 0 GROUP BY p.pixel_id, l.label) a) b WHERE shifted >= 0.85 * top"),
+    "best_caption_match": ("J17 E6", "SELECT p.pixel_id AS q, l.label, round(max(DOT(p.feat, c.feat)), 6) AS best FROM pixels p JOIN cells c ON true JOIN cell_labels l ON l.cell_id = c.cell_id AND l.label >= 0 WHERE p.pixel_id % 20 = 0 GROUP BY p.pixel_id, l.label"),
+    "view_ranking": ("O3", "SELECT obj_id, frame_idx, rank FROM (SELECT obj_id, frame_idx, CAST(row_number() OVER (PARTITION BY obj_id ORDER BY n DESC, frame_idx) AS INT) AS rank FROM mask_sizes WHERE n >= 64) s WHERE rank <= 5"),
     "prompt_pooling": ("A34", "SELECT mask_id, i, round(m / sqrt(sum(m * m) OVER (PARTITION BY mask_id)), 6) AS f FROM (SELECT mask_id, d.i, avg(d.f / n) AS m FROM pixel_dims d JOIN (SELECT pixel_id AS pid, sqrt(sum(f * f)) AS n FROM pixel_dims GROUP BY pixel_id) s ON pid = d.pixel_id GROUP BY mask_id, d.i) p"),
     "discriminant_statistics": ("A21 C13", "SELECT i, round(avg(CASE WHEN label = 3 THEN f END), 6) AS mean_in, round(avg(CASE WHEN label <> 3 THEN f END), 6) AS mean_out, round((avg(CASE WHEN label = 3 THEN f END) - avg(CASE WHEN label <> 3 THEN f END)) / (var_pop(CASE WHEN label = 3 THEN f END) + var_pop(CASE WHEN label <> 3 THEN f END)), 6) AS direction FROM cell_dims GROUP BY i"),
     "caption_text": ("F14", "SELECT DISTINCT c_mktsegment, concat(lower(trim(c_mktsegment)), '.') AS prompt FROM {customer}"),

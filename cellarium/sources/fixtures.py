@@ -81,20 +81,21 @@ def dialect(sql: str, macros: dict) -> str:
     return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"CAST(\1 AS DOUBLE)", sql)
 
 
-def with_fixtures(sql: str) -> str:
-    """The query with the fixtures it uses as common table expressions, in order of need."""
+def with_fixtures(sql: str, built: tuple[str, ...] = ()) -> str:
+    """The query with the fixtures it uses as common table expressions, in order of need; those in `built` are read as tables."""
+    texts = FIXTURES | {n: f"SELECT * FROM {{{n}}}" for n in built}
     order: list[str] = []
 
     def need(text: str) -> None:
         for name in FIXTURES:
             if name not in order and re.search(rf"\b{name}\b", re.sub(r"\{\w+\}", "", text)) and name not in need.open:
                 need.open.append(name)
-                need(FIXTURES[name])
+                need(texts[name])
                 order.append(name)
 
     need.open = []
     need(sql)
-    head = ", ".join(f"{n} AS ({FIXTURES[n]})" for n in order)
+    head = ", ".join(f"{n} AS ({texts[n]})" for n in order)
     own = re.match(r"\s*WITH (RECURSIVE )?", sql)
     if own:
         return f"WITH {own[1] or ''}{head}{', ' if head else ''}{sql[own.end():]}"
@@ -105,10 +106,26 @@ def tables(spark, sf_dir: str, sql: str) -> dict:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def neighbours(spark, sf_dir: str):
+    """The neighbour graph, built once a session and folder by the grid join and kept as a table in the shared folder."""
+    from cellarium.operators import graph, nearest
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        path = graph.shared_path(spark, "neighbours")
+        nearest.neighbours(run(spark, sf_dir, "SELECT cell_id AS id, x, y, z FROM cells")).write.parquet(path)
+        _built[key] = path
+    return spark.read.schema("a long, b long, d double").parquet(_built[key])
+
+
 def run(spark, sf_dir: str, sql: str):
     """The query in Spark; {table} stands for a table of sf_dir."""
-    text = dialect(with_fixtures(sql), SPARK)
-    return spark.sql(text, **tables(spark, sf_dir, text))
+    text = dialect(with_fixtures(sql, ("neighbours",)), SPARK)
+    more = {"neighbours": neighbours(spark, sf_dir)} if "{neighbours}" in text else {}
+    return spark.sql(text, **tables(spark, sf_dir, text), **more)
 
 
 def oracle(sql: str) -> str:

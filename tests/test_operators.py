@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from cellarium.operators import graph, masks, partition
+from cellarium.operators import graph, masks, nearest, partition, rays
 from tests.test_queries import naive_contract
 
 
@@ -29,7 +29,10 @@ def test_enclose(spark, hole):
     edges = [(i, number[q]) for p, i in number.items() for k in range(3) if (q := (*p[:k], p[k] + 1, *p[k + 1 :])) in number]
     shell = {i for p, i in number.items() if min(p) >= 1 and max(p) <= 10 and (min(p) == 1 or max(p) == 10)} - ({number[5, 5, 1]} if hole else set())
     got = {r.id for r in graph.enclose(spark.createDataFrame([(i,) for i in shell], "id long"), cells, spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == (set() if hole else {i for p, i in number.items() if min(p) >= 2 and max(p) <= 9})
+    want = set() if hole else {i for p, i in number.items() if min(p) >= 2 and max(p) <= 9}
+    assert got == want
+    rows = graph.volume(spark.createDataFrame([(i,) for i in shell], "id long"), cells, spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r.id for r in rows if r.part == "interior"} == want and {r.id for r in rows if r.part == "shell"} == shell and {r.leaks for r in rows} == {hole}
 
 
 @pytest.mark.parametrize("safe", [None, 2.5])
@@ -83,7 +86,7 @@ def test_mixtures_find_planted_parts(spark):
     found = partition.bernoulli_mixture(votes)
     assert all(abs(found[k] - x) < 0.03 for k, x in {"pi": 0.7, "alpha": 0.9, "beta": 0.2}.items())
     d = np.exp(np.concatenate([rng.normal(-2, 0.3, 1200), rng.normal(1, 0.5, 800)]))
-    parts = partition.gaussian_mixture(spark.createDataFrame([(float(x),) for x in [*d, 0.0]], "d double"), rounds=15)
+    parts = partition.gaussian_mixture(spark.createDataFrame([(float(x),) for x in d], "d double"), rounds=15)
     assert np.allclose(parts, [(0.6, -2, 0.3), (0.4, 1, 0.5)], atol=0.06)
 
 
@@ -149,3 +152,84 @@ def test_fisher_threshold(spark):
     iou = [float((inside & (p >= c)).sum() / (inside | (p >= c)).sum()) for c in cuts]
     got = masks.fisher_threshold(spark.createDataFrame([(i, bool(a), float(x)) for i, (a, x) in enumerate(zip(inside, p))], "id long, inside boolean, p double")).first()
     assert abs(got.cut - cuts[int(np.argmax(iou))]) < 1e-9 and abs(got.iou - max(iou)) < 1e-9
+
+
+def test_nearest_points(spark):
+    """Crowded and lonely places, copies, queries outside the points' box, and fewer points than asked for."""
+    rng = np.random.default_rng(11)
+    p = np.concatenate([rng.normal(0, 0.01, (300, 3)), rng.uniform(-5, 5, (100, 3)), np.zeros((20, 3)), [[60.0, 0, 0]]])
+    q = np.concatenate([p[::7], rng.uniform(-9, 9, (20, 3)), [[200.0, 1, 1]]])
+    table = lambda x, name: spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], f"{name} long, x double, y double, z double")
+    for k in (1, 8):
+        got = {}
+        for r in nearest.nearest(table(p, "id"), table(q, "q"), k, crowd=8).collect():
+            got.setdefault(r.q, {})[r.rank] = (r.id, round(r.d, 9))
+        for i, v in enumerate(q):
+            d = np.sqrt(((p - v) ** 2).sum(1))
+            want = np.lexsort((np.arange(len(p)), d))[:k]
+            assert got[i] == {j + 1: (int(n), round(float(d[n]), 9)) for j, n in enumerate(want)}
+    few = nearest.nearest(table(p[:3], "id"), table(q[:4], "q"), 8)
+    assert few.count() == 12 and nearest.nearest(table(p, "id").limit(0), table(q, "q"), 2).count() == 0
+
+
+def test_bases_and_projections(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 5)) @ np.diag([5, 3, 2, 0.5, 0.1]) + 7
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, f array<double>")
+    mean, basis = rays.principal(rows, rows.f, 5)
+    u = np.linalg.svd(x - x.mean(0))[2][:3].T
+    assert np.allclose(mean, x.mean(0)) and np.allclose(basis @ basis.T, u @ u.T, atol=1e-8)
+    p = (x - mean) @ basis
+    lo, hi = np.quantile(p, [0.02, 0.98], axis=0)
+    want = np.floor(255 * np.clip((p - lo) / (hi - lo), 0, 1))
+    got = np.array([(r.r, r.g, r.b) for r in rays.projected_rgb(rows, rows.f, 5).orderBy("id").collect()])
+    assert (np.abs(got - want) <= 1).all() and (got == want).mean() > 0.99
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]  # cameras that pan about one axis
+    angles = rng.uniform(0, 6, 40)
+    right, forward = (np.stack([f(angles), g(angles) * s, 0 * angles], 1) @ turn.T for f, g, s in ((np.cos, np.sin, 1), (np.sin, np.cos, -1)))
+    down = np.tile(-turn[:, 2], (40, 1))
+    up = rays.up_direction(spark.createDataFrame([tuple(v.tolist() for v in r) for r in zip(right, down, forward)], "right array<double>, down array<double>, forward array<double>"))
+    assert np.allclose(up, turn[:, 2], atol=1e-6)
+
+
+def test_evidence_from_votes_and_distances(spark):
+    """Weights against plain code, edge by edge."""
+    rng = np.random.default_rng(13)
+    n = 600
+    same = rng.random(n) < 0.6
+    d = np.where(same, rng.uniform(0, 0.5, n), rng.uniform(0.3, 1, n))
+    agree, disagree = rng.binomial(5, np.where(same, 0.9, 0.2)), rng.binomial(2, 0.5, n)
+    seen = rng.random(n) < 0.8
+    solid = rng.random(n)
+    edges = spark.createDataFrame([(i, i + n, float(a), float(b)) for i, (a, b) in enumerate(zip(d, solid))], "u long, v long, d double, solid double")
+    votes = spark.createDataFrame([(i, i + n, int(agree[i]), int(disagree[i])) for i in range(n) if seen[i]], "u long, v long, agree long, disagree long")
+    part = partition.bernoulli_mixture(votes.groupBy("agree", "disagree").count().withColumnRenamed("count", "n"))
+    prior = np.log(part["pi"] / (1 - part["pi"]))
+    llr = np.clip(agree * np.log(part["alpha"] / part["beta"]) + disagree * np.log((1 - part["alpha"]) / (1 - part["beta"])), -24, 24) * seen
+    observed = seen & (agree + disagree > 0)
+    p = 1 / (1 + np.exp(-(llr + prior)))
+    w = llr + prior
+    for x, bins in ((d, 64), (solid, 32)):
+        bin_ = np.searchsorted(np.quantile(x[observed], np.arange(1, bins) / bins), x, "right")
+        for b in range(bins):
+            own = observed & (bin_ == b)
+            w = w + (bin_ == b) * np.clip(np.log((p[own].sum() + 1) / ((1 - p[own]).sum() + 1)), -12, 12)
+    got = {r.u: r.w for r in partition.evidence(edges, votes, solidity=True).collect()}
+    assert np.allclose([got[i] for i in range(n)], np.clip(w, -48, 48), atol=1e-6)
+    nodes = spark.range(2 * n)
+    labels = {r.id: r.label for r in partition.partition("multicut_votes", nodes, edges, 1, votes, solidity=1).collect()}
+    assert all((labels[i] == labels[i + n]) == (got[i] > 0) for i in range(n))  # every edge is alone
+    for method, options in (("threshold", {"tau": 0.4}), ("multicut", {"tau": 0.4})):
+        labels = {r.id: r.label for r in partition.partition(method, nodes, edges, 1, **options).collect()}
+        assert all((labels[i] == labels[i + n]) == (d[i] < 0.4) for i in range(n))
+    with pytest.raises(ValueError):
+        partition.partition("unknown", nodes, edges)
+
+
+def test_scenes_are_scored_apart(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, int(s), int(g), int(g if rng.random() < 0.7 else rng.integers(0, 5))) for i, (s, g) in enumerate(zip(rng.integers(0, 3, 900), rng.integers(0, 5, 900)))]
+    got = {r.scene: (r.ap, r.ap50, r.ap25) for r in masks.average_precision(spark.createDataFrame(rows, "vertex_id long, scene long, gt_id long, pred_id long"), min_size=10).collect()}
+    for s in range(3):
+        alone = spark.createDataFrame([(i, g, p) for i, x, g, p in rows if x == s], "vertex_id long, gt_id long, pred_id long")
+        assert got[s] == tuple(masks.average_precision(alone, min_size=10).first())

@@ -107,12 +107,11 @@ def test_frame_upsert(spark, tmp_path):
 def test_distance_mixture_runs_to_the_operators_end(spark):
     from cellarium.plans.queries import _edges
 
-    x = np.log([r.d for r in _edges(spark, SF).select("d").collect() if r.d > 0])
-    lo, hi = np.percentile(x, [10, 90])
-    parts = [(0.5, m, max((hi - lo) / 4, 1e-3)) for m in (lo, hi)]
+    x = np.log([r.d + 1e-6 for r in _edges(spark, SF).select("d").collect()])
+    parts = [(0.5, m, x.std() / 2 + 1e-6) for m in np.quantile(x, [0.1, 0.9])]
     for _ in range(60):
         dens = [w / s * np.exp(-((x - m) ** 2) / (2 * s * s)) for w, m, s in parts]
         shares = [p / sum(dens) for p in dens]
-        parts = [(r.mean(), (r * x).sum() / r.sum(), ((r * x * x).sum() / r.sum() - ((r * x).sum() / r.sum()) ** 2) ** 0.5) for r in shares]
+        parts = [(r.mean(), (r * x).sum() / r.sum(), ((r * x * x).sum() / r.sum() - ((r * x).sum() / r.sum()) ** 2) ** 0.5 + 1e-6) for r in shares]
     got = REGISTRY["distance_mixture"].run(spark, SF).collect()
     assert [tuple(r) for r in got] == [pytest.approx(p, abs=1e-5) for p in sorted(parts, key=lambda p: p[1])]
