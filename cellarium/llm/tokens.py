@@ -1,7 +1,7 @@
 """Tokenising whole texts with a public tokenizer, each distinct chunk between spaces once.
 
 A text is cut at single spaces, where the tokenizer's own pre-tokenisation always cuts, and the library encodes each
-new chunk; a bounded cache keeps its ids as bytes. Where a chunk begins or ends with white space, or two spaces meet,
+new chunk; bounded caches keep its ids, and those of its pieces, as bytes. Where a chunk begins or ends with white space, or two spaces meet,
 and the pre-tokeniser lets white space into tokens, the library gets the whole text instead, as it does where the text
 holds the string of an added token, such as an end mark. The ids are those that the library, as loaded, gives for the
 whole text without special tokens around it, at several times the speed.
@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import json
 import os
+import string
 from array import array
 from collections.abc import Iterable
 
 import numpy as np
 import regex
 
-CACHE_CHUNKS, CHUNK_CHARS = 700_000, 48
+CACHE_CHUNKS, CACHE_PIECES, CHUNK_CHARS = 700_000, 300_000, 48
 # Fixed value: the byte-level pre-tokeniser's own pattern.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Fixed value: the printable stand-ins of bytes in byte-level vocabularies: printable bytes stand for themselves, the others follow from U+0100 on.
@@ -64,18 +65,31 @@ class Encoder:
         self.lower, self.model = self.kind == "dropped", self.tokenizer.model.tokenize
         self.split = regex.compile(steps[0]["pattern"]["Regex"] if self.kind == "dropped" else BYTE_LEVEL).findall
         self.chunks = Chunks(self.chunk, " " if self.kind == "prefix" else "")
+        self.pieces: dict[str, bytes] = {}
+        #: Whether a run of ASCII letters is one piece.
+        self.letters = self.split(string.ascii_lowercase) == [string.ascii_lowercase]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = array("I", [t.id for t in self.model(piece.encode().decode("latin-1").translate(STAND_IN))]).tobytes()
+            if len(piece) <= CHUNK_CHARS:
+                if len(self.pieces) >= CACHE_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
+
     def chunk(self, chunk: str) -> bytes:
-        """Printable Latin chunks, which normalisation leaves as they are, go straight to the library's model, piece by piece."""
-        chunk = self.chunks.prefix + chunk
-        if not chunk or not chunk.isprintable() or max(chunk) >= "\u0250" or "\u0130" in chunk:
-            return self.whole(chunk)
-        pieces = self.split(chunk.lower() if self.lower else chunk)
-        ids = [t.id for p in pieces for t in self.model(p.encode().decode("latin-1").translate(STAND_IN))]
-        return array("I", ids).tobytes()
+        """Chunks of printable Latin letters and line feeds, which normalisation leaves as they are, go straight to the library's model, piece by piece."""
+        plain = chunk.isascii()
+        letters = plain and self.letters and chunk.isalpha()
+        if not letters and not (chunk and (chunk.isprintable() or chunk.replace("\n", "").isprintable()) and (plain or max(chunk) < "\u0250" and "\u0130" not in chunk)):
+            return self.whole(self.chunks.prefix + chunk)
+        chunk = self.chunks.prefix + (chunk.lower() if self.lower else chunk)
+        return self.piece(chunk) if letters else b"".join(map(self.piece, self.split(chunk)))
 
     def encode(self, text: str) -> bytes:
         """The text's ids, little-endian uint32."""
