@@ -92,6 +92,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("k") + 1).cast("int").alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
 
 
+def op13_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .digest import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -134,7 +140,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_tokens, op2_url_logistic, op3_simhash_popcount, op4_additive_quality, op5_bin_completion, op6_positional_decontamination, op7_brown_score, op8_additive_quantisation, op9_boosted_pii, op10_warc_salvage, op11_whitening, pipeline)}
+    return {f.__name__: f for f in (op1_repair_tokens, op2_url_logistic, op3_simhash_popcount, op4_additive_quality, op5_bin_completion, op6_positional_decontamination, op7_brown_score, op8_additive_quantisation, op9_boosted_pii, op10_warc_salvage, op11_whitening, op13_quartile_digest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
