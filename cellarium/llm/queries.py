@@ -92,6 +92,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("k") + 1).cast("int").alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
 
 
+def op12_pair_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), most_words=3, min_count=10, covered=50, most=2000)
+
+
 def op13_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .digest import fingerprints
 
@@ -132,6 +138,21 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM m
 """
 
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g, count(*) AS a FROM lists, unnest(range(1, 4)) s(m), unnest(range(1, len(w) - m + 2)) t(i) GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, g, a, string_split(g, ' ') AS w FROM f WHERE m >= 2 AND a >= 10),
+cuts AS (SELECT c.lang, c.m, c.g, c.a, k, x.a AS l, y.a AS r, CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM c, unnest(range(1, c.m)) t(k) JOIN f x ON x.lang = c.lang AND x.g = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.g = array_to_string(c.w[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS g, max(a) AS top FROM c, unnest(range(1, 3)) t(i) WHERE m = 3 GROUP BY ALL),
+ranked AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.g)) AS rank, b.g AS phrase, a, l, r, score
+  FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.g = b.g AND b.m = 2 WHERE top IS NULL OR 100 * top < 50 * a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
@@ -140,8 +161,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_repair_tokens, op2_url_logistic, op3_simhash_popcount, op4_additive_quality, op5_bin_completion, op6_positional_decontamination, op7_brown_score, op8_additive_quantisation, op9_boosted_pii, op10_warc_salvage, op11_whitening, op13_quartile_digest, pipeline)}
+    return {f.__name__: f for f in (op1_repair_tokens, op2_url_logistic, op3_simhash_popcount, op4_additive_quality, op5_bin_completion, op6_positional_decontamination, op7_brown_score, op8_additive_quantisation, op9_boosted_pii, op10_warc_salvage, op11_whitening, op12_pair_naming, op13_quartile_digest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_positional_decontamination": OP6_SQL, "op10_warc_salvage": OP10_SQL}
+    return {"op6_positional_decontamination": OP6_SQL, "op10_warc_salvage": OP10_SQL, "op12_pair_naming": OP12_SQL}
