@@ -2,12 +2,14 @@
 
 Texts are cut into pieces and words, and gathered into blocks of bounded size by language; a block holds its distinct words
 once and its text as numbers of these. Words counted often enough over the whole corpus get a global id. In each block two
-neighbouring positions whose (k-1)-word phrases have ids make a pair of ids; pairs are counted within the block, then by one
-aggregation over all blocks, and the frequent ones get ids by a join, under which the next round pairs them. So a phrase of
-k words is named by its two phrases of k-1 words, and these names point to its parents: counts of all first parts follow the
+neighbouring positions whose (k-1)-word phrases have ids make a pair of ids. A block counts its own pairs and deals them to
+parts by hash, as sorted and compressed columns; a part joins the pairs of all blocks, counts them, names the frequent ones
+and answers each block with the ids of its pairs in their order. Under these the next round pairs again. So a phrase of k
+words is named by its two phrases of k-1 words, and these names point to its parents: counts of all first parts follow the
 left parents, those of all last parts the right ones, and each phrase tells both parents how frequent it is.
 
-Every word and phrase enters a shuffle once a block, so a word that makes up a third of the corpus is as light as any other.
+Every word and phrase is dealt once a block, so a word that makes up a third of the corpus is as light as any other; the
+number of parts grows with the number of words, so that a part's size does not.
 A phrase within a longer one is within a phrase of one word more at least as frequent as that one, which is a candidate too:
 asking the next length is asking all.
 
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -31,12 +34,24 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BLOCK = 16 << 20
+BLOCK, PART_WORDS = 16 << 20, 4_000_000
 #: No byte of UTF-8: stands for the end of a piece.
 END = b"\xff"
 TO_END = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", END * 10)
-BLOCKS = "block long, lang string, words array<string>, counts array<long>, seq binary"
-PAIRS = "block long, lang string, lefts array<long>, rights array<long>, counts array<long>, seq binary"
+BLOCKS = "block long, lang string, words array<string>, counts array<long>, n long, seq binary"
+PAIRS = "block long, seq binary, parts array<binary>"
+NAMES = "block long, part int, ids binary, lefts binary, rights binary, counts binary"
+
+
+def pressed(*columns: np.ndarray) -> bytes:
+    """Columns of int64, all of one length, compressed together."""
+    raw = np.concatenate([np.asarray(c, "<i8") for c in columns]).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def opened(data: bytes, columns: int = 1) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), "<i8").reshape(columns, -1)
 
 
 def cut(text: bytes, size: int) -> Iterator[bytes]:
@@ -54,25 +69,26 @@ def cut(text: bytes, size: int) -> Iterator[bytes]:
 
 def numbered(parts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, how often each occurs, and all words as numbers of these with -1 at the ends of pieces."""
-    words = pa.array(END.join(parts).replace(END, b" \xff ").split(), pa.binary()).dictionary_encode()
+    words = pa.chunked_array([pa.array((p + END).replace(END, b" \xff ").split(), pa.binary()) for p in parts]).dictionary_encode().combine_chunks()
     seq, known = words.indices.to_numpy(), words.dictionary
     end = known.index(END).as_py()
-    if end >= 0:
-        known = pa.concat_arrays([known[:end], known[end + 1 :]])
-        seq = np.where(seq == end, -1, seq - (seq > end)).astype(np.int32)
+    known = pa.concat_arrays([known[:end], known[end + 1 :]])
+    seq = np.where(seq == end, -1, seq - (seq > end))
     return known.cast(pa.string()), np.bincount(seq[seq >= 0], minlength=len(known)), seq
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, text) as rows of BLOCKS."""
+    """Rows (lang, text) as rows of BLOCKS, each with a number of its own."""
     held, total, block = defaultdict(list), 0, TaskContext.get().partitionId() << 32
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("seq", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("n", pa.int64()), ("seq", pa.binary())])
 
     def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal block
         for lang, parts in held.items():
             words, counts, seq = numbered(parts)
             lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x) for x in (words, pa.array(counts, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), *lists, pa.array([seq.tobytes()], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang]), *lists, pa.array([int(counts.sum())], pa.int64()), pa.array([pressed(seq)], pa.binary())], schema=schema)
+            block += 1
         held.clear()
 
     for batch in batches:
@@ -82,32 +98,73 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
                 total += len(part)
                 if total >= size:
                     yield from flush()
-                    total, block = 0, block + 1
+                    total = 0
     yield from flush()
 
 
-def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, lang, seq, names: k, id) as rows of PAIRS: neighbouring positions that both have an id."""
-    schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), *[(c, pa.list_(pa.int64())) for c in ("lefts", "rights", "counts")], ("seq", pa.binary())])
+def paired(batches: Iterator[pa.RecordBatch], parts: int, words: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (block, seq, names) as rows of PAIRS: neighbouring positions that both have an id.
+
+    names: (k, id) of words, or (part, ids) of pairs. Pairs are numbered in the order part, left, right.
+    """
+    schema = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("parts", pa.list_(pa.binary()))])
     for batch in batches:
         for row in range(batch.num_rows):
-            block, lang, seq, names = (c[row] for c in batch.columns)
-            seq, k, ids = np.frombuffer(seq.as_buffer(), "<i4"), names.values.field(0).to_numpy(), names.values.field(1).to_numpy()
-            table = np.full(max(int(seq.max(initial=-1)), int(k.max())) + 2, -1)  # the last entry is that of position -1
-            table[k] = ids
-            at = np.flatnonzero((table[seq[:-1]] >= 0) & (table[seq[1:]] >= 0))
-            keys = seq[at].astype(np.int64) * len(table) + seq[at + 1]
-            keys, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
-            following = np.full(max(len(seq) - 1, 0), -1, "<i4")
-            following[at] = number
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(x, pa.int64())) for x in (table[keys // len(table)], table[keys % len(table)], counts)]
-            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([lang.as_py()]), *lists, pa.array([following.tobytes()], pa.binary())], schema=schema)
-
-
-def renamed(rows: DataFrame, local: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
-    """Blocks with the ids of what is frequent in them. local: block, lang, k and the columns `on`, by which names has an id."""
-    known = local.join(names.select("id", *on), on).groupBy("block", "lang").agg(F.collect_list(F.struct("k", "id")).alias("names"))
-    return rows.select("block", "lang", "seq").join(known, ["block", "lang"]).select("block", "lang", "seq", "names").mapInArrow(paired, PAIRS)
+            block, seq, names = (c[row] for c in batch.columns)
+            (seq,) = opened(seq.as_py())
+            if words:
+                k, ids = (names.values.field(i).to_numpy() for i in (0, 1))
+                table = np.full(max(int(seq.max(initial=-1)), int(k.max(initial=-1))) + 2, -1)  # the last entry is that of position -1
+                table[k] = ids
+            else:
+                got = sorted((x["part"], x["ids"]) for x in names.as_py())
+                table = np.concatenate([*(opened(x)[0] for _, x in got), [-1]])
+            named = table[seq]
+            at = np.flatnonzero((named[:-1] >= 0) & (named[1:] >= 0))
+            keys, number, counts = np.unique(seq[at] * len(table) + seq[at + 1], return_inverse=True, return_counts=True)
+            left, right = table[keys // len(table)], table[keys % len(table)]
+            part = part_of(left, right, parts)
+            order = np.lexsort((right, left, part))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            following = np.full(max(len(seq) - 1, 0), -1)
+            following[at] = place[number]
+            starts = np.searchsorted(part[order], np.arange(parts + 1))
+            sent = [pressed(np.diff(left[o], prepend=0), right[o], counts[o]) if len(o) else None for o in (order[a:b] for a, b in zip(starts, starts[1:], strict=False))]
+            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([pressed(following)], pa.binary()), pa.array([sent], pa.list_(pa.binary()))], schema=schema)
+
+
+def part_of(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
+    h = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def merged(rows: pd.DataFrame, min_count: int, answer: bool) -> pd.DataFrame:
+    """A part's pairs of all blocks: a row with the frequent ones, and for each block the ids of its pairs, -1 where infrequent."""
+    part = int(rows["part"].iloc[0])
+    columns = [opened(x, 3) for x in rows["pairs"]]
+    left, right, counts = np.concatenate([np.cumsum(c[0]) for c in columns]), np.concatenate([c[1] for c in columns]), np.concatenate([c[2] for c in columns])
+    order = np.lexsort((right, left))
+    left, right, counts = left[order], right[order], counts[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(counts, first) if len(first) else counts
+    often = total >= min_count
+    ids = np.where(often, (part << 32) + np.cumsum(often) - 1, -1)
+    out = pd.DataFrame({"block": [None], "part": [part], "ids": [pressed(ids[often])], "lefts": [pressed(left[first][often])], "rights": [pressed(right[first][often])], "counts": [pressed(total[often])]})
+    if answer:
+        each = np.empty(len(order), np.int64)
+        each[order] = ids[np.cumsum(new) - 1]
+        stops = np.cumsum([c.shape[1] for c in columns])
+        out = pd.concat([out, pd.DataFrame({"block": rows["block"].astype("Int64"), "part": part, "ids": [pressed(x) for x in np.split(each, stops[:-1])]})])
+    return out.astype({"block": "Int64"})
+
+
+def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples():
+            yield pd.DataFrame(dict(zip(("id", "left", "right", "f"), (opened(x)[0] for x in (row.ids, row.lefts, row.rights, row.counts)), strict=True)))
 
 
 def named(docs: DataFrame, most_words: int = 3, min_count: int = 10, block: int = BLOCK) -> tuple[list[DataFrame], DataFrame]:
@@ -118,23 +175,29 @@ def named(docs: DataFrame, most_words: int = 3, min_count: int = 10, block: int
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     rows = stored(texts.mapInArrow(partial(blocks, size=block), BLOCKS), "blocks")
-    total = rows.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n"))
+    total = rows.groupBy("lang").agg(F.sum("n").alias("n"))
+    parts = max(8, -(-(rows.agg(F.sum("n")).first()[0] or 0) // PART_WORDS))
     local = rows.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "w")).select("block", "lang", "k", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
-    found = local.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
     one = F.array("f")
+    found = local.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
     levels = [stored(found.select(F.monotonically_increasing_id().alias("id"), "lang", F.array("word").alias("words"), "f", one.alias("first"), one.alias("last"), "word"), "words")]
-    on = ["lang", "word"]
+    names = local.join(levels[0].select("id", "lang", "word"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("k", "id")).alias("names"))
     for size in range(2, most_words + 1):
-        rows = renamed(rows, local, levels[-1], on)
-        rows = stored(rows if size < most_words else rows.drop("seq"), "pairs")
-        local = rows.select("block", "lang", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("k", "p")).select("block", "lang", "k", F.col("p.lefts").alias("left"), F.col("p.rights").alias("right"), F.col("p.counts").alias("c"))
-        on = ["left", "right"]
-        found = local.groupBy(on).agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
+        pairs = rows.select("block", "seq").join(names, "block").select("block", "seq", "names").mapInArrow(partial(paired, parts=parts, words=size == 2), PAIRS)
+        more = size < most_words
+        rows = stored(pairs, "pairs") if more else pairs
+        dealt = rows.select("block", F.posexplode("parts").alias("part", "pairs")).where("pairs is not null")
+
+        def merge(pairs: pd.DataFrame, answer: bool = more) -> pd.DataFrame:
+            return merged(pairs, min_count, answer)
+
+        answers = stored(dealt.groupBy("part").applyInPandas(merge, NAMES), "names")
+        names = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "ids")).alias("names"))
+        found = answers.where("block is null").select("ids", "lefts", "rights", "counts").mapInPandas(listed, "id long, left long, right long, f long")
         a = levels[-1].select(F.col("id").alias("left"), "lang", F.col("words").alias("head"), "first")
         b = levels[-1].select(F.col("id").alias("right"), F.element_at("words", -1).alias("tail"), "last")
-        wide = found.join(a, "left").join(b, "right")
         words = F.concat("head", F.array("tail")).alias("words")
-        levels.append(stored(wide.select(F.monotonically_increasing_id().alias("id"), "lang", words, "f", F.concat("first", one).alias("first"), F.concat("last", one).alias("last"), "left", "right"), "phrases"))
+        levels.append(stored(found.join(a, "left").join(b, "right").select("id", "lang", words, "f", F.concat("first", one).alias("first"), F.concat("last", one).alias("last"), "left", "right"), "phrases"))
     return levels, total
 
 
