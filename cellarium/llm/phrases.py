@@ -188,8 +188,8 @@ def named(docs: DataFrame, most_words: int = 3, min_count: int = 10, block: int
         rows = stored(pairs, "pairs") if more else pairs
         dealt = rows.select("block", F.posexplode("parts").alias("part", "pairs")).where("pairs is not null")
 
-        def merge(pairs: pd.DataFrame, answer: bool = more) -> pd.DataFrame:
-            return merged(pairs, min_count, answer)
+        def merge(pairs: pd.DataFrame) -> pd.DataFrame:
+            return merged(pairs, min_count, more)  # noqa: B023, written within the round
 
         answers = stored(dealt.groupBy("part").applyInPandas(merge, NAMES), "names")
         names = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "ids")).alias("names"))
