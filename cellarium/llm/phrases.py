@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BLOCK, PART_WORDS = 16 << 20, 4_000_000
+BLOCK, PART_WORDS = 8 << 20, 2_000_000
 #: No byte of UTF-8: stands for the end of a piece.
 END = b"\xff"
 TO_END = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", END * 10)
