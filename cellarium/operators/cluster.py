@@ -1,12 +1,8 @@
-"""Density clustering (J12, J20, G12, G13) and the cluster cache's fingerprint."""
+"""Density clustering within a radius (J12, G12) and the cluster cache's fingerprint."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellarium.operators.graph import connected_components
@@ -41,124 +37,11 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_points: int = 5, by: str | N
     return out.select("id", F.coalesce("comp", "reached").alias("cluster"))
 
 
-def mutual_reachability(cells: DataFrame, k: int = 16) -> DataFrame:
-    """Edges (u, v, w) of the k-nearest graph by feature distance, w the larger of the distance and both core distances. cells: id, feat."""
-    sq = F.aggregate(F.zip_with("p.feat", "q.feat", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = cells.alias("p").join(cells.alias("q"), F.col("p.id") != F.col("q.id")).select(F.col("p.id").alias("u"), F.col("q.id").alias("v"), F.sqrt(sq).alias("d"))
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("k") <= k)
-    core = near.groupBy("u").agg(F.max("d").alias("core"))
-    wide = near.join(core, "u").join(core.select(F.col("u").alias("v"), F.col("core").alias("core_v")), "v")
-    return wide.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.greatest("d", "core", "core_v").alias("w")).groupBy("u", "v").agg(F.min("w").alias("w"))
-
-
-def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Minimum spanning forest of a task's edges; ties by endpoints."""
-    rows, root = pd.concat([*batches, pd.DataFrame({"u": [], "v": [], "w": []})]).sort_values(["w", "u", "v"]), {}
-
-    def find(n: int) -> int:
-        while root.setdefault(n, n) != n:
-            root[n] = root[root[n]]
-            n = root[n]
-        return n
-
-    kept = []
-    for u, v, w in rows[["u", "v", "w"]].itertuples(index=False, name=None):
-        a, b = find(u), find(v)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            kept.append((int(u), int(v), w))
-    yield pd.DataFrame(kept, columns=["u", "v", "w"])
-
-
-def spanning_tree(edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest (u, v, w). An edge that closes a cycle among a part of the edges is in no minimum tree, so each task first reduces its own part to a forest; what is left, a few edges a node, meets in one task."""
-    return edges.mapInPandas(forest, "u long, v long, w double").coalesce(1).mapInPandas(forest, "u long, v long, w double")
-
-
-def condensed_labels(ids: np.ndarray, tree: np.ndarray, min_size: int) -> dict[int, int]:
-    """HDBSCAN labels from spanning-tree edges (u, v, w), excess-of-mass selection; -1 is noise. Runs on the driver over N - 1 rows."""
-    index = {int(i): k for k, i in enumerate(ids)}
-    n = len(ids)
-    root, node, size = list(range(n)), list(range(n)), [1] * n
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-    kids, height, count = {}, {}, {i: 1 for i in range(n)}
-    for u, v, w in sorted(map(tuple, tree), key=lambda e: (e[2], e[0], e[1])):
-        a, b = find(index[int(u)]), find(index[int(v)])
-        k = n + len(kids)
-        kids[k], height[k] = (node[a], node[b]), w
-        size[a] += size[b]
-        root[b], node[a] = a, k
-        count[k] = size[a]
-    born, stability, parent, members = {}, {}, {}, {}
-    tops = sorted({node[find(i)] for i in range(n)})
-    def leaves(k):
-        stack, out = [k], []
-        while stack:
-            x = stack.pop()
-            if x < n:
-                out.append(x)
-            else:
-                stack += kids[x]
-        return out
-    clusters = [t for t in tops if count[t] >= min_size]
-    stack = [(t, t, 0.0) for t in clusters]
-    for t in clusters:
-        born[t], stability[t], parent[t], members[t] = 0.0, 0.0, None, leaves(t)
-    while stack:
-        c, k, _ = stack.pop()
-        if k < n:
-            continue
-        lam = 1 / max(height[k], 1e-12)
-        big = [x for x in kids[k] if count[x] >= min_size]
-        if len(big) == 2:
-            stability[c] += count[k] * (lam - born[c])
-            for x in big:
-                born[x], stability[x], parent[x], members[x] = lam, 0.0, c, leaves(x)
-                stack.append((x, x, lam))
-        else:
-            lost = sum(count[x] for x in kids[k] if x not in big)
-            stability[c] += lost * (lam - born[c])
-            for x in big:
-                stack.append((c, x, lam))
-    chosen = {}
-    children: dict = {}
-    for c, p in parent.items():
-        children.setdefault(p, []).append(c)
-    for c in sorted(parent, key=lambda c: (len(members[c]), c)):
-        below = sum(stability[x] for x in children.get(c, []))
-        if children.get(c) and (below > stability[c] or parent[c] is None):
-            stability[c] = below
-        else:
-            chosen[c] = True
-            drop = list(children.get(c, []))
-            while drop:
-                x = drop.pop()
-                chosen.pop(x, None)
-                drop += children.get(x, [])
-    labels = {int(i): -1 for i in ids}
-    for k, c in enumerate(sorted(chosen, key=lambda c: min(ids[m] for m in members[c]))):
-        for m in members[c]:
-            labels[int(ids[m])] = k
-    return labels
-
-
-def hdbscan(cells: DataFrame, min_cluster_size: int = 32, min_samples: int = 16) -> DataFrame:
-    """(id, label) by hierarchical density clustering of cells (id, feat): graph and tree in Spark, the condensed tree on the driver."""
-    spark = cells.sparkSession
-    tree = spanning_tree(mutual_reachability(cells, min_samples).repartition("u")).toPandas()
-    ids = np.array(sorted(r.id for r in cells.select("id").collect()))
-    labels = condensed_labels(ids, tree[["u", "v", "w"]].to_numpy(float).reshape(-1, 3), min_cluster_size)
-    return spark.createDataFrame(list(labels.items()), "id long, label int")
-
-
 def fingerprint(cells: DataFrame, rows: int = 4096) -> str:
     """A digest of a feature table's size and at most `rows` evenly spaced rows, by which a cached clustering is known to fit."""
+    from cellarium.sources.scenes import numbered
+
     n = cells.count()
-    step = max(1, -(-n // rows))
-    picked = cells.withColumn("r", F.row_number().over(Window.orderBy("id")) - 1).where(F.col("r") % step == 0)
+    picked = numbered(cells.select("id", "feat"), ["id"], "r").where(F.col("r") % max(1, -(-n // rows)) == 0)
     lines = picked.select(F.concat_ws(",", F.col("id").cast("string"), F.transform("feat", lambda x: x.cast("string"))).alias("x"), "id")
     return lines.agg(F.sha1(F.concat(F.lit(f"{n};"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "x"))), lambda s: s["x"]), ";")).cast("binary")).alias("h")).first()[0]

@@ -108,7 +108,7 @@ def bernoulli_mixture(counts: DataFrame, rounds: int = 80) -> dict[str, float]:
 
 def gaussian_mixture(values: DataFrame, rounds: int = 60) -> list[tuple[float, float, float]]:
     """Two Gaussians on the logarithm of column d, ordered by mean: (weight, mean, sd). One aggregation a round, over all rows."""
-    x = durable(values.where("d + 1e-6 > 0").select(F.ln(F.col("d") + 1e-6).alias("x")))  # read once a round
+    x = durable(values.where("d + 1e-6 > 0 and not isnan(d) and d < double('inf')").select(F.ln(F.col("d") + 1e-6).alias("x")))  # read once a round
     lo, hi, sd = x.agg(F.percentile("x", F.lit(0.1)), F.percentile("x", F.lit(0.9)), F.stddev_pop("x")).first()
     if lo is None:
         return []
@@ -143,10 +143,11 @@ def clipped(x: Column, by: float) -> Column:
 
 
 def distance_log_odds(edges: DataFrame) -> DataFrame:
-    """edges (u, v, d, ...) with w: log odds of one object against two, from a mixture of the distances alone."""
+    """edges (u, v, d, ...) with w: log odds of one object against two, from a mixture of the distances alone (G7); the lowest where d isn't finite."""
     same, other = gaussian_mixture(edges)
     x = F.ln(F.col("d") + 1e-6)
-    return edges.withColumn("w", clipped(log_density(x, same) - log_density(x, other), CLIP["votes"]))
+    fine = (F.col("d") + 1e-6 > 0) & ~F.isnan("d") & (F.col("d") < float("inf"))  # NaN is the largest number in comparisons
+    return edges.withColumn("w", F.when(fine, clipped(log_density(x, same) - log_density(x, other), CLIP["votes"])).otherwise(-CLIP["votes"]))
 
 
 def vote_log_odds(votes: DataFrame) -> tuple[DataFrame, float]:

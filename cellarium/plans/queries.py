@@ -69,9 +69,22 @@ def dbscan_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cellarium.operators.cluster import hdbscan
+    """Cells whose features are a direction of their own label, and a fifth of their own features."""
+    from cellarium.operators.density import hdbscan
 
-    return hdbscan(fixtures.run(spark, sf_dir, "SELECT cell_id AS id, feat FROM cells"), 8, 4)
+    return hdbscan(_planted(spark, sf_dir), 8, 4)
+
+
+def hdbscan_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finest clusters, lifted to a distance, of features with positions glued on; all cells by a sample's centroids."""
+    from cellarium.operators.density import augmented, hdbscan_sampled
+
+    return hdbscan_sampled(augmented(_planted(spark, sf_dir), with_position=0.1), min_cluster_size=8, min_samples=4, method="leaf", epsilon=0.5)
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.run(spark, sf_dir, "SELECT c.cell_id AS id, x, y, z, feat, label FROM cells c JOIN cell_labels l ON l.cell_id = c.cell_id")
+    return rows.withColumn("feat", F.transform("feat", lambda f, i: 0.2 * f + F.sin((F.col("label") + 1) * (i + 1))))
 
 
 def multicut_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,6 +319,7 @@ REGISTRY |= {
     "enclosed_cells": Query("G15 U3", enclosed, None),
     "dbscan_per_label": Query("J12 G12", dbscan_per_label, None),
     "hdbscan_labels": Query("G13 J20", hdbscan_labels, None),
+    "hdbscan_leaves": Query("G13", hdbscan_leaves, None),
     "multicut_tau": Query("G5 G6", multicut_tau, None),
     "multicut_votes": Query("G9", multicut_votes, None),
     "multicut_logodds": Query("G7 A17", multicut_logodds, None),

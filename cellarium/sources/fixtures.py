@@ -106,19 +106,18 @@ def tables(spark, sf_dir: str, sql: str) -> dict:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
 
 
-_built: dict[tuple[str, str], str] = {}
+_kept = None
 
 
 def neighbours(spark, sf_dir: str):
-    """The neighbour graph, built once a session and folder by the grid join and kept as a table in the shared folder."""
-    from cellarium.operators import graph, nearest
-
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        path = graph.shared_path(spark, "neighbours")
-        nearest.neighbours(run(spark, sf_dir, "SELECT cell_id AS id, x, y, z FROM cells")).write.parquet(path)
-        _built[key] = path
-    return spark.read.schema("a long, b long, d double").parquet(_built[key])
+    """The neighbour graph by the grid join, kept as a table in the shared folder for as long as the folder's cells stay the same."""
+    global _kept
+    from cellarium.operators import nearest
+    from cellarium.sources.versions import Kept
+
+    _kept = _kept or Kept()
+    cells = run(spark, sf_dir, "SELECT cell_id AS id, x, y, z FROM cells")
+    return _kept.get((spark.sparkContext.applicationId, sf_dir), cells, lambda: nearest.neighbours(cells).select("a", "b", "d"))
 
 
 def run(spark, sf_dir: str, sql: str):

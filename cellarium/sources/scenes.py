@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellarium.operators.graph import durable
+
 #: What the tags of mask runs stand for.
 PRESETS = {"t70": {"points_per_side": 32, "pred_iou_thresh": 0.70, "stability_thresh": 0.88}, "t60": {"points_per_side": 32, "pred_iou_thresh": 0.60, "stability_thresh": 0.80}}
 
@@ -19,7 +21,7 @@ def numbered(rows: DataFrame, order: list[str], name: str = "i") -> DataFrame:
     """
     ranged = rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*order)
     ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = ranged.persist()
+    ranged = durable(ranged)  # written out, so that a lost executor can't deal the ranges anew
     before, offsets = 0, []
     for part, n in sorted(map(tuple, ranged.groupBy("_part").count().collect())):
         offsets.append((part, before))
@@ -35,20 +37,22 @@ def basename(path: Column) -> Column:
 def choose_split(frames: DataFrame, split: str, released: DataFrame | None = None, trained: DataFrame | None = None, every: int = 8, most: int = 300) -> DataFrame:
     """Frames (column name) of a split, `train` or `test`, by the first rule that applies.
 
-    released: columns name and split, matched by the names' last part. Else trained: the column name of the training
-    folder's files; all other frames are for tests. Else each `every`-th frame in the order of names is for tests. Of more
-    than `most` training frames as many stay, evenly spread. frames has one row a name.
+    released: columns name and split, matched by the names' last part; of more than `most` training frames as many stay,
+    evenly spread, and a list that names no frame of the split is an error. Else trained: the column name of the training
+    folder's files; all other frames are for tests. Else each `every`-th frame in the order of names is for tests. frames
+    has one row a name.
     """
     if released is not None and released.limit(1).count():
         own = released.where(F.col("split") == split).select(basename(F.col("name")).alias("_base")).distinct()
         chosen = frames.withColumn("_base", basename(F.col("name"))).join(own, "_base", "left_semi").drop("_base")
-    elif trained is not None and trained.limit(1).count():
+        if not chosen.limit(1).count():
+            raise ValueError(f"the released lists name no {split} frame that is there")
+        return strided(chosen, ["name"], most) if split == "train" else chosen
+    if trained is not None and trained.limit(1).count():
         own = trained.select(basename(F.col("name")).alias("_base")).distinct()
-        chosen = frames.withColumn("_base", basename(F.col("name"))).join(own, "_base", "left_semi" if split == "train" else "left_anti").drop("_base")
-    else:
-        held = F.col("_i") % every == 0
-        chosen = numbered(frames, ["name"], "_i").where(held if split == "test" else ~held).drop("_i")
-    return strided(chosen, ["name"], most) if split == "train" else chosen
+        return frames.withColumn("_base", basename(F.col("name"))).join(own, "_base", "left_semi" if split == "train" else "left_anti").drop("_base")
+    held = F.col("_i") % every == 0
+    return numbered(frames, ["name"], "_i").where(held if split == "test" else ~held).drop("_i")
 
 
 def strided(rows: DataFrame, order: list[str], most: int) -> DataFrame:

@@ -73,9 +73,6 @@ def test_density_clusters(spark):
     d = np.linalg.norm(p[:, None] - p[None], axis=2)
     core = {i for i in range(len(p)) if (d[i] <= 0.5).sum() >= 5}
     assert all((got[i] is None) == (not any(j in core and d[i, j] <= 0.5 for j in range(len(p)))) for i in got)
-    feats = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(p)], "id long, feat array<double>")
-    labels = {r.id: r.label for r in cluster.hdbscan(feats, 10, 5).collect()}
-    assert len({labels[i] for i in range(30)}) == 1 and len({labels[i] for i in range(30, 60)}) == 1 and labels[0] != labels[30]
 
 
 def test_rle_round_trip(spark):

@@ -44,9 +44,13 @@ def test_split_by_folder(spark):
 def test_split_by_holdout(spark, n, most):
     own = [f"images/{i:04d}.jpg" for i in range(n)]
     train = [x for i, x in enumerate(own) if i % 8]
-    if len(train) > most:
-        train = [train[int(i * len(train) / most)] for i in range(most)]
     assert names(scenes.choose_split(frames(spark, n), "train", most=most)) == train
+    if len(train) > most:  # only released lists are thinned
+        thin = [train[int(i * len(train) / most)] for i in range(most)]
+        released = spark.createDataFrame([(x, "train") for x in train], "name string, split string")
+        assert names(scenes.choose_split(frames(spark, n), "train", released, most=most)) == thin
+        with pytest.raises(ValueError):
+            scenes.choose_split(frames(spark, n), "test", released)
     assert names(scenes.choose_split(frames(spark, n), "test", most=most)) == own[::8]
 
 
