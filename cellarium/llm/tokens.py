@@ -26,6 +26,9 @@ PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 STAND_IN = {b: b if b in PLAIN else 256 + k for k, b in enumerate([*PLAIN, *(b for b in range(256) if b not in PLAIN)], -len(PLAIN))}
 
 
+SPACE = chr(STAND_IN[32])
+
+
 class Chunks(dict):
     """chunk -> ids as little-endian uint32 bytes; None where the chunk can't stand alone."""
 
@@ -66,8 +69,10 @@ class Encoder:
         self.split = regex.compile(steps[0]["pattern"]["Regex"] if self.kind == "dropped" else BYTE_LEVEL).findall
         self.chunks = Chunks(self.chunk, " " if self.kind == "prefix" else "")
         self.pieces: dict[str, bytes] = {}
-        #: Whether a run of ASCII letters is one piece.
-        self.letters = self.split(string.ascii_lowercase) == [string.ascii_lowercase]
+        #: Whether a run of Latin letters is one piece, and the marks that are one piece of their own after such a run.
+        latin = string.ascii_lowercase + "éßøæłž"
+        self.letters = self.split(latin) == [latin]
+        self.tails = {c for c in ".,;:!?" if self.letters and self.split(latin + c) == [latin, c]}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -75,21 +80,31 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = array("I", [t.id for t in self.model(piece.encode().decode("latin-1").translate(STAND_IN))]).tobytes()
+            found = array("I", [t.id for t in self.model(self.stand_ins(piece))]).tobytes()
             if len(piece) <= CHUNK_CHARS:
                 if len(self.pieces) >= CACHE_PIECES:
                     self.pieces.clear()
                 self.pieces[piece] = found
         return found
 
+    def stand_ins(self, piece: str) -> str:
+        """The piece's bytes in the vocabulary's letters; printable ASCII stands for itself, and one space before it for its stand-in."""
+        if piece.isascii() and piece[1:].isalpha():
+            return piece if piece[0] != " " and piece.isalpha() else SPACE + piece[1:] if piece[0] == " " else piece.translate(STAND_IN)
+        return piece.encode().decode("latin-1").translate(STAND_IN)
+
     def chunk(self, chunk: str) -> bytes:
         """Chunks of printable Latin letters and line feeds, which normalisation leaves as they are, go straight to the library's model, piece by piece."""
         plain = chunk.isascii()
-        letters = plain and self.letters and chunk.isalpha()
-        if not letters and not (chunk and (chunk.isprintable() or chunk.replace("\n", "").isprintable()) and (plain or max(chunk) < "\u0250" and "\u0130" not in chunk)):
+        if not plain and (max(chunk) >= "\u0250" or "\u0130" in chunk):
+            return self.whole(self.chunks.prefix + chunk)
+        if self.letters and chunk.isalpha():
+            return self.piece(self.chunks.prefix + (chunk.lower() if self.lower else chunk))
+        if chunk[-1:] in self.tails and chunk[:-1].isalpha():
+            return self.chunks[chunk[:-1]] + self.piece(chunk[-1])
+        if not (chunk and (chunk.isprintable() or chunk.replace("\n", "").isprintable())):
             return self.whole(self.chunks.prefix + chunk)
-        chunk = self.chunks.prefix + (chunk.lower() if self.lower else chunk)
-        return self.piece(chunk) if letters else b"".join(map(self.piece, self.split(chunk)))
+        return b"".join(map(self.piece, self.split(self.chunks.prefix + (chunk.lower() if self.lower else chunk))))
 
     def encode(self, text: str) -> bytes:
         """The text's ids, little-endian uint32."""
