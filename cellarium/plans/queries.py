@@ -262,6 +262,31 @@ def fisher_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fisher_threshold(rows)
 
 
+def _blobs(spark: SparkSession, sf_dir: str) -> tuple:
+    """True and found masks in images of three widths."""
+    rows = [fixtures.fixture(spark, sf_dir, n).select("frame_idx", "obj_id", "row", "col") for n in ("blobs", "found_blobs")]
+    return *rows, 96 + 8 * (F.col("frame_idx") % 3), F.lit(72)
+
+
+def boundary_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.morphology import boundary_overlap
+
+    return boundary_overlap(*_blobs(spark, sf_dir)).select("frame_idx", "obj_id", *[F.round(c, 9).alias(c) for c in ("iou", "boundary_iou")])
+
+
+def best_dilation_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.morphology import best_dilation
+
+    return best_dilation(*_blobs(spark, sf_dir)).select("frame_idx", "obj_id", "radius", F.round("iou", 9).alias("iou"))
+
+
+def mask_interior_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.morphology import interior_points
+
+    masks, _, width, height = _blobs(spark, sf_dir)
+    return interior_points(masks, width, height).select("frame_idx", "obj_id", "row", "col", F.round("d2", 6).alias("d2"), F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
 REACH = "WITH RECURSIVE base AS ({base}), both_ways AS (SELECT u, v FROM base UNION SELECT v, u FROM base), reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT a, v FROM reach JOIN both_ways ON b = u), comps AS (SELECT a AS id, min(b) AS comp FROM reach GROUP BY a) {tail}"
 _NODES = "nodes AS (SELECT cell_id AS id FROM cells)"
 _DENSE = "SELECT c.id, CAST(coalesce(k.label, -1) AS INT) AS label FROM comps c LEFT JOIN (SELECT comp, dense_rank() OVER (ORDER BY comp) - 1 AS label FROM comps GROUP BY comp HAVING count(*) >= {least}) k ON k.comp = c.comp"
@@ -306,6 +331,25 @@ SCHEDULE = "SELECT DISTINCT o_orderkey AS step, round(CASE WHEN o_orderkey > 500
 VIEWS = fixtures.oracle("""SELECT * FROM (SELECT obj_id, frame_idx, score, CAST(row_number() OVER (PARTITION BY obj_id ORDER BY score DESC, frame_idx) AS INT) AS place FROM (SELECT s.obj_id, s.frame_idx, round(n * n / CAST(total * top AS DOUBLE), 9) AS score
   FROM mask_sizes s JOIN (SELECT obj_id, count(DISTINCT pixel) AS total FROM mask_pixels GROUP BY obj_id) t ON t.obj_id = s.obj_id JOIN (SELECT obj_id, max(n) AS top FROM mask_sizes GROUP BY obj_id) m ON m.obj_id = s.obj_id) a) b WHERE place <= 5""")
 
+# boxes counted pixel by pixel, where the Spark side works on runs
+BANDS = fixtures.oracle("""WITH b AS (SELECT 't' AS side, * FROM blobs UNION ALL SELECT 'f', * FROM found_blobs),
+  sized AS (SELECT *, CAST(greatest(1, round_even(0.02 * sqrt(pow(96 + 8 * (frame_idx % 3), 2) + 72 * 72), 0)) AS INT) AS d FROM b),
+  inner_px AS (SELECT p.side, p.frame_idx, p.obj_id, p.row, p.col FROM sized p JOIN b q ON q.side = p.side AND q.frame_idx = p.frame_idx AND q.obj_id = p.obj_id AND q.row BETWEEN p.row - d AND p.row + d AND q.col BETWEEN p.col - d AND p.col + d GROUP BY p.side, p.frame_idx, p.obj_id, p.row, p.col, d HAVING count(*) = (2 * d + 1) * (2 * d + 1)),
+  edge AS (SELECT * FROM b EXCEPT SELECT * FROM inner_px),
+  iou AS (SELECT frame_idx, obj_id, count(*) FILTER (n = 2) / CAST(count(*) AS DOUBLE) AS iou FROM (SELECT frame_idx, obj_id, row, col, count(*) AS n FROM b GROUP BY ALL) x GROUP BY ALL),
+  eiou AS (SELECT frame_idx, obj_id, count(*) FILTER (n = 2) / CAST(count(*) AS DOUBLE) AS iou FROM (SELECT frame_idx, obj_id, row, col, count(*) AS n FROM edge GROUP BY ALL) x GROUP BY ALL)
+  SELECT a.frame_idx, a.obj_id, round(a.iou, 9) AS iou, round(e.iou, 9) AS boundary_iou FROM iou a JOIN eiou e ON e.frame_idx = a.frame_idx AND e.obj_id = a.obj_id""")
+DILATIONS = fixtures.oracle("""WITH wide AS (SELECT DISTINCT frame_idx, obj_id, d, row + dr AS row, col + dc AS col FROM found_blobs, (SELECT unnest([1, 2, 3, 5, 8]) AS d) r, (SELECT unnest(range(-8, 9)) AS dr) y, (SELECT unnest(range(-8, 9)) AS dc) x
+    WHERE abs(dr) <= d AND abs(dc) <= d AND row + dr BETWEEN 0 AND 71 AND col + dc BETWEEN 0 AND 95 + 8 * (frame_idx % 3)),
+  n AS (SELECT d, frame_idx, obj_id, count(*) AS n FROM wide GROUP BY ALL), t AS (SELECT frame_idx, obj_id, count(*) AS n FROM blobs GROUP BY ALL),
+  met AS (SELECT d, w.frame_idx, w.obj_id, count(*) AS m FROM wide w JOIN blobs b ON b.frame_idx = w.frame_idx AND b.obj_id = w.obj_id AND b.row = w.row AND b.col = w.col GROUP BY ALL)
+  SELECT n.frame_idx, n.obj_id, CAST(arg_max(n.d, CAST(round(iou * 1000000000000, 0) AS HUGEINT) * 100 - n.d) AS INT) AS radius, round(max(iou), 9) AS iou
+  FROM (SELECT n.*, coalesce(m, 0) / CAST(n.n + t.n - coalesce(m, 0) AS DOUBLE) AS iou FROM n JOIN t ON t.frame_idx = n.frame_idx AND t.obj_id = n.obj_id LEFT JOIN met ON met.d = n.d AND met.frame_idx = n.frame_idx AND met.obj_id = n.obj_id) n GROUP BY n.frame_idx, n.obj_id""")
+INTERIORS = fixtures.oracle("""WITH rim AS (SELECT DISTINCT frame_idx, obj_id, row + dr AS row, col + dc AS col FROM blobs, (SELECT unnest([-1, 0, 1]) AS dr) y, (SELECT unnest([-1, 0, 1]) AS dc) x WHERE row + dr BETWEEN 0 AND 71 AND col + dc BETWEEN 0 AND 95 + 8 * (frame_idx % 3)),
+  out AS (SELECT * FROM rim EXCEPT SELECT frame_idx, obj_id, row, col FROM blobs),
+  d AS (SELECT b.frame_idx, b.obj_id, b.row, b.col, min(pow(b.row - o.row, 2) + pow(b.col - o.col, 2)) AS d2 FROM blobs b JOIN out o ON o.frame_idx = b.frame_idx AND o.obj_id = b.obj_id GROUP BY ALL)
+  SELECT frame_idx, obj_id, row, col, d2, round((col + 0.5) / (96 + 8 * (frame_idx % 3)), 9) AS x, round((row + 0.5) / 72, 9) AS y FROM d QUALIFY row_number() OVER (PARTITION BY frame_idx, obj_id ORDER BY d2 DESC, row, col) = 1""")
+
 
 def grid(name: str, run: Callable[[SparkSession, str], DataFrame]) -> Query:
     """The grid search in Spark; the SQL compares all pairs."""
@@ -333,6 +377,9 @@ REGISTRY |= {
     "camera_rays": Query("C7", camera_rays, CAMERAS),
     "log_linear_schedule": Query("W12", log_linear_schedule, SCHEDULE),
     "view_score": Query("O2", view_score, VIEWS),
+    "boundary_iou": Query("W10 E3 A6", boundary_iou, BANDS),
+    "best_dilation_iou": Query("W11", best_dilation_iou, DILATIONS),
+    "mask_interior_points": Query("F18 F21", mask_interior_points, INTERIORS),
     "pca_rgb": Query("P8 A33 A20", pca_rgb, None),
     "up_direction": Query("A32", up_direction, None),
     "felzenszwalb": Query("G4", felzenszwalb_labels, None),

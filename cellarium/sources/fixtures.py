@@ -31,6 +31,9 @@ FIXTURES = {
     "results": "SELECT CAST(year(o_orderdate) AS INT) AS scene, o_orderpriority AS config, avg(o_totalprice) AS ap FROM {orders} GROUP BY CAST(year(o_orderdate) AS INT), o_orderpriority",
     "tets": "SELECT DISTINCT l_orderkey % 40 AS t, ARR(l_partkey % 30, 30 + l_suppkey % 7, 40 + l_orderkey % 9, 60 + l_linenumber) AS vs FROM {lineitem}",
     "quads": "SELECT CAST(row_number() OVER (ORDER BY EL(vs, 1), EL(vs, 2), EL(vs, 3), EL(vs, 4)) AS BIGINT) AS tet_id, EL(vs, 1) AS v1, EL(vs, 2) AS v2, EL(vs, 3) AS v3, CAST(EL(vs, 4) AS BIGINT) AS v4 FROM (SELECT DISTINCT vs FROM tets) s",
+    "rectangles": "SELECT CAST(floor(c_custkey / 60) AS INT) AS frame_idx, CAST(c_nationkey AS INT) AS obj_id, CAST(c_custkey * 37 % 80 AS INT) AS x0, CAST(c_custkey * 53 % 60 AS INT) AS y0, CAST(6 + c_custkey % 17 AS INT) AS w, CAST(5 + c_custkey % 13 AS INT) AS h FROM {customer}",
+    "blobs": "SELECT DISTINCT frame_idx, obj_id, y0 + r.i AS row, x0 + c.i AS col FROM rectangles JOIN (SELECT CAST(i AS INT) AS i FROM SEQ(0, 16)) r ON r.i < h AND y0 + r.i < 72 JOIN (SELECT CAST(i AS INT) AS i FROM SEQ(0, 22)) c ON c.i < w AND x0 + c.i < 96 + 8 * (frame_idx % 3)",
+    "found_blobs": "SELECT DISTINCT frame_idx, obj_id, y0 + r.i AS row, x0 + c.i AS col FROM rectangles JOIN (SELECT CAST(i AS INT) AS i FROM SEQ(1, 15)) r ON r.i < h - 1 AND y0 + r.i < 72 JOIN (SELECT CAST(i AS INT) AS i FROM SEQ(1, 21)) c ON c.i < w - 1 - x0 % 2 AND x0 + c.i < 96 + 8 * (frame_idx % 3)",
     "mask_sizes": "SELECT frame_idx, obj_id, count(*) AS n FROM mask_pixels GROUP BY frame_idx, obj_id",
     "mask_pairs": "SELECT a.frame_idx, a.obj_id AS a, b.obj_id AS b, count(*) AS both_n FROM mask_pixels a JOIN mask_pixels b ON a.frame_idx = b.frame_idx AND a.pixel = b.pixel AND a.obj_id < b.obj_id GROUP BY a.frame_idx, a.obj_id, b.obj_id",
     "ious": "SELECT p.frame_idx, p.a, p.b, both_n / CAST(x.n + y.n - both_n AS DOUBLE) AS iou FROM mask_pairs p JOIN mask_sizes x ON x.frame_idx = p.frame_idx AND x.obj_id = p.a JOIN mask_sizes y ON y.frame_idx = p.frame_idx AND y.obj_id = p.b",
