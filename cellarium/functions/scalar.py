@@ -29,21 +29,46 @@ def times32(x: Column, k: int) -> Column:
     return (lo * k + F.shiftleft((hi * k).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(MASK))
 
 
-def mix32(x: Column, rounds: tuple[tuple[int, int], ...] = ((16, 0x7FEB352D), (15, 0x846CA68B))) -> Column:
-    """A 32-bit mixer: xor with the own right shift, times an odd number, again, and a last shift."""
+# The shifts and odd factors of the mixer, its last shift, and what a seed is crossed with.
+MIX, MIX_LAST, SEED = ((17, 0xED5AD4BB), (11, 0xAC4C1B51), (15, 0x31848BAB)), 14, 0x2815DB5B
+
+
+def once(x: Column, f) -> Column:
+    """f(x), where f has x several times: x is written into the plan once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def mix32(x: Column) -> Column:
+    """A 32-bit mixer: xor with the own right shift and times an odd number, three times, and a last shift."""
     x = x.bitwiseAND(F.lit(MASK))
-    for s, k in rounds:
-        x = times32(x.bitwiseXOR(F.shiftrightunsigned(x, s)), k)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 16))
+    for s, k in MIX:
+        x = once(once(x, lambda h: h.bitwiseXOR(F.shiftrightunsigned(h, s))), lambda h: times32(h, k))  # noqa: B023
+    return once(x, lambda h: h.bitwiseXOR(F.shiftrightunsigned(h, MIX_LAST)))
+
+
+def seeded(seed: Column) -> Column:
+    """The first number, under 2^32, of the generator with a seed; seeds count modulo 2^32."""
+    return mix32(seed.cast("long").bitwiseAND(F.lit(MASK)).bitwiseXOR(F.lit(SEED)))
+
+
+def following(number: Column) -> Column:
+    """The number after another one."""
+    return mix32(number + 1)
+
+
+def below(number: Column, n: Column) -> Column:
+    """A number under n, n under 2^32, from a generator's number."""
+    return F.least(F.floor(number / F.floor(F.lit(MASK) / n)), n - 1)  # both quotients are exact enough: numbers have 32 bits
 
 
-def uniform(x: Column) -> Column:
-    return (mix32(x) + 0.5) / 4294967296.0
+def fraction(number: Column) -> Column:
+    return number / float(MASK)
 
 
-def normal(x: Column) -> Column:
-    """Box-Muller from two hashes of x."""
-    return F.sqrt(-2 * F.log(uniform(2 * x))) * F.cos(6.283185307179586 * uniform(2 * x + 1))
+def normal(number: Column) -> Column:
+    """Box-Muller from a number and the one after it."""
+    # Fixed value: the least normal number of single precision.
+    return once(number, lambda g: F.sqrt(-2 * F.log(F.greatest(fraction(g), F.lit(1.1754943508222875e-38)))) * F.cos(2 * pi * fraction(following(g))))
 
 
 def morton(x: Column, y: Column, z: Column, bits: int = 10) -> Column:

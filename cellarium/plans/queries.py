@@ -262,6 +262,48 @@ def fisher_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fisher_threshold(rows)
 
 
+def hashed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many batches of 64 rows as make one pass over the table, drawn with replacement, and the same in order."""
+    from cellarium.operators.seeded import batches
+
+    rows = fixtures.run(spark, sf_dir, "SELECT vec_id FROM {embeddings}")
+    count = -(-rows.count() // 64)
+    drawn, ordered = (batches(rows, "vec_id", count, 64, s).select("batch", "j", F.col("vec_id").alias(c)) for s, c in ((True, "drawn"), (False, "ordered")))
+    return drawn.join(ordered, ["batch", "j"])
+
+
+def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What densifying by 15 percent draws, by density."""
+    from cellarium.operators.seeded import weighted
+
+    cells = fixtures.run(spark, sf_dir, "SELECT cell_id, density FROM cells")
+    return weighted(cells, "cell_id", F.col("density"), int(0.15 * cells.count())).select("cell_id")
+
+
+def seeded_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.seeded import permuted
+
+    return permuted(fixtures.run(spark, sf_dir, "SELECT o_orderkey FROM {orders}"), "o_orderkey", 7)
+
+
+def initial_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.seeded import initial_points
+
+    rows = initial_points(fixtures.run(spark, sf_dir, "SELECT cell_id, x, y, z FROM cells"), "cell_id")
+    return rows.select("i", "source", *[F.round(c, 6).alias(c) for c in "xyz"], "density")
+
+
+SCENES = "SELECT o_orderkey AS vertex_id, CAST(floor(o_orderkey / 3000) AS BIGINT) AS scene, gt_id, CASE WHEN vertex_id % 11 < gt_id % 8 THEN 100 + vertex_id % 6 ELSE pred_id END AS pred_id FROM vertices JOIN {orders} ON o_orderkey = vertex_id"
+
+
+def tie_order_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of 100 orders of each scene's predictions, which have no scores of their own."""
+    from cellarium.operators.seeded import tie_orders
+
+    found = tie_orders(fixtures.run(spark, sf_dir, SCENES), min_size=5)
+    return found.select("scene", "trial", F.round("ap", 6).alias("ap"), F.round("ap50", 6).alias("ap50"))
+
+
 def _blobs(spark: SparkSession, sf_dir: str) -> tuple:
     """True and found masks in images of three widths."""
     rows = [fixtures.fixture(spark, sf_dir, n).select("frame_idx", "obj_id", "row", "col") for n in ("blobs", "found_blobs")]
@@ -351,6 +393,46 @@ INTERIORS = fixtures.oracle("""WITH rim AS (SELECT DISTINCT frame_idx, obj_id, r
   SELECT frame_idx, obj_id, row, col, d2, round((col + 0.5) / (96 + 8 * (frame_idx % 3)), 9) AS x, round((row + 0.5) / 72, 9) AS y FROM d QUALIFY row_number() OVER (PARTITION BY frame_idx, obj_id ORDER BY d2 DESC, row, col) = 1""")
 
 
+def mixed(x: str) -> str:
+    """The 32-bit mixer in the oracle's unsigned numbers."""
+    for shift, factor in ((17, 3982152891), (11, 2890668881), (15, 830770091)):
+        x = f"(list_transform([CAST({x} AS UBIGINT)], lambda h: (xor(h, h >> {shift}) * CAST({factor} AS UBIGINT)) & 4294967295)[1])"
+    return f"(list_transform([{x}], lambda h: xor(h, h >> 14))[1])"
+
+
+def first_number(seed: str) -> str:
+    return mixed(f"xor(CAST({seed} AS UBIGINT), CAST(672521051 AS UBIGINT))")
+
+
+def keyed_number(key: str, seed: int = 0) -> str:
+    return first_number(f"xor({first_number(str(seed))}, CAST({key} AS UBIGINT))")
+
+
+PICK = "CAST(least({x} // (4294967295 // n), n - 1) AS BIGINT)"
+BATCH = f"""WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings), s AS (SELECT s, max(n) AS n FROM r, unnest(range(0, 64 * ((n + 63) // 64))) t(s) WHERE i = 0 GROUP BY s)
+  SELECT s // 64 AS batch, s % 64 AS j, a.vec_id AS drawn, b.vec_id AS ordered FROM (SELECT s, n, {PICK.format(x=first_number("s"))} AS pick FROM s) x JOIN r a ON a.i = pick JOIN r b ON b.i = s % x.n"""
+SAMPLE = fixtures.oracle("SELECT cell_id FROM (SELECT cell_id, row_number() OVER (ORDER BY draw, cell_id) AS k, total FROM (SELECT cell_id, density, -ln((" + keyed_number("cell_id") + " + 0.5) / 4294967296.0) / density AS draw, (SELECT count(*) FROM cells) AS total FROM cells) d WHERE density > 0) e WHERE k <= floor(0.15 * total)")
+PERMUTATION = f"SELECT o_orderkey, row_number() OVER (ORDER BY {keyed_number('o_orderkey', 7)}, o_orderkey) - 1 AS place FROM orders"
+
+
+def gauss(key: str) -> str:
+    return f"(list_transform([{keyed_number(key, 1)}], lambda g: sqrt(-2 * ln(greatest(g / CAST(4294967295 AS DOUBLE), 1.1754943508222875e-38))) * cos(2 * pi() * {mixed('((g + 1) & 4294967295)')} / CAST(4294967295 AS DOUBLE)))[1])"
+
+
+INITIAL = fixtures.oracle("WITH r AS (SELECT cell_id, x, y, z, row_number() OVER (ORDER BY cell_id) - 1 AS q, count(*) OVER () AS n FROM cells), s AS (SELECT i, CAST(floor(0.9 * n) AS BIGINT) AS own, n FROM (SELECT max(n) AS n FROM r) a, unnest(range(0, CAST(floor(0.9 * n) AS BIGINT) + 5000)) t(i))"
+  + f" SELECT i, CASE WHEN i < own THEN cell_id END AS source, round(CASE WHEN i < own THEN x + 0.01 * {gauss('3 * i')} ELSE 10 * {gauss('3 * i')} END, 6) AS x, round(CASE WHEN i < own THEN y + 0.01 * {gauss('3 * i + 1')} ELSE 10 * {gauss('3 * i + 1')} END, 6) AS y,"
+  + f" round(CASE WHEN i < own THEN z + 0.01 * {gauss('3 * i + 2')} ELSE 10 * {gauss('3 * i + 2')} END, 6) AS z, CASE WHEN i < own THEN 0.0 ELSE -0.5 END AS density FROM (SELECT *, {PICK.format(x=keyed_number('i'))} AS pick FROM s) s JOIN r ON q = CASE WHEN i < own THEN pick ELSE 0 END")
+# from an overlap of one half on a prediction and an instance have one partner at most, so nothing is left to matching
+TRIALS = fixtures.oracle("WITH v AS (" + SCENES + f"""), p AS (SELECT scene, pred_id, count(*) AS n, avg(CASE WHEN gt_id IS NULL THEN 1.0 ELSE 0.0 END) AS void FROM v GROUP BY ALL HAVING count(*) >= 5), g AS (SELECT scene, gt_id, count(*) AS n FROM v WHERE gt_id IS NOT NULL GROUP BY ALL HAVING count(*) >= 5),
+  best AS (SELECT p.scene, p.pred_id, p.void, coalesce(max(m / CAST(p.n + g.n - m AS DOUBLE)), 0) AS iou FROM p LEFT JOIN (SELECT scene, pred_id, gt_id, count(*) AS m FROM v GROUP BY ALL) b ON b.scene = p.scene AND b.pred_id = p.pred_id LEFT JOIN g ON g.scene = b.scene AND g.gt_id = b.gt_id GROUP BY ALL),
+  t AS (SELECT *, (SELECT count(*) FROM g WHERE g.scene = best.scene) AS total FROM best, (SELECT unnest(range(0, 100)) AS trial) a, (SELECT unnest(range(50, 95, 5)) / 100.0 AS cut) c WHERE iou >= cut OR void <= cut),
+  o AS (SELECT *, CASE WHEN trial = 0 THEN CAST(pred_id AS UBIGINT) ELSE {first_number("xor(" + first_number("trial") + ", CAST(pred_id AS UBIGINT))")} END AS draw FROM t),
+  r AS (SELECT *, sum(CASE WHEN iou >= cut THEN 1 ELSE 0 END) OVER w AS hits, row_number() OVER w AS k FROM o WINDOW w AS (PARTITION BY scene, trial, cut ORDER BY draw, pred_id)),
+  e AS (SELECT *, max(hits / CAST(k AS DOUBLE)) OVER (PARTITION BY scene, trial, cut ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS top FROM r),
+  a AS (SELECT scene, trial, cut, sum(CASE WHEN iou >= cut THEN top ELSE 0 END) / greatest(max(total), 1) AS ap FROM e GROUP BY ALL)
+  SELECT scene, CAST(trial AS INT) AS trial, round(sum(ap) / 9, 6) AS ap, round(coalesce(max(CASE WHEN cut = 0.5 THEN ap END), 0), 6) AS ap50 FROM a GROUP BY ALL""")
+
+
 def grid(name: str, run: Callable[[SparkSession, str], DataFrame]) -> Query:
     """The grid search in Spark; the SQL compares all pairs."""
     return Query(REGISTRY[name].operators, run, REGISTRY[name].sql)
@@ -380,6 +462,11 @@ REGISTRY |= {
     "boundary_iou": Query("W10 E3 A6", boundary_iou, BANDS),
     "best_dilation_iou": Query("W11", best_dilation_iou, DILATIONS),
     "mask_interior_points": Query("F18 F21", mask_interior_points, INTERIORS),
+    "hashed_batch": Query("S22 F4", hashed_batch, BATCH),
+    "weighted_sample": Query("O6 F4", weighted_sample, SAMPLE),
+    "seeded_permutation": Query("O7 F4", seeded_permutation, PERMUTATION),
+    "initial_scene": Query("S23 F4", initial_scene, INITIAL),
+    "tie_order_scores": Query("O11 E1", tie_order_scores, TRIALS),
     "pca_rgb": Query("P8 A33 A20", pca_rgb, None),
     "up_direction": Query("A32", up_direction, None),
     "felzenszwalb": Query("G4", felzenszwalb_labels, None),
