@@ -137,7 +137,7 @@ def core_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(cells, cells.withColumnRenamed("id", "q"), 16).where("rank = 16").select(F.col("q").alias("cell_id"), F.round("d", 6).alias("core"))
 
 
-STEPS = 48
+STEPS = 1024
 
 
 def cell_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
