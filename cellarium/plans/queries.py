@@ -262,6 +262,43 @@ def fisher_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fisher_threshold(rows)
 
 
+def _protocol(spark: SparkSession, sf_dir: str) -> tuple:
+    """Id maps by the least object of a pixel; true masks; 25 categories with vectors; crops' vectors of 25 instances."""
+    maps = fixtures.run(spark, sf_dir, "SELECT frame_idx, row, col, min(obj_id) AS instance FROM blobs GROUP BY frame_idx, row, col")
+    truth = fixtures.run(spark, sf_dir, "SELECT frame_idx, obj_id AS category, row, col FROM found_blobs")
+    text = fixtures.run(spark, sf_dir, "SELECT CAST(n_nationkey AS INT) AS category, feat AS vec FROM {nation} JOIN pixels ON pixel_id = n_nationkey")
+    crops = fixtures.run(spark, sf_dir, "SELECT CAST(pixel_id % 25 AS INT) AS instance, feat AS vec FROM pixels")
+    return maps, truth, text, crops, 96 + 8 * (F.col("frame_idx") % 3), F.lit(72)
+
+
+def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes if not columns or c in columns])
+
+
+def open_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.protocols import chosen_by_score, pooled, scored
+
+    maps, truth, text, crops, width, height = _protocol(spark, sf_dir)
+    rows = scored(maps, truth, chosen_by_score(text, pooled(crops)), width, height)
+    return _rounded(rows, "frame_idx", "category", "iou", "boundary_iou", "oracle", "unclaimed")
+
+
+def open_vocabulary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.protocols import chosen_by_score, pooled, scored, summary
+
+    maps, truth, text, crops, width, height = _protocol(spark, sf_dir)
+    return _rounded(summary(scored(maps, truth, chosen_by_score(text, pooled(crops)), width, height)))
+
+
+def grounded_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame 0 is the reference view; its true masks stand for what a detector grounds."""
+    from cellarium.operators.protocols import chosen_by_area, scored
+
+    maps, truth, _, _, width, height = _protocol(spark, sf_dir)
+    chosen = chosen_by_area(maps.where("frame_idx = 0"), truth.where("frame_idx = 0").select("category", "row", "col"), 0.3)
+    return _rounded(scored(maps, truth, chosen, width, height))
+
+
 def hashed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many batches of 64 rows as make one pass over the table, drawn with replacement, and the same in order."""
     from cellarium.operators.seeded import batches
@@ -392,6 +429,33 @@ INTERIORS = fixtures.oracle("""WITH rim AS (SELECT DISTINCT frame_idx, obj_id, r
   d AS (SELECT b.frame_idx, b.obj_id, b.row, b.col, min(pow(b.row - o.row, 2) + pow(b.col - o.col, 2)) AS d2 FROM blobs b JOIN out o ON o.frame_idx = b.frame_idx AND o.obj_id = b.obj_id GROUP BY ALL)
   SELECT frame_idx, obj_id, row, col, d2, round((col + 0.5) / (96 + 8 * (frame_idx % 3)), 9) AS x, round((row + 0.5) / 72, 9) AS y FROM d QUALIFY row_number() OVER (PARTITION BY frame_idx, obj_id ORDER BY d2 DESC, row, col) = 1""")
 
+_TRUTH = """maps AS (SELECT frame_idx, row, col, min(obj_id) AS instance FROM blobs GROUP BY ALL), truth AS (SELECT frame_idx, obj_id AS category, row, col FROM found_blobs), pairs AS (SELECT DISTINCT frame_idx, category FROM truth)"""
+_CHOSEN = """unit AS (SELECT pixel_id % 25 AS instance, list_transform(feat, lambda x: x / sqrt(list_dot_product(feat, feat))) AS u FROM pixels),
+  mean AS (SELECT instance, k, avg(u[k]) AS m FROM unit, unnest(range(1, 17)) t(k) GROUP BY ALL), pooled AS (SELECT instance, list(m ORDER BY k) AS v FROM mean GROUP BY instance),
+  s AS (SELECT n_nationkey AS category, instance, round(list_dot_product(feat, v) / sqrt(list_dot_product(v, v)), 9) AS s FROM {nation} JOIN pixels ON pixel_id = n_nationkey JOIN pooled ON true),
+  chosen AS (SELECT category, instance FROM (SELECT *, min(s) OVER (PARTITION BY category) AS low, max(s) OVER (PARTITION BY category) AS top FROM s) x WHERE s - low >= 0.85 * (top - low))"""
+_AREA = """chosen AS (SELECT category, instance FROM (SELECT category, instance, count(*) AS n FROM maps JOIN truth ON truth.frame_idx = 0 AND truth.row = maps.row AND truth.col = maps.col WHERE maps.frame_idx = 0 GROUP BY ALL) i JOIN (SELECT instance AS own, count(*) AS area FROM maps WHERE frame_idx = 0 GROUP BY ALL) a ON own = instance WHERE n / CAST(area AS DOUBLE) > 0.3)"""
+_SCORES = """pred AS (SELECT DISTINCT m.frame_idx, c.category, m.row, m.col FROM maps m JOIN chosen c ON c.instance = m.instance JOIN pairs p ON p.frame_idx = m.frame_idx AND p.category = c.category),
+  b AS (SELECT 't' AS side, * FROM truth UNION ALL SELECT 'p', * FROM pred),
+  sized AS (SELECT *, CAST(greatest(1, round_even(0.02 * sqrt(pow(96 + 8 * (frame_idx % 3), 2) + 72 * 72), 0)) AS INT) AS d FROM b),
+  inner_px AS (SELECT p.side, p.frame_idx, p.category, p.row, p.col FROM sized p JOIN b q ON q.side = p.side AND q.frame_idx = p.frame_idx AND q.category = p.category AND q.row BETWEEN p.row - d AND p.row + d AND q.col BETWEEN p.col - d AND p.col + d GROUP BY ALL HAVING count(*) = max((2 * d + 1) * (2 * d + 1))),
+  edge AS (SELECT * FROM b EXCEPT SELECT * FROM inner_px),
+  i AS (SELECT frame_idx, category, count(*) FILTER (n = 2) / CAST(count(*) AS DOUBLE) AS iou FROM (SELECT frame_idx, category, row, col, count(*) AS n FROM b GROUP BY ALL) x GROUP BY ALL),
+  e AS (SELECT frame_idx, category, count(*) FILTER (n = 2) / CAST(count(*) AS DOUBLE) AS biou FROM (SELECT frame_idx, category, row, col, count(*) AS n FROM edge GROUP BY ALL) x GROUP BY ALL),
+  size_m AS (SELECT frame_idx, instance, count(*) AS n FROM maps GROUP BY ALL), size_t AS (SELECT frame_idx, category, count(*) AS n FROM truth GROUP BY ALL),
+  met AS (SELECT t.frame_idx, t.category, m.instance, count(*) AS c FROM truth t JOIN maps m ON m.frame_idx = t.frame_idx AND m.row = t.row AND m.col = t.col GROUP BY ALL),
+  o AS (SELECT met.frame_idx, met.category, max(c / CAST(m.n + t.n - c AS DOUBLE)) AS oracle, 1 - sum(c) / CAST(max(t.n) AS DOUBLE) AS unclaimed FROM met JOIN size_m m ON m.frame_idx = met.frame_idx AND m.instance = met.instance JOIN size_t t ON t.frame_idx = met.frame_idx AND t.category = met.category GROUP BY ALL),
+  every AS (SELECT i.frame_idx, i.category, iou, biou, coalesce(oracle, 0) AS oracle, coalesce(unclaimed, 1) AS unclaimed FROM i JOIN e ON e.frame_idx = i.frame_idx AND e.category = i.category LEFT JOIN o ON o.frame_idx = i.frame_idx AND o.category = i.category)"""
+_PAIRS = "SELECT frame_idx, category, round(iou, 9) AS iou, round(biou, 9) AS boundary_iou, round(oracle, 9) AS oracle, round(unclaimed, 9) AS unclaimed FROM every"
+OPEN_VOCABULARY = fixtures.oracle(f"WITH {_TRUTH}, {_CHOSEN}, {_SCORES} {_PAIRS}")
+OPEN_SUMMARY = fixtures.oracle(f"WITH {_TRUTH}, {_CHOSEN}, {_SCORES} SELECT round(avg(a), 9) AS iou, round(avg(b), 9) AS boundary_iou, round(avg(c), 9) AS oracle, count(*) AS categories, CAST(sum(n) AS BIGINT) AS pairs, round((SELECT avg(iou) FROM every), 9) AS flat_iou FROM (SELECT category, avg(iou) AS a, avg(biou) AS b, avg(oracle) AS c, count(*) AS n FROM every GROUP BY category) x")
+GROUNDED = fixtures.oracle(f"WITH {_TRUTH}, {_AREA}, {_SCORES}" + """, wide AS (SELECT DISTINCT frame_idx, category, d, row + dr AS row, col + dc AS col FROM pred, (SELECT unnest([1, 2, 3, 5, 8]) AS d) r, (SELECT unnest(range(-8, 9)) AS dr) y, (SELECT unnest(range(-8, 9)) AS dc) x
+    WHERE abs(dr) <= d AND abs(dc) <= d AND row + dr BETWEEN 0 AND 71 AND col + dc BETWEEN 0 AND 95 + 8 * (frame_idx % 3)),
+  wn AS (SELECT d, frame_idx, category, count(*) AS n FROM wide GROUP BY ALL), wm AS (SELECT d, w.frame_idx, w.category, count(*) AS m FROM wide w JOIN truth t ON t.frame_idx = w.frame_idx AND t.category = w.category AND t.row = w.row AND t.col = w.col GROUP BY ALL),
+  wi AS (SELECT wn.frame_idx, wn.category, wn.d, coalesce(m, 0) / CAST(wn.n + t.n - coalesce(m, 0) AS DOUBLE) AS wiou FROM wn JOIN size_t t ON t.frame_idx = wn.frame_idx AND t.category = wn.category LEFT JOIN wm ON wm.d = wn.d AND wm.frame_idx = wn.frame_idx AND wm.category = wn.category),
+  top AS (SELECT * FROM wi QUALIFY row_number() OVER (PARTITION BY frame_idx, category ORDER BY wiou DESC, d) = 1)
+  SELECT v.frame_idx, v.category, round(v.iou, 9) AS iou, round(biou, 9) AS boundary_iou, round(oracle, 9) AS oracle, round(unclaimed, 9) AS unclaimed, CASE WHEN wiou > v.iou THEN d ELSE 0 END AS radius, round(greatest(v.iou, coalesce(wiou, 0)), 9) AS iou_dilated FROM every v LEFT JOIN top ON top.frame_idx = v.frame_idx AND top.category = v.category""")
+
 
 def mixed(x: str) -> str:
     """The 32-bit mixer in the oracle's unsigned numbers."""
@@ -467,6 +531,9 @@ REGISTRY |= {
     "seeded_permutation": Query("O7 F4", seeded_permutation, PERMUTATION),
     "initial_scene": Query("S23 F4", initial_scene, INITIAL),
     "tie_order_scores": Query("O11 E1", tie_order_scores, TRIALS),
+    "open_vocabulary": Query("E5 A34 W9 E3", open_vocabulary, OPEN_VOCABULARY),
+    "open_vocabulary_summary": Query("E5 A27", open_vocabulary_summary, OPEN_SUMMARY),
+    "grounded_selection": Query("E4 A7 U1 W11", grounded_selection, GROUNDED),
     "pca_rgb": Query("P8 A33 A20", pca_rgb, None),
     "up_direction": Query("A32", up_direction, None),
     "felzenszwalb": Query("G4", felzenszwalb_labels, None),
