@@ -30,18 +30,25 @@ SPACE = chr(STAND_IN[32])
 
 
 class Chunks(dict):
-    """chunk -> ids as little-endian uint32 bytes; None where the chunk can't stand alone."""
+    """chunk -> ids as little-endian uint32 bytes; None where the chunk can't stand alone.
+
+    When it is full it becomes the older generation, from which chunks that come again are taken back; so at most twice
+    CACHE_CHUNKS are held, and what is frequent is never forgotten.
+    """
 
     def __init__(self, encode, prefix: str):
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.encode, self.prefix, self.old = encode, prefix, {}
 
     def __missing__(self, chunk: str) -> bytes | None:
-        if self.prefix and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
-            return None
-        found = self.encode(chunk)
+        found = self.old.get(chunk)
+        if found is None:
+            if self.prefix and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
+                return None
+            found = self.encode(chunk)
         if len(chunk) <= CHUNK_CHARS:
             if len(self) >= CACHE_CHUNKS:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = found
         return found
@@ -77,10 +84,13 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def fresh(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model(self.stand_ins(piece))]).tobytes()
+
     def piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = array("I", [t.id for t in self.model(self.stand_ins(piece))]).tobytes()
+            found = self.fresh(piece)
             if len(piece) <= CHUNK_CHARS:
                 if len(self.pieces) >= CACHE_PIECES:
                     self.pieces.clear()
@@ -99,7 +109,7 @@ class Encoder:
         if not plain and (max(chunk) >= "\u0250" or "\u0130" in chunk):
             return self.whole(self.chunks.prefix + chunk)
         if self.letters and chunk.isalpha():
-            return self.piece(self.chunks.prefix + (chunk.lower() if self.lower else chunk))
+            return self.fresh(self.chunks.prefix + (chunk.lower() if self.lower else chunk))
         if chunk[-1:] in self.tails and chunk[:-1].isalpha():
             return self.chunks[chunk[:-1]] + self.piece(chunk[-1])
         if not (chunk and (chunk.isprintable() or chunk.replace("\n", "").isprintable())):
