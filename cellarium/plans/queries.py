@@ -299,6 +299,30 @@ def grounded_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scored(maps, truth, chosen, width, height))
 
 
+def capture_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes as the views of four captures, written in the binary form and decoded from it: places and directions of cameras."""
+    from cellarium.operators.graph import durable
+    from cellarium.sources.captures import decoded, packed_views, posed
+
+    probes = fixtures.run(spark, sf_dir, "SELECT probe_id, x, y, z FROM probes")
+    views = probes.select(F.concat(F.lit("scene"), F.col("probe_id") % 8).alias("scene"), F.col("probe_id").cast("int").alias("image_id"), F.concat(F.lit("frame_"), F.col("probe_id"), F.lit(".jpg")).alias("name"), F.lit(1).alias("camera_id"), F.array(F.lit(1.0), "x", "y", "z").alias("q"), F.array("z", "x", "y").alias("t"))
+    rows, _ = decoded(durable(packed_views(views)), "images")
+    return posed(rows).select("scene", "image_id", "name", *[F.round(c, 6).alias(c) for c in "xyz"], *[F.round(F.col("forward")[i], 6).alias(f"f{c}") for i, c in enumerate("xyz")])
+
+
+def ply_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells and their neighbours written as PLY text and read back."""
+    from cellarium.operators.graph import shared_path
+    from cellarium.sources.ply import read_ply, write_ply
+
+    cells = fixtures.run(spark, sf_dir, "SELECT cell_id AS id, x, y, z, density, feat FROM cells").select("id", *"xyz", "density", F.slice("feat", 1, 3).alias("dc"), F.slice("feat", 4, 2).alias("sh"), F.slice("feat", 6, 11).alias("feat"))
+    path = shared_path(spark, "ply")
+    write_ply(cells, fixtures.run(spark, sf_dir, "SELECT u AS a, v AS b FROM edges UNION ALL SELECT v, u FROM edges"), path)
+    rows, near = read_ply(spark, path)
+    mean = near.groupBy(F.col("a").alias("vertex")).agg(F.sum("b").alias("neighbours"))
+    return rows.join(mean, "vertex", "left").select("vertex", *[F.round(c, 4).alias(c) for c in "xyz"], "red", "green", "blue", "adjacency_offset", F.round("feat_10", 4).alias("feat_10"), "neighbours")
+
+
 def hashed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many batches of 64 rows as make one pass over the table, drawn with replacement, and the same in order."""
     from cellarium.operators.seeded import batches
@@ -456,6 +480,15 @@ GROUNDED = fixtures.oracle(f"WITH {_TRUTH}, {_AREA}, {_SCORES}" + """, wide AS (
   top AS (SELECT * FROM wi QUALIFY row_number() OVER (PARTITION BY frame_idx, category ORDER BY wiou DESC, d) = 1)
   SELECT v.frame_idx, v.category, round(v.iou, 9) AS iou, round(biou, 9) AS boundary_iou, round(oracle, 9) AS oracle, round(unclaimed, 9) AS unclaimed, CASE WHEN wiou > v.iou THEN d ELSE 0 END AS radius, round(greatest(v.iou, coalesce(wiou, 0)), 9) AS iou_dilated FROM every v LEFT JOIN top ON top.frame_idx = v.frame_idx AND top.category = v.category""")
 
+CAPTURES = fixtures.oracle("""WITH u AS (SELECT *, sqrt(1 + x * x + y * y + z * z) AS n FROM probes), q AS (SELECT probe_id, z AS t1, x AS t2, y AS t3, 1 / n AS w, x / n AS x, y / n AS y, z / n AS z FROM u)
+  SELECT 'scene' || (probe_id % 8) AS scene, CAST(probe_id AS INT) AS image_id, 'frame_' || probe_id || '.jpg' AS name,
+    round(-((1 - 2 * (y * y + z * z)) * t1 + 2 * (x * y + w * z) * t2 + 2 * (x * z - w * y) * t3), 6) AS x, round(-(2 * (x * y - w * z) * t1 + (1 - 2 * (x * x + z * z)) * t2 + 2 * (y * z + w * x) * t3), 6) AS y,
+    round(-(2 * (x * z + w * y) * t1 + 2 * (y * z - w * x) * t2 + (1 - 2 * (x * x + y * y)) * t3), 6) AS z, round(2 * (x * z - w * y), 6) AS fx, round(2 * (y * z + w * x), 6) AS fy, round(1 - 2 * (x * x + y * y), 6) AS fz FROM q""")
+PLY = fixtures.oracle("""WITH n AS (SELECT a, count(*) AS degree FROM (SELECT u AS a FROM edges UNION ALL SELECT v FROM edges) x GROUP BY a), c AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id) - 1 AS vertex, x, y, z, feat, coalesce(degree, 0) AS degree FROM cells LEFT JOIN n ON a = cell_id),
+  s AS (SELECT p.vertex, sum(q.vertex) AS neighbours FROM (SELECT u AS a, v AS b FROM edges UNION ALL SELECT v, u FROM edges) e JOIN c p ON p.cell_id = a JOIN c q ON q.cell_id = b GROUP BY p.vertex)
+  SELECT c.vertex, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, CAST(floor(least(greatest(255 * (0.5 + feat[1] * sqrt(1 / pi()) / 2), 0), 255)) AS BIGINT) AS red, CAST(floor(least(greatest(255 * (0.5 + feat[2] * sqrt(1 / pi()) / 2), 0), 255)) AS BIGINT) AS green,
+    CAST(floor(least(greatest(255 * (0.5 + feat[3] * sqrt(1 / pi()) / 2), 0), 255)) AS BIGINT) AS blue, CAST(sum(degree) OVER (ORDER BY c.vertex) AS BIGINT) AS adjacency_offset, round(feat[16], 4) AS feat_10, CAST(neighbours AS BIGINT) AS neighbours FROM c LEFT JOIN s ON s.vertex = c.vertex""")
+
 
 def mixed(x: str) -> str:
     """The 32-bit mixer in the oracle's unsigned numbers."""
@@ -534,6 +567,8 @@ REGISTRY |= {
     "open_vocabulary": Query("E5 A34 W9 E3", open_vocabulary, OPEN_VOCABULARY),
     "open_vocabulary_summary": Query("E5 A27", open_vocabulary_summary, OPEN_SUMMARY),
     "grounded_selection": Query("E4 A7 U1 W11", grounded_selection, GROUNDED),
+    "capture_views": Query("S1 S2", capture_views, CAPTURES),
+    "ply_vertices": Query("K1 W6", ply_vertices, PLY),
     "pca_rgb": Query("P8 A33 A20", pca_rgb, None),
     "up_direction": Query("A32", up_direction, None),
     "felzenszwalb": Query("G4", felzenszwalb_labels, None),
