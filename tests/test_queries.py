@@ -82,16 +82,11 @@ def test_rle_round_trip(spark):
     assert rows(decode_rle(masks).toPandas()) == rows(fixture(spark, SF, "mask_pixels").toPandas())
 
 
-def test_tracker_steps_and_stream(spark, tmp_path):
+def test_tracker_steps():
     frames = [(1, f, o, 1.0 - o / 10) for f, seen in enumerate([[1, 2], [1, 3], [1], [1], [2]]) for o in seen]
     out, tracks, following = tracker.step(1, pd.DataFrame(frames, columns=["scene", "frame", "object", "score"]), {}, 0, 2, 2)
     assert [(f, o, e) for _, f, o, _, e in out] == [(0, 1, "promoted"), (0, 2, "promoted"), (1, 3, "dropped"), (3, 2, "stale"), (4, 2, "promoted")]
     assert following == 3 and tracks[2] == (2, 4)
-    schema = "scene long, frame long, object long, score double"
-    spark.createDataFrame(frames, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    q = tracker.track(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 2, 2).writeStream.format("memory").queryName("tracks").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("tracks").count() == 5
 
 
 def test_frame_upsert(spark, tmp_path):
