@@ -323,6 +323,35 @@ def ply_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(mean, "vertex", "left").select("vertex", *[F.round(c, 4).alias(c) for c in "xyz"], "red", "green", "blue", "adjacency_offset", F.round("feat_10", 4).alias("feat_10"), "neighbours")
 
 
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return fixtures.run(spark, sf_dir, "SELECT cell_id AS id, x, y, z FROM cells"), fixtures.run(spark, sf_dir, "SELECT probe_id AS q, x, y, z FROM probes")
+
+
+def cells_within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells around each probe, by the box hierarchy; a probe's radius follows from its place."""
+    from cellarium.operators.boxes import built, within
+
+    cells, probes = _boxes(spark, sf_dir)
+    found = within(built(cells), probes.withColumn("r", 0.2 + F.abs("x") / 4))
+    return found.select(F.col("q").alias("probe_id"), F.col("id").alias("cell_id"), F.round("d", 6).alias("d"))
+
+
+def nearest_by_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.boxes import built, nearest
+
+    cells, probes = _boxes(spark, sf_dir)
+    return nearest(built(cells), probes).select(F.col("q").alias("probe_id"), F.col("id").alias("cell_id"), F.round("d", 6).alias("d"))
+
+
+def label_box_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed distance of each probe to the box of each label's cells."""
+    from cellarium.operators.boxes import signed_distance
+
+    box = fixtures.run(spark, sf_dir, "SELECT label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM cells c JOIN cell_labels l ON l.cell_id = c.cell_id WHERE label >= 0 GROUP BY label")
+    d = signed_distance([F.col(c) for c in "xyz"], *[[F.col(f"{c}{k}") for c in "xyz"] for k in (0, 1)])
+    return _boxes(spark, sf_dir)[1].crossJoin(F.broadcast(box)).select(F.col("q").alias("probe_id"), "label", F.round(d, 6).alias("d"))  # a row a label
+
+
 def hashed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many batches of 64 rows as make one pass over the table, drawn with replacement, and the same in order."""
     from cellarium.operators.seeded import batches
@@ -489,6 +518,13 @@ PLY = fixtures.oracle("""WITH n AS (SELECT a, count(*) AS degree FROM (SELECT u
   SELECT c.vertex, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, CAST(floor(least(greatest(255 * (0.5 + feat[1] * sqrt(1 / pi()) / 2), 0), 255)) AS BIGINT) AS red, CAST(floor(least(greatest(255 * (0.5 + feat[2] * sqrt(1 / pi()) / 2), 0), 255)) AS BIGINT) AS green,
     CAST(floor(least(greatest(255 * (0.5 + feat[3] * sqrt(1 / pi()) / 2), 0), 255)) AS BIGINT) AS blue, CAST(sum(degree) OVER (ORDER BY c.vertex) AS BIGINT) AS adjacency_offset, round(feat[16], 4) AS feat_10, CAST(neighbours AS BIGINT) AS neighbours FROM c LEFT JOIN s ON s.vertex = c.vertex""")
 
+_ALL = "SELECT probe_id, cell_id, sqrt(pow(p.x - c.x, 2) + pow(p.y - c.y, 2) + pow(p.z - c.z, 2)) AS d, 0.2 + abs(p.x) / 4 AS r FROM probes p JOIN cells c ON true"
+WITHIN = fixtures.oracle(f"SELECT probe_id, cell_id, round(d, 6) AS d FROM ({_ALL}) a WHERE d <= r")
+NEAREST = fixtures.oracle(f"SELECT probe_id, arg_min(cell_id, d) AS cell_id, round(min(d), 6) AS d FROM ({_ALL}) a GROUP BY probe_id")
+BOX = fixtures.oracle("""WITH b AS (SELECT label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM cells c JOIN cell_labels l ON l.cell_id = c.cell_id WHERE label >= 0 GROUP BY label),
+  d AS (SELECT probe_id, label, abs(x - (x0 + x1) / 2) - (x1 - x0) / 2 AS a, abs(y - (y0 + y1) / 2) - (y1 - y0) / 2 AS b, abs(z - (z0 + z1) / 2) - (z1 - z0) / 2 AS c FROM probes JOIN b ON true)
+  SELECT probe_id, label, round(CASE WHEN greatest(a, b, c) <= 0 THEN greatest(a, b, c) ELSE sqrt(pow(greatest(a, 0), 2) + pow(greatest(b, 0), 2) + pow(greatest(c, 0), 2)) END, 6) AS d FROM d""")
+
 
 def mixed(x: str) -> str:
     """The 32-bit mixer in the oracle's unsigned numbers."""
@@ -569,6 +605,9 @@ REGISTRY |= {
     "grounded_selection": Query("E4 A7 U1 W11", grounded_selection, GROUNDED),
     "capture_views": Query("S1 S2", capture_views, CAPTURES),
     "ply_vertices": Query("K1 W6", ply_vertices, PLY),
+    "cells_within_radius": Query("A31 F6 J12", cells_within_radius, WITHIN),
+    "nearest_by_boxes": Query("A31 J6 O1", nearest_by_boxes, NEAREST),
+    "label_box_distance": Query("F6", label_box_distance, BOX),
     "pca_rgb": Query("P8 A33 A20", pca_rgb, None),
     "up_direction": Query("A32", up_direction, None),
     "felzenszwalb": Query("G4", felzenszwalb_labels, None),
