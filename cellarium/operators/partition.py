@@ -62,6 +62,31 @@ def multicut(nodes: DataFrame, edges: DataFrame, min_size: int = 1, safe: float
     return relabel(final.join(least, "comp").select("id", F.col("least").alias("comp")), min_size)
 
 
+def multicut_rounds(nodes: DataFrame, edges: DataFrame, min_size: int = 1) -> DataFrame:
+    """Labels (id, label) of a multicut of edges (u, v, w) in parallel rounds; no task holds a component.
+
+    A round contracts every positive edge that is the heaviest at both its ends, ties to the least ends, and sums edges that
+    become parallel, until none is positive. The sequential greedy takes these edges too, but one at a time: a contraction
+    elsewhere may come first there and change an edge's sum, so on some graphs the two part differently.
+    """
+    cut = edges.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("w").alias("w"))
+    cut, comps = durable(cut), nodes.select("id", F.col("id").alias("comp")).distinct()
+    while True:
+        rank = F.struct("w", (-F.col("u")).alias("a"), (-F.col("v")).alias("b"))
+        rising = cut.where("w > 0")
+        ends = rising.select(F.col("u").alias("end"), rank.alias("r")).union(rising.select("v", rank))
+        top = ends.groupBy("end").agg(F.max("r").alias("r")).select((-F.col("r.a")).alias("u"), (-F.col("r.b")).alias("v"))
+        pairs = durable(top.groupBy("u", "v").count().where("count = 2").select("u", "v"))
+        if not pairs.limit(1).count():
+            break
+        move = pairs.select(F.col("v").alias("gone"), F.col("u").alias("to"))
+        for end in "uv":
+            cut = cut.join(move.withColumnRenamed("gone", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        cut = durable(cut.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("w").alias("w")))
+        comps = durable(comps.join(move.withColumnRenamed("gone", "comp"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
+    return relabel(comps, min_size)
+
+
 def felzenszwalb(nodes: DataFrame, edges: DataFrame, k: float = 0.02, min_size: int = 1) -> DataFrame:
     """Merges along edges (u, v, d) in ascending order where d is at most both sides' greatest inner edge plus k over their size.
 
@@ -195,6 +220,8 @@ def partition(method: str, nodes: DataFrame, edges: DataFrame, min_size: int = 1
             top = edges.agg(F.max("solid")).first()[0] or 1.0
             w = w * F.col("solid") / top
         return multicut(nodes, edges.select("u", "v", w.alias("w")), min_size, tau / 2 if not options.get("occupancy") else None)
+    if method == "multicut_rounds":
+        return multicut_rounds(nodes, edges.select("u", "v", (options["tau"] - F.col("d")).alias("w")), min_size)
     if method == "multicut_logodds":
         return multicut(nodes, distance_log_odds(edges).select("u", "v", "w"), min_size, safe=6.0)
     if method == "multicut_votes" and votes is not None:

@@ -93,6 +93,12 @@ def multicut_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multicut(_nodes(spark, sf_dir), fixtures.run(spark, sf_dir, "SELECT u, v, 0.9 - d AS w FROM edge_d"), safe=0.45)
 
 
+def multicut_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellarium.operators.partition import partition
+
+    return partition("multicut_rounds", _nodes(spark, sf_dir), _all_edges(spark, sf_dir), 1, tau=0.9)
+
+
 def multicut_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cellarium.operators.partition import multicut
 
@@ -580,6 +586,7 @@ REGISTRY |= {
     "hdbscan_labels": Query("G13 J20", hdbscan_labels, None),
     "hdbscan_leaves": Query("G13", hdbscan_leaves, None),
     "multicut_tau": Query("G5 G6", multicut_tau, None),
+    "multicut_rounds": Query("G5 G10", multicut_in_rounds, None),
     "multicut_votes": Query("G9", multicut_votes, None),
     "multicut_logodds": Query("G7 A17", multicut_logodds, None),
     "multicut_evidence": Query("G8 G10 A15 A16 A19", multicut_evidence, None),

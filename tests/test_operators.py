@@ -52,6 +52,41 @@ def test_multicut(spark, safe):
     assert groups(got) == groups(want)
 
 
+def rounds_by_hand(edges: list) -> dict:
+    comp = {n: n for e in edges for n in e[:2]}
+    while True:
+        sums, top = {}, {}
+        for u, v, w in edges:
+            a, b = sorted((comp[u], comp[v]))
+            if a != b:
+                sums[a, b] = sums.get((a, b), 0) + w
+        for (a, b), w in sums.items():
+            if w > 0:
+                for n in (a, b):
+                    top[n] = max(top.get(n, (0,)), (w, -a, -b))
+        pairs = [(a, b) for (a, b), w in sums.items() if top.get(a) == top.get(b) == (w, -a, -b)]
+        if not pairs:
+            return comp
+        to = {b: a for a, b in pairs}
+        comp = {n: to.get(c, c) for n, c in comp.items()}
+
+
+@pytest.mark.parametrize("planted", [False, True])
+def test_multicut_in_rounds(spark, planted):
+    """Equal to the rule by hand; on planted parts, equal to the sequential greedy too, with all attraction in one component."""
+    if planted:
+        rng = np.random.default_rng(6)
+        edges = [(u, v, float(rng.uniform(0.5, 2) if u // 12 == v // 12 else rng.normal(-0.6, 0.4))) for u, v in itertools.combinations(range(48), 2) if rng.random() < 0.5]
+    else:
+        edges = random_edges(3, 24, 0.3, -0.2)
+    want = rounds_by_hand(edges)
+    got = {r.id: r.label for r in partition.multicut_rounds(spark.range(48 if planted else 24), spark.createDataFrame(edges, "u long, v long, w double")).collect()}
+    assert groups({n: got[n] for n in want}) == groups(want)
+    greedy = naive_contract(edges)
+    cost = lambda comp: sum(w for u, v, w in edges if comp[u] != comp[v])
+    assert groups(want) == groups(greedy) if planted else cost(want) <= 0.9 * cost(greedy)
+
+
 def inner_difference(members: set, edges: list) -> float:
     """The greatest edge of a minimum spanning tree of a component."""
     tree, top = {n: {n} for n in members}, 0.0
