@@ -25,9 +25,22 @@ from pyspark.sql import functions as F
 from .common import is_small, stored
 from .components import components
 
+#: Rows that Spark hands to a Python worker at a time: whole texts and their sets are large, and both sides hold a batch.
+RECORDS, RECORDS_CONF = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 SAMPLE, OFTEN, CENTRES, BITS = 4096, 8, 8, 1024
 
 
+def in_small_batches(df: DataFrame, name: str) -> DataFrame:
+    """`stored`, with RECORDS rows a batch; the session's setting is as before afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(RECORDS_CONF)
+    conf.set(RECORDS_CONF, str(RECORDS))
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(RECORDS_CONF, before)
+
+
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """The different shingles' XXH64, ascending. A-Z lower-cased, words between white space."""
     from xxhash import xxh64_intdigest
@@ -111,9 +124,9 @@ def verified(pairs: DataFrame, documents: DataFrame, docs: DataFrame, words: int
     pairs = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(near, "a long, b long"), "near")
     own = members(pairs).select("h", "node")
     texts = documents.select("text", F.xxhash64("text").alias("h")).join(F.broadcast(own) if is_small(own) else own.hint("merge"), "h").select("node", "text").dropDuplicates(["node"])
-    sets = stored(texts.mapInArrow(owned, "node long, own binary"), "sets")
+    sets = in_small_batches(texts.mapInArrow(owned, "node long, own binary"), "sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("own").alias("x")), sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
-    return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "similar")
+    return in_small_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "similar")
 
 
 def similar(documents: DataFrame, words: int = 5, least: str = "0.8") -> DataFrame:
@@ -132,7 +145,7 @@ def similar(documents: DataFrame, words: int = 5, least: str = "0.8") -> DataFra
                 first = [prefix(s, often, share).view(np.int64) for s in own]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), pa.array([len(s) for s in own], pa.int32()), pa.array([parity(s) for s in own], pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "n", "parity", "first"])
 
-    docs = stored(documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(rows, "doc_id long, h long, node long, n int, parity binary, first array<long>"), "shingles")
+    docs = in_small_batches(documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(rows, "doc_id long, h long, node long, n int, parity binary, first array<long>"), "shingles")
     keyed = docs.select("node", "n", F.posexplode("first").alias("pos", "s"))
     of = Window.partitionBy("s")  # equal sets are one node, and have equal prefixes
     shared = keyed.select("s", "node", "n", "pos", F.min("node").over(of).alias("low"), F.max("node").over(of).alias("top"))
