@@ -55,9 +55,12 @@ def meet(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
 def skewed(rows: DataFrame, side: DataFrame, on: str, weight: str, total: int) -> DataFrame:
     """rows joined with side, one row a key, whose column `weight` counts the rows of each key, of `total` in all.
 
-    Keys with more than one in HEAVY of all rows, which are fewer than HEAVY keys, are broadcast; the others are shuffled.
+    Keys with more than one in HEAVY of all rows, which are fewer than HEAVY keys, are broadcast; the others are shuffled. Where
+    there is none, one join does it. side is read up to three times: stored, if it isn't cheap.
     """
     heavy = side.where(F.col(weight) * HEAVY > total)
+    if not heavy.limit(1).count():
+        return rows.join(side.hint("merge"), on)
     light = side.where(F.col(weight) * HEAVY <= total).hint("merge")
     often = rows.join(F.broadcast(heavy), on)
     return often.unionByName(rows.join(F.broadcast(heavy.select(on)), on, "left_anti").join(light, on))

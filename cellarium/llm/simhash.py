@@ -138,7 +138,7 @@ def near_duplicates(documents: DataFrame, words: int = 4, within: int = 4) -> Da
     docs = stored(fingerprints(documents, words), "fingerprints")
     own = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     nodes = stored(components(links(own, within)).join(own.withColumnRenamed("fp", "node"), "node"), "components")
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    least = stored(nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "least")
     linked = skewed(nodes.select("node", "root"), least, "root", "members", nodes.count()).select(F.col("node").alias("fp"), "root", "component_id")
     every = own.join(linked, "fp", "left").select("fp", "n", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
     return skewed(docs, stored(every, "members"), "fp", "n", docs.count()).select("doc_id", "fp", "component_id", "root", "h")
