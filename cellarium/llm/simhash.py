@@ -29,6 +29,15 @@ LOW = 0x5555555555555555
 CENTRES, BLOCK = 4, 1 << 16
 
 
+def bits_set(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = 4) -> int:
     """A-Z lower-cased, words between white space; a bit is 1 if set in over half of the shingles' XXH64."""
     from xxhash import xxh64_intdigest
@@ -44,9 +53,8 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     first, last = (stop - size)[: len(w) - words + 1].tolist(), stop[words - 1 :].tolist()
     ones = np.zeros(64, np.int64)
     for at in range(0, len(first), BLOCK):
-        h = [xxh64_intdigest(joined[a:b], 42) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)]
-        ones += np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(first), bitorder="little").view("<u8")[0])
+        ones += bits_set(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], "<u8"))
+    return majority(ones, len(first))
 
 
 def fingerprints(documents: DataFrame, words: int = 4) -> DataFrame:
@@ -117,14 +125,18 @@ def range_join(a: DataFrame, b: DataFrame, within: int, more: Column | None = No
     return a.join(b, on).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
 
 
+def stars(points: DataFrame, within: int = 4) -> DataFrame:
+    """Pairs a < b of different fingerprints (column fp) within `within` bits: each with the few centres of the cells it reaches."""
+    points = points.select("fp")
+    place = F.row_number().over(Window.partitionBy("c", "cell").orderBy(F.xxhash64("fp"), "fp"))  # cut down before the shuffle
+    centres = grid(points, within, False).withColumn("place", place).where(F.col("place") <= CENTRES).drop("place")
+    return stored(range_join(grid(points, within, True), centres, within), "stars")
+
+
 def links(distinct: DataFrame, within: int = 4) -> DataFrame:
     """Pairs a < b of different fingerprints (column fp) that differ in `within` bits or fewer: as many as hold each component together."""
     points = distinct.select("fp")
-    own = grid(points, within, False)
-    place = F.row_number().over(Window.partitionBy("c", "cell").orderBy(F.xxhash64("fp"), "fp"))  # cut down before the shuffle
-    centres = own.withColumn("place", place).where(F.col("place") <= CENTRES).drop("place")
-    stars = stored(range_join(grid(points, within, True), centres, within), "stars")
-    roots = stored(components(stars), "roots")
+    roots = stored(components(stars(points, within)), "roots")
     placed = stored(points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "placed")
     own, near = grid(placed, within, False), grid(placed, within, True)
     # cells where all rows, and all that reach them, are in one component have nothing to add

@@ -39,7 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups link rows whose 5-word shingles have a Jaccard similarity of 0.8 or more.
+    """Groups link rows whose 5-word shingles have a Jaccard similarity of 0.8 or more, op3's candidates compared first.
 
     Of each the row with the smallest id stays; a row without an id only where no other one has an id. What is dropped
     grows with the corpus and meets the texts by a shuffle at every size.

@@ -130,6 +130,31 @@ def test_shingle_groups_are_those_of_brute_force(spark):
     assert shingles.similar(table.limit(0)).count() == 0
 
 
+def test_near_dedup_compares_the_candidates_of_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = [rng.choices(vocab, k=150) for _ in range(12)]
+    change = lambda t, share: [rng.choice(vocab) if rng.random() < share else x for x in t]
+    table = docs(spark, [" ".join(t) for b in base for t in (b, b, [*b, "z"], change(b, 0.005), change(b, 0.02))] + [None, "", "a b"])
+    groups = lambda rows: Counter(frozenset(r.doc_id for r in rows if r.root == k) for k in {r.root for r in rows})
+    calls, verified, by_fingerprints = [], shingles.verified, shingles.by_fingerprints
+
+    def spied(pairs, documents, sets, words, share):
+        found = verified(pairs, documents, sets, words, share)
+        calls.append(({(r.a, r.b) for r in pairs.collect()}, {r.node: r.fp % (1 << 64) for r in sets.collect()}, found.count()))
+        return found
+
+    monkeypatch.setattr(shingles, "verified", spied)
+    whole = groups(shingles.similar(table).collect())
+    pairs, fps, linked = calls[0]
+    near = {(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4}
+    assert len(pairs) > 10 and pairs <= near and linked > 10
+    assert roots(fps, pairs) == roots(fps, near)
+    # what the fingerprints miss is found by prefixes
+    monkeypatch.setattr(shingles, "by_fingerprints", lambda sets: by_fingerprints(sets).limit(0))
+    assert groups(shingles.similar(table).collect()) == whole
+
+
 def test_quality_learns_and_handles_edges(spark):
     rng = random.Random(4)
     good = [" ".join(rng.choices(["the", "of", "house", "reading", "over", "tree."], k=rng.randint(20, 60))) for _ in range(300)]
