@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import encoder
+from .tokens import CACHE_CHUNKS, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -199,10 +199,10 @@ def places(plan: Plan) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "base", "each", "at"), np.array(rows, np.int64).reshape(-1, 5).T, strict=True))
 
 
-def cut(documents: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFrame:
+def cut(documents: DataFrame, tokenizer: str, end: int, capacity: int, chunks: int = CACHE_CHUNKS) -> DataFrame:
     """Pieces with their rank among those of the same length in the same task."""
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
+        enc, part, seen = encoder(tokenizer, chunks), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 docs, texts = batch.column(0)[at : at + 512], batch.column(1)[at : at + 512].to_pylist()
@@ -222,8 +222,8 @@ def cut(documents: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFr
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES)
 
 
-def pack(documents: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, nodes: int | None = 20_000) -> DataFrame:
-    pieces = stored(cut(documents, tokenizer, end, capacity), "pieces")
+def pack(documents: DataFrame, tokenizer: str, end: int = 2, capacity: int = 1024, nodes: int | None = 20_000, chunks: int = CACHE_CHUNKS) -> DataFrame:
+    pieces = stored(cut(documents, tokenizer, end, capacity, chunks), "pieces")
     here = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r[0]: r[1] for r in here.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     at = places(bin_completion(counts, capacity, nodes))

@@ -33,12 +33,12 @@ class Chunks(dict):
     """chunk -> ids as little-endian uint32 bytes; None where the chunk can't stand alone.
 
     When it is full it becomes the older generation, from which chunks that come again are taken back; so at most twice
-    CACHE_CHUNKS are held, and what is frequent is never forgotten.
+    `most` are held, and what is frequent is never forgotten.
     """
 
-    def __init__(self, encode, prefix: str):
+    def __init__(self, encode, prefix: str, most: int):
         super().__init__()
-        self.encode, self.prefix, self.old = encode, prefix, {}
+        self.encode, self.prefix, self.most, self.old = encode, prefix, most, {}
 
     def __missing__(self, chunk: str) -> bytes | None:
         found = self.old.get(chunk)
@@ -47,7 +47,7 @@ class Chunks(dict):
                 return None
             found = self.encode(chunk)
         if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= CACHE_CHUNKS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[chunk] = found
@@ -55,7 +55,9 @@ class Chunks(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """chunks: at most twice so many are held, and at most half as many pieces; a worker that turns to other work still holds them."""
+
+    def __init__(self, path: str, chunks: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,8 +76,9 @@ class Encoder:
             self.kind = "dropped"
         self.lower, self.model = self.kind == "dropped", self.tokenizer.model.tokenize
         self.split = regex.compile(steps[0]["pattern"]["Regex"] if self.kind == "dropped" else BYTE_LEVEL).findall
-        self.chunks = Chunks(self.chunk, " " if self.kind == "prefix" else "")
+        self.chunks = Chunks(self.chunk, " " if self.kind == "prefix" else "", chunks)
         self.pieces: dict[str, bytes] = {}
+        self.most_pieces = min(CACHE_PIECES, chunks // 2)
         #: Whether a run of Latin letters is one piece, and the marks that are one piece of their own after such a run.
         latin = string.ascii_lowercase + "éßøæłž"
         self.letters = self.split(latin) == [latin]
@@ -92,7 +95,7 @@ class Encoder:
         if found is None:
             found = self.fresh(piece)
             if len(piece) <= CHUNK_CHARS:
-                if len(self.pieces) >= CACHE_PIECES:
+                if len(self.pieces) >= self.most_pieces:
                     self.pieces.clear()
                 self.pieces[piece] = found
         return found
@@ -141,14 +144,14 @@ class Encoder:
         return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker and tokenizer, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, chunks: int = CACHE_CHUNKS) -> Encoder:
+    """One per worker, tokenizer and size, kept between tasks."""
+    if (path, chunks) not in _encoders:
+        _encoders[path, chunks] = Encoder(path, chunks)
+    return _encoders[path, chunks]
 
 
 def public_path(name: str) -> str:

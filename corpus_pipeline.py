@@ -22,6 +22,8 @@ from cellarium.llm.shingles import similar
 from cellarium.llm.tokens import public_path
 
 NO_ID = -(1 << 63)
+#: Chunks that a worker's tokenizer remembers, times two: the stages share the workers, which keep them to the end.
+CHUNKS = 100_000
 
 
 def id_of(c: str = "doc_id"):
@@ -70,7 +72,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, public_path("byte_bpe_50k.json"), end=2, capacity=1024)
+    return pack(docs, public_path("byte_bpe_50k.json"), end=2, capacity=1024, chunks=CHUNKS)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]

@@ -155,6 +155,17 @@ def test_near_dedup_compares_the_candidates_of_fingerprints_first(spark, monkeyp
     assert groups(shingles.similar(table).collect()) == whole
 
 
+def test_the_sample_of_texts_goes_through_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "SAMPLE", 100)
+    table = docs(spark, [f"text {i % 1500}" for i in range(2000)] + [None, None, ""])
+    got = [r.text for r in shingles.sampled(table).collect()]
+    assert 40 < len(got) < 160 and len(set(got)) == len(got)
+    plan = shingles.sampled(table)._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "Limit" not in plan
+    assert {r.text for r in shingles.sampled(table.limit(90)).collect()} == {r.text for r in table.limit(90).collect()}
+    assert shingles.sampled(table.limit(0)).count() == 0
+
+
 def test_quality_learns_and_handles_edges(spark):
     rng = random.Random(4)
     good = [" ".join(rng.choices(["the", "of", "house", "reading", "over", "tree."], k=rng.randint(20, 60))) for _ in range(300)]

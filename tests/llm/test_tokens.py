@@ -193,3 +193,12 @@ def test_pack(spark):
         assert at <= 1024
     assert len(seqs) <= -(-sum(r.length for r in got) // 1024) + 2
     assert packing.pack(spark.createDataFrame([], DOCS), public_path("byte_bpe_50k.json")).count() == 0
+
+
+def test_a_small_cache_gives_the_same_ids_and_stays_small():
+    path = public_path("byte_bpe_50k.json")
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) + rng.choice(["", ".", "-x1", "é"]) for _ in range(200)) for _ in range(20)]
+    small, large = Encoder(path, 100), Encoder(path)
+    assert [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
+    assert len(small.chunks) <= 100 and len(small.chunks.old) <= 100 and len(small.pieces) <= 50 < len(large.pieces)
