@@ -155,6 +155,41 @@ def test_near_dedup_compares_the_candidates_of_fingerprints_first(spark, monkeyp
     assert groups(shingles.similar(table).collect()) == whole
 
 
+def test_edits_of_one_text_are_compared_with_it_and_not_with_each_other(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    edits = [[f"e{k}-{i}" if i in at else w for i, w in enumerate(base)] for k in range(200) for at in [rng.sample(range(10, 140), 3)]]
+    rows, verified = [], shingles.verified
+
+    def spied(pairs, *more):
+        rows.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(shingles, "verified", spied)
+    got = shingles.similar(docs(spark, [" ".join(t) for t in (base, *edits)])).collect()
+    assert len({r.root for r in got}) == 1 and len(got) == 201
+    assert sum(rows) < 10 * 201, rows  # of 20,100 pairs
+
+
+def test_pairs_left_at_last_lose_no_link(spark, monkeypatch):
+    """With no centres nor fingerprints all is left to the prefixes' common elements; sets of all sizes, at and around the bound."""
+    rng = random.Random(6)
+    monkeypatch.setattr(shingles, "CENTRES", 0)
+    by_fingerprints = shingles.by_fingerprints
+    monkeypatch.setattr(shingles, "by_fingerprints", lambda sets: by_fingerprints(sets).limit(0))
+    texts = []
+    for k, size in enumerate([5, 6, 8, 9, 12, 14, 20, 31, 49, 50, 80, 140]):
+        base = [f"w{k}-{i}" for i in range(size)]
+        texts += [base, *[base + [f"z{k}-{i}" for i in range(n)] for n in range(1, 1 + size // 3)], *[base[n:] for n in range(1, size // 4)]]
+        texts += [[f"e{k}-{n}-{i}" if i in at else w for i, w in enumerate(base)] for n in range(12) for at in [rng.sample(range(size), min(size, 1 + n % 3))]]
+    texts = [" ".join(t) for t in texts]
+    sets = [set(shingles.shingles(t).tolist()) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    of, got = roots(range(len(texts)), pairs), {r.doc_id: r.root for r in shingles.similar(docs(spark, texts)).collect()}
+    groups = lambda m: Counter(frozenset(i for i in m if m[i] == r) for r in set(m.values()))
+    assert groups(got) == groups(of)
+
+
 def test_the_sample_of_texts_goes_through_no_single_task(spark, monkeypatch):
     monkeypatch.setattr(shingles, "SAMPLE", 100)
     table = docs(spark, [f"text {i % 1500}" for i in range(2000)] + [None, None, ""])
