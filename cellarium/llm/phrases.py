@@ -33,8 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .shingles import in_small_batches
 
 BLOCK, PART_WORDS = 8 << 20, 2_000_000
+#: Blocks that Spark hands to a Python worker at a time: a block's row has megabytes.
+RECORDS = 4
 #: No byte of UTF-8: stands for the end of a piece.
 END = b"\xff"
 TO_END = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", END * 10)
@@ -45,8 +48,8 @@ NAMES = "block long, part int, ids binary, lefts binary, rights binary, counts b
 
 def pressed(*columns: np.ndarray) -> bytes:
     """Columns of int64, all of one length, compressed together."""
-    raw = np.concatenate([np.asarray(c, "<i8") for c in columns]).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    raw = np.concatenate(columns, dtype="<i8")
+    return raw.nbytes.to_bytes(8, "little") + pa.compress(pa.py_buffer(raw), codec="zstd", asbytes=True)
 
 
 def opened(data: bytes, columns: int = 1) -> np.ndarray:
@@ -119,16 +122,27 @@ def paired(batches: Iterator[pa.RecordBatch], parts: int, words: bool) -> Iterat
             else:
                 got = sorted((x["part"], x["ids"]) for x in names.as_py())
                 table = np.concatenate([*(opened(x)[0] for _, x in got), [-1]])
-            named = table[seq]
-            at = np.flatnonzero((named[:-1] >= 0) & (named[1:] >= 0))
-            keys, number, counts = np.unique(seq[at] * len(table) + seq[at + 1], return_inverse=True, return_counts=True)
+            seq, known = seq.astype(np.int32), table >= 0  # a block's positions and numbers have 32 bits
+            known = known[seq]
+            at = np.flatnonzero(known[:-1] & known[1:]).astype(np.int32)
+            keys = seq[at].astype(np.int64)
+            keys *= len(table)
+            keys += seq[at + 1]
+            order = np.argsort(keys).astype(np.int32)
+            keys, at, size = keys[order], at[order], max(len(seq) - 1, 0)
+            del seq, known, order
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            first = np.flatnonzero(new)
+            keys, counts, number = keys[first], np.diff(first, append=len(new)), np.cumsum(new, dtype=np.int32) - 1
             left, right = table[keys // len(table)], table[keys % len(table)]
             part = part_of(left, right, parts)
             order = np.lexsort((right, left, part))
-            place = np.empty(len(order), np.int64)
+            place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order))
-            following = np.full(max(len(seq) - 1, 0), -1)
+            following = np.full(size, -1, np.int32)
             following[at] = place[number]
+            del at, number, new, first, keys
             starts = np.searchsorted(part[order], np.arange(parts + 1))
             sent = [pressed(np.diff(left[o], prepend=0), right[o], counts[o]) if len(o) else None for o in (order[a:b] for a, b in zip(starts, starts[1:], strict=False))]
             yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([pressed(following)], pa.binary()), pa.array([sent], pa.list_(pa.binary()))], schema=schema)
@@ -142,21 +156,29 @@ def part_of(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
 def merged(rows: pd.DataFrame, min_count: int, answer: bool) -> pd.DataFrame:
     """A part's pairs of all blocks: a row with the frequent ones, and for each block the ids of its pairs, -1 where infrequent."""
     part = int(rows["part"].iloc[0])
-    columns = [opened(x, 3) for x in rows["pairs"]]
-    left, right, counts = np.concatenate([np.cumsum(c[0]) for c in columns]), np.concatenate([c[1] for c in columns]), np.concatenate([c[2] for c in columns])
-    order = np.lexsort((right, left))
-    left, right, counts = left[order], right[order], counts[order]
+    stops = np.cumsum([int.from_bytes(x[:8], "little") // 24 for x in rows["pairs"]])
+    left, right, counts = np.empty(stops[-1], np.int64), np.empty(stops[-1], np.int64), np.empty(stops[-1], np.int32)
+    for x, stop in zip(rows["pairs"], stops, strict=True):
+        steps, other, n = opened(x, 3)
+        of = slice(stop - len(n), stop)
+        np.cumsum(steps, out=left[of])
+        right[of], counts[of] = other, n
+    order = np.lexsort((right, left)).astype(np.int32)  # a part has about PART_WORDS rows
+    left = left[order]
+    right = right[order]
+    counts = counts[order]
     new = np.ones(len(order), bool)
     new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
     first = np.flatnonzero(new)
-    total = np.add.reduceat(counts, first) if len(first) else counts
+    total = np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts
     often = total >= min_count
-    ids = np.where(often, (part << 32) + np.cumsum(often) - 1, -1)
-    out = pd.DataFrame({"block": [None], "part": [part], "ids": [pressed(ids[often])], "lefts": [pressed(left[first][often])], "rights": [pressed(right[first][often])], "counts": [pressed(total[often])]})
+    ids, found = np.where(often, (part << 32) + np.cumsum(often) - 1, -1), first[often]
+    out = pd.DataFrame({"block": [None], "part": [part], "ids": [pressed(ids[often])], "lefts": [pressed(left[found])], "rights": [pressed(right[found])], "counts": [pressed(total[often])]})
+    del left, right, counts, first, found, total, often
     if answer:
         each = np.empty(len(order), np.int64)
-        each[order] = ids[np.cumsum(new) - 1]
-        stops = np.cumsum([c.shape[1] for c in columns])
+        each[order] = ids[np.cumsum(new, dtype=np.int32) - 1]
+        del order, new
         out = pd.concat([out, pd.DataFrame({"block": rows["block"].astype("Int64"), "part": part, "ids": [pressed(x) for x in np.split(each, stops[:-1])]})])
     return out.astype({"block": "Int64"})
 
@@ -185,13 +207,13 @@ def named(docs: DataFrame, most_words: int = 3, min_count: int = 10, block: int
     for size in range(2, most_words + 1):
         pairs = rows.select("block", "seq").join(names, "block").select("block", "seq", "names").mapInArrow(partial(paired, parts=parts, words=size == 2), PAIRS)
         more = size < most_words
-        rows = stored(pairs, "pairs") if more else pairs
+        rows = in_small_batches(pairs, "pairs", RECORDS) if more else pairs
         dealt = rows.select("block", F.posexplode("parts").alias("part", "pairs")).where("pairs is not null")
 
         def merge(pairs: pd.DataFrame) -> pd.DataFrame:
             return merged(pairs, min_count, more)  # noqa: B023, written within the round
 
-        answers = stored(dealt.groupBy("part").applyInPandas(merge, NAMES), "names")
+        answers = in_small_batches(dealt.groupBy("part").applyInPandas(merge, NAMES), "names", RECORDS)
         names = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "ids")).alias("names"))
         found = answers.where("block is null").select("ids", "lefts", "rights", "counts").mapInPandas(listed, "id long, left long, right long, f long")
         a = levels[-1].select(F.col("id").alias("left"), "lang", F.col("words").alias("head"), "first")

@@ -2,8 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from cellarium.llm import phrases, queries
@@ -79,3 +83,21 @@ def test_counts_beyond_64_bits_stay_exact(spark):
 
 def test_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def peak(f) -> int:
+    tracemalloc.start()
+    f()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+def test_a_part_and_a_block_take_few_bytes_a_row():
+    rng, n = np.random.default_rng(3), 400_000
+    pairs = [phrases.pressed(np.diff(np.sort(rng.integers(0, 1000, n // 20)), prepend=0), rng.integers(0, 1000, n // 20), np.ones(n // 20, np.int64)) for _ in range(20)]
+    rows = pd.DataFrame({"block": np.arange(20), "part": 3, "pairs": pairs})
+    assert peak(lambda: phrases.merged(rows, 2, True)) < 70 * n
+    seq, names = phrases.pressed(rng.integers(0, 5000, n)), [{"k": k, "id": k} for k in range(5000)]
+    batch = pa.record_batch([pa.array([1]), pa.array([seq], pa.binary()), pa.array([names], pa.list_(pa.struct([("k", pa.int32()), ("id", pa.int64())])))], names=["block", "seq", "names"])
+    assert peak(lambda: list(phrases.paired(iter([batch]), 8, True))) < 90 * n
