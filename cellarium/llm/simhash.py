@@ -11,6 +11,9 @@ different components is then compared pair by pair, so that a large group of nea
 Edge cases: a null text has no words; no words: fingerprint zero, linked like any other; fewer words than a shingle
 has: the whole sequence; a null doc_id takes part but is no component's id unless all of it are null (then null);
 repeated rows are returned each; an empty table gives no row; further columns are not read.
+
+Joins whose sides grow with the corpus are merged at every size: Spark sizes a table by its files, where unrolled cells (some 70
+a fingerprint) and rows that compress well count for little, and would send them through the driver as a broadcast.
 """
 
 from __future__ import annotations
@@ -122,7 +125,7 @@ def range_join(a: DataFrame, b: DataFrame, within: int, more: Column | None = No
         on &= more
     on &= manhattan(ea, eb) <= within
     on &= F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= within
-    return a.join(b, on).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
+    return a.join(b.hint("merge"), on).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
 
 
 def stars(points: DataFrame, within: int = 4) -> DataFrame:
@@ -137,11 +140,11 @@ def links(distinct: DataFrame, within: int = 4) -> DataFrame:
     """Pairs a < b of different fingerprints (column fp) that differ in `within` bits or fewer: as many as hold each component together."""
     points = distinct.select("fp")
     roots = stored(components(stars(points, within)), "roots")
-    placed = stored(points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "placed")
+    placed = stored(points.join(roots.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "placed")
     own, near = grid(placed, within, False), grid(placed, within, True)
     # cells where all rows, and all that reach them, are in one component have nothing to add
     mixed = near.groupBy("c", "cell").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top").select("c", "cell")
-    rest = range_join(near.join(mixed, ["c", "cell"], "left_semi"), own, within, F.col("a.root") < F.col("b.root"))
+    rest = range_join(near.join(mixed.hint("merge"), ["c", "cell"], "left_semi"), own, within, F.col("a.root") < F.col("b.root"))
     return roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(stored(rest, "rest"))
 
 
@@ -149,8 +152,8 @@ def near_duplicates(documents: DataFrame, words: int = 4, within: int = 4) -> Da
     """doc_id, fp, component_id, root (the component's smallest fingerprint), h (the text's hash) of each row."""
     docs = stored(fingerprints(documents, words), "fingerprints")
     own = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    nodes = stored(components(links(own, within)).join(own.withColumnRenamed("fp", "node"), "node"), "components")
+    nodes = stored(components(links(own, within)).join(own.withColumnRenamed("fp", "node").hint("merge"), "node"), "components")
     least = stored(nodes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "least")
     linked = skewed(nodes.select("node", "root"), least, "root", "members", nodes.count()).select(F.col("node").alias("fp"), "root", "component_id")
-    every = own.join(linked, "fp", "left").select("fp", "n", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    every = own.join(linked.hint("merge"), "fp", "left").select("fp", "n", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
     return skewed(docs, stored(every, "members"), "fp", "n", docs.count()).select("doc_id", "fp", "component_id", "root", "h")
