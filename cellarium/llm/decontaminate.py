@@ -82,7 +82,7 @@ def phrase_candidates(postings: DataFrame, wins: DataFrame, counted: DataFrame)
     lists = []
     for own in (ranked.where("rank = 1"), ranked.where("rank = 2 or n = 1")):
         lists.append(meet(postings, own.select("term", "window", "off"), ["term"]).select("d", "h", "window", (F.col("pos") - F.col("off")).alias("start")).distinct())
-    return lists[0].join(lists[1], ["d", "h", "window", "start"])
+    return lists[0].join(lists[1].hint("merge"), ["d", "h", "window", "start"])
 
 
 def proximity_matches(postings: DataFrame, wanted: DataFrame, slop: int) -> DataFrame:
@@ -97,7 +97,7 @@ def proximity_matches(postings: DataFrame, wanted: DataFrame, slop: int) -> Data
     anchor = meet(postings, ranked.where("rank = 1").select("query", "term", "n"), ["term"]).select("query", "n", "d", "h", "pos")
     others = meet(postings, ranked.where("rank > 1").select("query", "term"), ["term"]).select("query", "term", "d", "h", F.col("pos").alias("other"), stretch.alias("at"))
     reach = anchor.where("n > 1").withColumn("at", F.explode(F.sequence(stretch - 1, stretch + 1)))
-    near = reach.join(others, ["query", "d", "h", "at"]).where(F.abs(F.col("pos") - F.col("other")) <= slop)
+    near = reach.join(others.hint("merge"), ["query", "d", "h", "at"]).where(F.abs(F.col("pos") - F.col("other")) <= slop)
     met = near.groupBy("query", "n", "d", "h", "pos").agg(F.countDistinct("term").alias("met")).where("met = n - 1")
     return met.select("query", "d", "h", "pos").union(anchor.where("n = 1").select("query", "d", "h", "pos"))
 

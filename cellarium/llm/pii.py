@@ -208,9 +208,9 @@ def find(documents: DataFrame) -> DataFrame:
     # how far each candidate overlaps base spans: of its own kind, and of any
     b = base.select("d", "h", F.col("kind").alias("b_kind"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     own = offered.select("d", "h", "kind", "start", "end").distinct()
-    touching = in_bins(own, "start", "end").join(in_bins(b, "b_start", "b_end"), ["d", "h", "bin"]).where("b_start < end and start < b_end")
+    touching = in_bins(own, "start", "end").join(in_bins(b, "b_start", "b_end").hint("merge"), ["d", "h", "bin"]).where("b_start < end and start < b_end")
     touching = touching.groupBy("d", "h", "kind", "start", "end").agg(F.max((F.col("b_kind") == F.col("kind")).cast("int")).alias("own"))
-    offered = stored(offered.join(touching, ["d", "h", "kind", "start", "end"], "left").select("d", "h", "kind", "start", "end", "own", "open", *FEATURES), "offered")
+    offered = stored(offered.join(touching.hint("merge"), ["d", "h", "kind", "start", "end"], "left").select("d", "h", "kind", "start", "end", "own", "open", *FEATURES), "offered")
     held = F.pmod(F.xxhash64("d", "h"), F.lit(FOLDS)) == 0
     mine, loose = F.coalesce(F.col("own") == 1, F.lit(False)), F.col("own").isNull() & F.col("open")
     sums = [F.count_if(c).alias(n) for n, c in (("p", ~held & mine), ("n", ~held & ~mine & ~loose), ("held_p", held & mine), ("held_n", held & ~mine & ~loose))]
@@ -228,8 +228,8 @@ def find(documents: DataFrame) -> DataFrame:
     rank = F.struct(F.col("score"), (F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("first"), F.col("kind").alias("k"))
     chosen = stored(chosen.groupBy("d", "h", "kind", "start", "end").agg(F.max(rank).alias("rank")), "chosen")
     o = chosen.select("d", "h", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("rank").alias("o_rank"))
-    beaten = in_bins(chosen, "start", "end").join(in_bins(o, "o_start", "o_end"), ["d", "h", "bin"]).where("o_start < end and start < o_end and o_rank > rank").select("d", "h", "kind", "start", "end").distinct()
-    added = chosen.join(beaten, ["d", "h", "kind", "start", "end"], "left_anti").select("d", "h", "kind", "start", "end")
+    beaten = in_bins(chosen, "start", "end").join(in_bins(o, "o_start", "o_end").hint("merge"), ["d", "h", "bin"]).where("o_start < end and start < o_end and o_rank > rank").select("d", "h", "kind", "start", "end").distinct()
+    added = chosen.join(beaten.hint("merge"), ["d", "h", "kind", "start", "end"], "left_anti").select("d", "h", "kind", "start", "end")
     return stored(base.withColumn("base", F.lit(True)).union(added.withColumn("base", F.lit(False))), "spans")
 
 
